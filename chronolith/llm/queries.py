@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_backtrack, decontaminate, repetition_rules
+from . import bpe_backtrack, decontaminate, repetition_rules, token_huffman
+from .storage import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -16,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    token_huffman.write(table(spark, sf_dir, "documents"), WORD_BPE, path)
+    return token_huffman.read(spark, path)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
@@ -29,6 +36,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_huffman": op2_token_huffman,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe_backtrack": op8_bpe_backtrack,
     "op10_repetition_rules": op10_repetition_rules,

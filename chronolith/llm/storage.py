@@ -21,12 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/chronolith-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage and outlives lost executors."""
+    """``df`` as a table in the shared folder: cuts the lineage and outlives lost executors.
+
+    The shuffle files of the write are deleted when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = path or shared_dir(spark)
     schema = df.schema
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
