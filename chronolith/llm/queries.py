@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_backtrack, decontaminate, repetition_rules, token_huffman
+from . import bottomk_dedup, bpe_backtrack, decontaminate, repetition_rules, token_huffman
 from .storage import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_huffman.read(spark, path)
 
 
+def op5_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
@@ -37,6 +41,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_huffman": op2_token_huffman,
+    "op5_bottomk_dedup": op5_bottomk_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe_backtrack": op8_bpe_backtrack,
     "op10_repetition_rules": op10_repetition_rules,
