@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk_dedup, bpe_backtrack, decontaminate, repetition_rules, token_huffman
+from . import bottomk_dedup, bpe_backtrack, decontaminate, quality_fm, repetition_rules, token_huffman
 from .storage import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -27,6 +27,11 @@ def op5_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
@@ -42,6 +47,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_huffman": op2_token_huffman,
     "op5_bottomk_dedup": op5_bottomk_dedup,
+    "op6_quality_fm": op6_quality_fm,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe_backtrack": op8_bpe_backtrack,
     "op10_repetition_rules": op10_repetition_rules,
