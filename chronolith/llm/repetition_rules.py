@@ -28,7 +28,7 @@ MIN_WORDS = 10
 BASE_WINDOW = 5
 BASE_PERCENT = 20
 #: Words of the shortest repeat that counts, the largest part of the words in repeats, and the longest repeat.
-MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 8, 0.15, 60
+MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 4, 0.3, 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_covered long, longest_repeat long, kept boolean"
