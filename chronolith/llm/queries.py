@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk_dedup, bpe_backtrack, decontaminate, quality_fm, repetition_rules, token_huffman
+from . import bottomk_dedup, bpe_backtrack, decontaminate, quality_fm, repetition_rules, substring_automata, token_huffman
 from .storage import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op2_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_huffman.read(spark, path)
 
 
+def op4_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_automata.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -46,6 +50,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_huffman": op2_token_huffman,
+    "op4_substring_automata": op4_substring_automata,
     "op5_bottomk_dedup": op5_bottomk_dedup,
     "op6_quality_fm": op6_quality_fm,
     "op7_decontaminate": op7_decontaminate,
