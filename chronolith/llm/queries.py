@@ -7,22 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bottomk_dedup, bpe_backtrack, decontaminate, quality_fm, repetition_rules, substring_automata, token_huffman
+from . import bottomk_dedup, bpe_backtrack, decontaminate, line_templates, quality_fm, repetition_rules, separator_scan, substring_automata, token_huffman
 from .storage import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+WORD_BPE_END = 49407
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_token_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_huffman.write(table(spark, sf_dir, "documents"), WORD_BPE, path)
     return token_huffman.read(spark, path)
 
 
+def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = separator_scan.write_flat(table(spark, sf_dir, "documents"), WORD_BPE, WORD_BPE_END)
+    return separator_scan.with_doc_ids(separator_scan.count_tokens(files, WORD_BPE_END), files)
+
+
 def op4_substring_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_automata.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -49,7 +59,9 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_templates": op1_line_templates,
     "op2_token_huffman": op2_token_huffman,
+    "op3_separator_scan": op3_separator_scan,
     "op4_substring_automata": op4_substring_automata,
     "op5_bottomk_dedup": op5_bottomk_dedup,
     "op6_quality_fm": op6_quality_fm,

@@ -54,13 +54,14 @@ class LibraryWords(dict):
     For tokenizers that drop white space, a text's ids are those of its words in turn.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, specials_are_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(text)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.whole.encode_special_tokens = specials_are_text
         probe = ["don't", "a-b!", "Éa", "x1"]
         if self.ids(" \t" + "  ".join(probe)) != [i for p in probe for i in self.ids(p)]:
             raise ValueError("this tokenizer does not drop white space")
@@ -80,16 +81,21 @@ class LibraryWords(dict):
                 self[w] = array.array("I", e.ids).tobytes()
 
 
-_tables: dict[int, LibraryWords] = {}
+_tables: dict[tuple[int, bool], LibraryWords] = {}
 
 
-def _table(text: str) -> LibraryWords:
-    key = hash(text)
+def library_words(text: str, specials_are_text: bool = False) -> LibraryWords:
+    """The table for a tokenizer file's text; a worker keeps one."""
+    key = hash(text), specials_are_text
     if key not in _tables:
-        _tables[key] = LibraryWords(text)
+        _tables.clear()
+        _tables[key] = LibraryWords(text, specials_are_text)
     return _tables[key]
 
 
+_table = library_words
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Of each id the bits of its code: the best under the limit, by package-merge; 0 for ids that don't occur."""
     used = np.flatnonzero(counts)
@@ -179,7 +185,7 @@ def _segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     end = array.array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part = _table(held.value), TaskContext.get().partitionId()
+        table, part = library_words(held.value), TaskContext.get().partitionId()
         names, sizes, blobs, count, before = [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
