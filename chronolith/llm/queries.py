@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bottomk_dedup, bpe_backtrack, decontaminate, line_templates, quality_fm, repetition_rules, separator_scan, substring_automata, token_huffman
+from . import bottomk_dedup, bpe_backtrack, decontaminate, license_scan, line_templates, quality_fm, repetition_rules, separator_scan, substring_automata, token_huffman
 from .storage import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +55,11 @@ def op8_bpe_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_backtrack.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan_licenses(docs.withColumn("path", F.concat_ws("/", "source", "lang", F.expr("doc_id div 100"), "doc_id")))
+
+
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -67,7 +73,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_fm": op6_quality_fm,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe_backtrack": op8_bpe_backtrack,
+    "op9_license_scan": op9_license_scan,
     "op10_repetition_rules": op10_repetition_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_license_scan": license_scan.oracle("SELECT doc_id, concat_ws('/', source, lang, doc_id // 100, doc_id) AS path, text FROM documents"),
+}
