@@ -65,6 +65,9 @@ class LibraryWords(dict):
         probe = ["don't", "a-b!", "Éa", "x1"]
         if self.ids(" \t" + "  ".join(probe)) != [i for p in probe for i in self.ids(p)]:
             raise ValueError("this tokenizer does not drop white space")
+        self.tails = {t.encode(): array.array("I", self.ids(t)).tobytes() for t in ".,"}
+        letters = [chr(c) for c in range(0x20, 0x7F)]
+        self.folds = all(self.ids(c) == self.ids(c.lower()) and self.ids(f"Ab{c}") == self.ids(f"ab{c.lower()}") for c in letters) and all(self.ids(w + t) == self.ids(w) + self.ids(t) for w in ("ab", "q", "the", "xyzzy") for t in ".,")
 
     def ids(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -72,13 +75,25 @@ class LibraryWords(dict):
     def learn(self, words: set[bytes]) -> None:
         """Finds the ids of the words that the table lacks."""
         lacking = [w for w in words if w not in self]
-        if len(self) + len(lacking) > WORDS_KEPT:
+        if len(self) + 2 * len(lacking) > WORDS_KEPT:
             self.clear()
             lacking = list(words)
-        for i in range(0, len(lacking), 20_000):
-            part = lacking[i : i + 20_000]
+        roots = {w: self._root(w) for w in lacking}
+        new = list({r for r, _ in roots.values() if r not in self})
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
             for w, e in zip(part, self.whole.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self[w] = array.array("I", e.ids).tobytes()
+        for w, (root, tail) in roots.items():
+            self[w] = self[root] + self.tails[tail] if tail else self[root]
+
+    def _root(self, word: bytes) -> tuple[bytes, bytes]:
+        """The word that has the same ids, as far as the tokenizer allows it: in lower case, and without a stop or comma at its end, which then follows."""
+        if self.folds and word.isascii() and b"<" not in word:  # not what may become a special token
+            word = word.lower()
+            if word[-1:] in self.tails and word[:-1].isalpha():
+                return word[:-1], word[-1:]
+        return word, b""
 
 
 _tables: dict[tuple[int, bool], LibraryWords] = {}
@@ -93,9 +108,6 @@ def library_words(text: str, specials_are_text: bool = False) -> LibraryWords:
     return _tables[key]
 
 
-_table = library_words
-
-
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Of each id the bits of its code: the best under the limit, by package-merge; 0 for ids that don't occur."""
     used = np.flatnonzero(counts)
