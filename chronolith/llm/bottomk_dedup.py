@@ -8,10 +8,10 @@ many of its rarest values that two classes whose sketches overlap enough must me
 ``MEET`` lists. Pairs that do, and whose sizes allow the similarity, are estimated on
 the bottom-k sketch of their union, and those left are confirmed on their full sets.
 
-No group is expanded into all its pairs. In a first round each list compares its members
-with one of them, and classes found alike are one component from then on; further rounds
-take other members; the last one takes all pairs of a list that are still in different
-components. Only links within a component are left out.
+No group is expanded into all its pairs. First each list compares its members with one
+of them, the first by a hash, so that large groups mostly meet at the same one; classes
+found alike get one label. Then all pairs of a list are compared but those of one label:
+only links within a component are left out.
 
 The sketches' overlap of linked documents is at least half the sketch, but for a chance
 of under 1e-7 for each pair at 64 values and similarity 0.8; sets of up to 0.8 times the
@@ -41,10 +41,6 @@ SKETCH = 64
 MEET = 4
 #: Keys of at most so many rows are broadcast (16 bytes each); more are joined through a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: All pairs of the lists are taken once there are at most so many for each list entry.
-PAIRS_PER_ENTRY = 2
-#: Rounds that compare with one member only, at most.
-STAR_ROUNDS = 6
 
 
 def shingle_sets(part: np.ndarray, at: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -142,49 +138,47 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     return taken.filter("take > 0").select("rep", "n", "meet", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("x.v", "rep", "n", "meet")
 
 
+def _stars(links: DataFrame) -> DataFrame:
+    """(node, label): of each linked class one that links lead to, mostly the same for all of a group. Equal labels prove one component; unequal ones prove nothing."""
+    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "y")
+    best = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("y").alias("h"), "y")).alias("best"))
+    best = best.select("node", F.when(F.col("best.h") < F.xxhash64("node"), F.col("best.y")).otherwise(F.col("node")).alias("label"))
+    return best.join(best.toDF("label", "far"), "label").select("node", F.col("far").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included) and kept (it is the smallest)."""
     spark = docs.sparkSession
-    paths = [shared_dir(spark) for _ in range(3)]
+    paths = [shared_dir(spark) for _ in range(4)]
     sketches = written(_sketches(docs, words), paths[0])
     one = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
     classes = written(one.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), paths[1])
     lists = written(_lists(classes, percent), paths[2])
-    entries = lists.count()
-    allowed = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    labels, links, tested = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        named = lists.withColumn("label", F.col("rep")) if labels is None else lists.join(labels, lists.rep == labels.node, "left").select(*lists.columns, F.coalesce("label", "rep").alias("label"))
-        mixed = named.groupBy("v").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("hub")).filter("lo <> hi")
-        if turn:
-            named = written(named)
-            mixed = written(mixed)
-        by_label = named.join(mixed, "v").groupBy("v", "label").agg(F.count("*").alias("k"), F.first("m").alias("m"))
-        crossing = by_label.agg(F.sum(F.expr("k * (m - k)"))).first()[0] or 0 if turn else None
-        if crossing == 0:
-            break
-        last = turn == STAR_ROUNDS or (turn and crossing <= 2 * PAIRS_PER_ENTRY * entries)
-        other = named.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("meet").alias("meet2"), F.col("label").alias("label2"))
-        if last:
-            met = named.join(mixed.select("v"), "v").join(other, "v").filter("label <> label2 and rep < rep2")
-        else:
-            hubs = mixed.select("v", F.col("hub").alias("rep2"))
-            met = named.join(hubs.join(other, ["v", "rep2"]), "v").filter("label <> label2")
-        pairs = met.filter(allowed).groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("meet", "meet2")).alias("meet"))
-        pairs = pairs.filter("k >= meet" if last else "k >= least(2, meet)").select("a", "b")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        found = _confirmed(docs, pairs, classes, words, percent)
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
-        if last:
-            break
+
+    def met(rows: DataFrame, least: str) -> DataFrame:
+        able = rows.filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+        pairs = able.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("meet", "meet2")).alias("meet"))
+        return pairs.filter(f"k >= {least}").select("a", "b")
+
+    other = [F.col(c).alias(f"{c}2") for c in ("rep", "n", "meet")]
+    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "n", "meet"), F.xxhash64("rep")).alias("hub")).filter("m > 1").select("v", "hub.*").select("v", *other)
+    first = written(met(lists.join(hubs, "v").filter("rep <> rep2"), "least(2, meet)"))
+    links = _confirmed(docs, first, classes, words, percent)
+
+    labels = written(_stars(links))
+    named = lists.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, lists.rep == labels.node, "left").select(*lists.columns, F.coalesce("label", "rep").alias("label"))
+    mixed = named.groupBy("v").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("v")
+    named = written(named.join(mixed, "v"), paths[3])
+    rest = met(named.join(named.select("v", *other, F.col("label").alias("label2")), "v").filter("label <> label2 and rep < rep2"), "meet")
+    rest = written(rest.join(first, ["a", "b"], "left_anti"))
+    links = links.union(_confirmed(docs, rest, classes, words, percent))
+
+    labels = components(links)
     member = sketches.join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     out = member.join(labels, member.rep == labels.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    drop(spark, paths[2])
+    for path in paths[2:]:
+        drop(spark, path)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
