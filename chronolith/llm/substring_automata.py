@@ -43,8 +43,8 @@ from .wordscan import Rolling, Words, chunks, covered, mix, scan, utf8, window_s
 
 WINDOW = 50
 ANCHOR = 8
-#: Distinct spans of the largest automaton.
-SHARD_SPANS = 400
+#: Distinct spans of the largest automaton: of under 100 words each, so about 0.2 million words and 150 MB.
+SHARD_SPANS = 2000
 #: Tables of at most so many rows are broadcast (20 bytes each); larger ones are joined through a shuffle.
 BROADCAST_ROWS = 1_000_000
 NONE = np.iinfo(np.int64).max
