@@ -29,7 +29,7 @@ def money_exact(usd: Column) -> Column:
 
 def implied_usd(title: Column) -> Column:
     """The amount that a title states, as $1.2bn, $34m or $5k."""
-    pattern = F.lit(r"\$([0-9][0-9,]*(?:\.[0-9]+)?)\s?(bn|m|k)\b")
+    pattern = r"\$([0-9][0-9,]*(?:\.[0-9]+)?)\s?(bn|m|k)\b"
     number = F.regexp_replace(F.regexp_extract(title, pattern, 1), ",", "").try_cast("double")
     unit = F.regexp_extract(title, pattern, 2)
     return number * F.when(unit == "bn", 1e9).when(unit == "m", 1e6).when(unit == "k", 1e3)
@@ -55,7 +55,7 @@ def chain_of_ref(ref: Column) -> Column:
 
 def chain_ref(ref: Column) -> Column:
     """struct(chain, kind, id) of chain:kind:id; null if it is anything else."""
-    pattern = F.lit(r"^([a-z]+):([a-z]+):(.+)\z")
+    pattern = r"^([a-z]+):([a-z]+):(.+)\z"
     return F.when(ref.rlike(r"^[a-z]+:[a-z]+:.+\z"), F.struct(*(F.regexp_extract(ref, pattern, k).alias(n) for k, n in enumerate(("chain", "kind", "id"), 1))))
 
 
