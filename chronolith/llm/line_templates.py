@@ -37,8 +37,6 @@ from .wordscan import Rolling, Words, chunks, mix, scan, utf8
 DEPTH = 3
 MIN_DOCS = 5
 SAME = 0.5
-#: Tables of at most so many rows are broadcast; larger ones are joined through a shuffle.
-BROADCAST_ROWS = 1_000_000
 _DIGITS = np.zeros(256, bool)
 _DIGITS[0x30:0x3A] = True
 _FIELD = np.uint64(0x5851F42D4C957F2D)
@@ -90,10 +88,6 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return _columns(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, row int, leaf long, masked long, numbers array<int>")
 
 
-def _joined(docs: DataFrame, by_doc: DataFrame, how: str = "inner") -> DataFrame:
-    return docs.join(F.broadcast(by_doc) if by_doc.count() <= BROADCAST_ROWS // 16 else by_doc, ["doc_id", "row"], how)
-
-
 def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(leaf, masked, words): the words' hashes of example lines; wanted: doc_id, row and lines, an array of (number, leaf, masked)."""
 
@@ -110,7 +104,7 @@ def _words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         rows.append((x["leaf"], x["masked"], lines.hashes[lines.heads[k] : lines.tails[k]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["leaf", "masked", "words"])
 
-    return _joined(_columns(docs), wanted).select("text", "lines").mapInArrow(run, "leaf long, masked long, words array<long>")
+    return _columns(docs).join(wanted, ["doc_id", "row"]).select("text", "lines").mapInArrow(run, "leaf long, masked long, words array<long>")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAME, keep_first: bool = True) -> DataFrame:
@@ -156,7 +150,7 @@ def drop_lines(docs: DataFrame, **how: float) -> DataFrame:
     k, kind = docs.columns.index("text"), docs.schema
     joined = docs.withColumns({"chronolith_row": F.hash(F.col("text").cast("string")), "chronolith_id": F.col("doc_id").cast("long")})
     gone = recurring_lines(docs, **how).toDF("chronolith_id", "chronolith_row", "chronolith_gone")
-    joined = joined.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 16 else gone, ["chronolith_id", "chronolith_row"], "left").select(*docs.columns, "chronolith_gone")
+    joined = joined.join(gone, ["chronolith_id", "chronolith_row"], "left").select(*docs.columns, "chronolith_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,4 +179,4 @@ def line_report(docs: DataFrame, **how: float) -> DataFrame:
                 sums.append(hashlib.sha256(_without(text, numbers) if numbers else text).hexdigest())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(sums, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return _joined(_columns(docs), gone, "left").select("doc_id", "text", "numbers").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _columns(docs).join(gone, ["doc_id", "row"], "left").select("doc_id", "text", "numbers").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -58,9 +58,7 @@ def brute_lines(docs, min_docs, same=lt.SAME, depth=lt.DEPTH):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("few", [lt.BROADCAST_ROWS, 0])
-def test_line_templates(spark, monkeypatch, few):
-    monkeypatch.setattr(lt, "BROADCAST_ROWS", few)
+def test_line_templates(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["alpha", "beta", "gamma", "x1", "é", "Was"])
     boiler = [lambda: f"Page {rng.randrange(99)} of {rng.randrange(99)}", lambda: "All rights reserved.", lambda: f"Licensed to {rng.choice(['Ann', 'Bob', 'Cy', 'Di'])} Smith under these terms", lambda: f"Mail a{rng.random()}@b.c or see http://x.y/{rng.random()} now", lambda: "  padded \t line"]
