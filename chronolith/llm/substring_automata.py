@@ -45,8 +45,6 @@ WINDOW = 50
 ANCHOR = 8
 #: Distinct spans of the largest automaton: of under 100 words each, so about 0.2 million words and 150 MB.
 SHARD_SPANS = 2000
-#: Tables of at most so many rows and array entries are broadcast (under 100 bytes each); larger ones are joined through a shuffle.
-BROADCAST_ROWS = 200_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -183,13 +181,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                         rows.append((c["anchor"], c["span"], c["n"], c["least"], c["hot"], w.text(a, a + c["n"] - 1 + window)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["anchor", "span", "n", "least", "hot", "words"])
 
-    return _joined(_columns(docs), wanted, "cuts").select("text", "cuts").mapInArrow(run, "anchor long, span long, n int, least long, hot boolean, words binary")
-
-
-def _joined(docs: DataFrame, by_doc: DataFrame, entries: str, how: str = "inner") -> DataFrame:
-    """Documents with a table of a row, with an array of ``entries``, for each doc_id and hash of a text: broadcast if it is small, which is measured by its rows and entries."""
-    total = by_doc.agg(F.count("*") + F.coalesce(F.sum(F.size(entries)), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(by_doc) if total <= BROADCAST_ROWS else by_doc, ["doc_id", "row"], how)
+    return _columns(docs).join(wanted, ["doc_id", "row"]).select("text", "cuts").mapInArrow(run, "anchor long, span long, n int, least long, hot boolean, words binary")
 
 
 _RUNS = "anchor long, span long, runs array<struct<begin:int,n:int,least:long>>"
@@ -325,4 +317,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return _joined(_columns(docs), runs, "runs", "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return _columns(docs).join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)

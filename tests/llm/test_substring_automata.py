@@ -63,8 +63,7 @@ def test_remove_repeats(spark, size, anchor, shard):
     assert sum(r.n_removed for r in got) > 0
 
 
-def test_shuffled_joins_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(sa, "BROADCAST_ROWS", 0)
+def test_more_and_empty(spark):
     docs = corpus(3, 12)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = sa.remove_repeats(frame, 12, anchor=4).collect()
