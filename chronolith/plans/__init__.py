@@ -1 +1,3 @@
+"""Queries over the driver's tables, and the SQL of the same results."""
 
+from . import more, queries  # noqa: F401  both register
