@@ -5,7 +5,8 @@ first ``DEPTH`` words to a leaf. Words with variable fields (digits, mail addres
 URLs) are generalised first, whatever they hold. In a leaf, a word stays in its place of
 the template if lines of at least ``MIN_DOCS`` documents have it there; else the place
 is generalised too. A template with fewer than ``SAME`` of its places left is too vague,
-and lines stand for themselves, with their variable fields generalised.
+and lines stand for themselves, with their variable fields generalised; lines of mostly
+variable fields, such as rows of numbers, stand for themselves as they are.
 
 Templates found in at least ``MIN_DOCS`` documents recur. Their lines are dropped, but
 with ``keep_first`` those of the smallest doc_id stay, so nothing is lost altogether.
@@ -53,7 +54,9 @@ class Lines:
             variable = _DIGITS[part] | (part == 0x40)
             variable[:-2] |= (part[:-2] == 0x3A) & (part[1:-1] == 0x2F) & (part[2:] == 0x2F)
         sums = np.concatenate([[0], np.cumsum(variable)])
-        self.hashes[sums[w.ends] > sums[w.starts]] = _FIELD
+        is_field = sums[w.ends] > sums[w.starts]
+        raw = self.hashes.copy()
+        self.hashes[is_field] = _FIELD
         breaks = np.concatenate([[0], np.cumsum(part == 10)])
         doc, line = w.doc(), breaks[w.starts]
         self.heads = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])]) if len(line) else np.zeros(0, np.int64)
@@ -64,6 +67,12 @@ class Lines:
         rolling = Rolling(self.hashes)
         self.masked = rolling.of(self.heads, self.tails).view(np.int64)
         self.leaf = mix(rolling.of(self.heads, self.heads + np.minimum(size, DEPTH)) + size.astype(np.uint64)).view(np.int64)
+        fields = np.concatenate([[0], np.cumsum(is_field)])
+        vague = fields[self.tails] - fields[self.heads] > (1 - SAME) * size
+        if vague.any():  # mostly fields, such as rows of numbers: as they are, each in a leaf of its own
+            whole = Rolling(raw).of(self.heads[vague], self.tails[vague])
+            self.masked[vague] = mix(whole + _FIELD).view(np.int64)
+            self.leaf[vague] = mix(whole ^ _FIELD).view(np.int64)
 
 
 def _columns(docs: DataFrame) -> DataFrame:

@@ -24,8 +24,10 @@ def brute_lines(docs, min_docs, same=lt.SAME, depth=lt.DEPTH):
             words = re.findall(r"[^\x20\x09-\x0D]+", line)
             if words and i is not None:
                 masked = tuple("<*>" if re.search(r"[0-9@]|://", w) else w for w in words)
+                if sum(w == "<*>" for w in masked) > (1 - same) * len(masked):
+                    masked = ("as it is", *words)
                 places.append((r, i, k, masked))
-                leaves[len(masked), masked[:depth]].append((i, r, masked))
+                leaves[len(masked), masked if masked[0] == "as it is" else masked[:depth]].append((i, r, masked))
     template = {}
     for rows in leaves.values():
         docs_of = defaultdict(set)
@@ -61,7 +63,7 @@ def brute_lines(docs, min_docs, same=lt.SAME, depth=lt.DEPTH):
 def test_line_templates(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["alpha", "beta", "gamma", "x1", "é", "Was"])
-    boiler = [lambda: f"Page {rng.randrange(99)} of {rng.randrange(99)}", lambda: "All rights reserved.", lambda: f"Licensed to {rng.choice(['Ann', 'Bob', 'Cy', 'Di'])} Smith under these terms", lambda: f"Mail a{rng.random()}@b.c or see http://x.y/{rng.random()} now", lambda: "  padded \t line"]
+    boiler = [lambda: f"Page {rng.randrange(99)} of {rng.randrange(99)}", lambda: "All rights reserved.", lambda: f"Licensed to {rng.choice(['Ann', 'Bob', 'Cy', 'Di'])} Smith under these terms", lambda: f"Mail a{rng.random()}@b.c or see http://x.y/{rng.random()} now", lambda: "  padded \t line", lambda: f"{rng.randrange(3)} {rng.randrange(3)} {rng.randrange(3)}"]
     docs = [(900, None), (901, ""), (902, "\n\n"), (903, "a"), (904, "a"), (None, "All rights reserved."), (905, "All rights reserved.\nAll rights reserved.\n")]
     for i in range(40):
         lines = []
