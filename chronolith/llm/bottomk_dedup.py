@@ -10,8 +10,8 @@ the bottom-k sketch of their union, and those left are confirmed on their full s
 
 No group is expanded into all its pairs. First each list compares its members with one
 of them, the first by a hash, so that large groups mostly meet at the same one; classes
-found alike get one label. Then all pairs of a list are compared but those of one label:
-only links within a component are left out.
+found alike are one component from then on. Then all pairs of a list are compared that
+are not of one component: only links within a component are left out.
 
 The sketches' overlap of linked documents is at least half the sketch, but for a chance
 of under 1e-7 for each pair at 64 values and similarity 0.8; sets of up to 0.8 times the
@@ -138,14 +138,6 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     return taken.filter("take > 0").select("rep", "n", "meet", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("x.v", "rep", "n", "meet")
 
 
-def _stars(links: DataFrame) -> DataFrame:
-    """(node, label): of each linked class one that links lead to, mostly the same for all of a group. Equal labels prove one component; unequal ones prove nothing."""
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "y")
-    best = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("y").alias("h"), "y")).alias("best"))
-    best = best.select("node", F.when(F.col("best.h") < F.xxhash64("node"), F.col("best.y")).otherwise(F.col("node")).alias("label"))
-    return best.join(best.toDF("label", "far"), "label").select("node", F.col("far").alias("label"))
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included) and kept (it is the smallest)."""
     spark = docs.sparkSession
@@ -165,7 +157,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = written(met(lists.join(hubs, "v").filter("rep <> rep2"), "least(2, meet)"))
     links = _confirmed(docs, first, classes, words, percent)
 
-    labels = written(_stars(links))
+    labels = components(links)
     named = lists.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, lists.rep == labels.node, "left").select(*lists.columns, F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("v").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("v")
     named = written(named.join(mixed, "v"), paths[3])
