@@ -4,9 +4,10 @@ Lines are parsed by a tree of fixed depth: the number of words leads to a branch
 first ``DEPTH`` words to a leaf. Words with variable fields (digits, mail addresses,
 URLs) are generalised first, whatever they hold. In a leaf, a word stays in its place of
 the template if lines of at least ``MIN_DOCS`` documents have it there; else the place
-is generalised too. A template with fewer than ``SAME`` of its places left is too vague,
-and lines stand for themselves, with their variable fields generalised; lines of mostly
-variable fields, such as rows of numbers, stand for themselves as they are.
+is generalised too. A template with fewer than ``SAME`` of its places left, or of its
+places past the first ``DEPTH``, which all lines of a leaf share, is too vague, and lines
+stand for themselves, with their variable fields generalised; lines of mostly variable
+fields, such as rows of numbers, stand for themselves as they are.
 
 Templates found in at least ``MIN_DOCS`` documents recur. Their lines are dropped, but
 with ``keep_first`` those of the smallest doc_id stay, so nothing is lost altogether.
@@ -133,8 +134,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, same: float = SAM
     field = int(_FIELD.astype(np.int64))
     general = placed.join(common, ["leaf", "place", "word"], "left").withColumn("word", F.when(F.col("stays"), F.col("word")).otherwise(F.lit(field)))
     general = general.groupBy("leaf", "masked").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("t"))  # of one line
-    kept = F.size(F.filter("t", lambda x: x["word"] != field))
-    general = general.select("leaf", "masked", F.when(kept >= same * F.size("t"), F.xxhash64("leaf", F.transform("t", lambda x: x["word"]))).otherwise(F.col("masked")).alias("template"))
+    stays = F.transform("t", lambda x: x["word"] != field)
+    kept, past = F.size(F.filter(stays, lambda x: x)), F.size(F.filter(stays, lambda x, k: x & (k >= DEPTH)))  # past the leading words
+    clear = (kept >= same * F.size("t")) & (past >= same * (F.size("t") - DEPTH))
+    general = general.select("leaf", "masked", F.when(clear, F.xxhash64("leaf", F.transform("t", lambda x: x["word"]))).otherwise(F.col("masked")).alias("template"))
     lines = found.filter("one").withColumn("template", F.col("masked")).select("doc_id", "row", "leaf", "template", "numbers")
     lines = lines.union(found.filter("not one").join(general, ["leaf", "masked"]).select("doc_id", "row", "leaf", "template", "numbers"))
     lines = written(lines)

@@ -80,6 +80,13 @@ def test_line_templates(spark):
     assert lt.line_report(frame.limit(0)).count() == 0
 
 
+def test_lines_that_share_only_their_opening_stay(spark):
+    rest = ["Ster.", "eng eresnt.", "A, reha mofe."]
+    docs = [(i, "\n".join([*(f"Was erlytion that. {r.replace('e', chr(97 + i))}" for r in rest), f"Sent to you by {'uvwxyz'[i]} from home"])) for i in range(6)]
+    got = lt.drop_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()
+    assert {r.doc_id: r.text for r in got} == {i: t if i == 0 else t.rsplit("\n", 1)[0] for i, t in docs}
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_flat_files(spark, width):
     docs = [(i, t) for i, t in enumerate([None, "", "one", "<|endoftext|> as text", "the " * 700, "", "x y z"] * 5)]
