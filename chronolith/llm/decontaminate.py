@@ -156,7 +156,23 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, br
 
 
 def _joined_scan(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """For a benchmark too large to broadcast: windows meet on their hash, through a shuffle; hits go back by row."""
+    """For a benchmark too large to broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = utf8(batch["text"])
+            for i, j, part, at in chunks(raw, offs):
+                w = scan(LOWER[part], at, NOT_ALNUM)
+                yield _rows(batch["doc_id"].slice(i, j - i), w, *_checked(w, batch[_HITS].slice(i, j - i).to_pylist()), lambda x: x[1])
+
+    return _with_hits(docs, items, size).mapInArrow(run, RESULT)
+
+
+_ROW, _HITS = "chronolith_row", "chronolith_hits"
+
+
+def _with_hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """``docs`` and, of each row, its windows that meet one of an item on their hash, through a shuffle; hits go back by row."""
     from .storage import written
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +181,12 @@ def _joined_scan(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
             for i, _, part, at in chunks(raw, offs):
                 w = scan(LOWER[part], at, NOT_ALNUM)
                 a, n, h = _windows(w, size)
-                doc = np.searchsorted(w.first, a, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int32()), batch["item"].take(pa.array(doc + i)), pa.array([_joined(w, x, x + k) for x, k in zip(a, n, strict=True)], pa.binary())], ["h", "n", "item", "words"])
+                of = pa.array(np.searchsorted(w.first, a, "right") - 1 + i)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int32()), batch["no"].take(of), batch["item"].take(of), pa.array([_joined(w, x, x + k) for x, k in zip(a, n, strict=True)], pa.binary())], ["h", "n", "no", "item", "words"])
 
-    grams = written(items.mapInArrow(of_items, "h long, n int, item string, words binary"))
+    grams = written(items.withColumn("no", F.monotonically_increasing_id()).mapInArrow(of_items, "h long, n int, no long, item string, words binary"))
     sizes = [r["n"] for r in grams.select("n").distinct().collect()]  # at most ``size`` rows
-    keyed = written(docs.withColumn("row", F.monotonically_increasing_id()))
+    keyed = written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,48 +199,57 @@ def _joined_scan(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
                     doc = np.searchsorted(w.first, a, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(rolling.of(a, a + k).view(np.int64)), pa.array(np.full(len(a), k), pa.int32()), batch["row"].take(pa.array(doc + i)), pa.array(a - w.first[doc], pa.int32())], ["h", "n", "row", "at"])
 
-    hits = keyed.select("row", "text").mapInArrow(of_docs, "h long, n int, row long, at int").join(grams.groupBy("h", "n").agg(F.collect_set(F.struct("item", "words")).alias("of")), ["h", "n"])
-    hits = hits.groupBy("row").agg(F.collect_list(F.struct("at", "n", "of")).alias("hits"))
+    texts = keyed.select(F.col(_ROW).alias("row"), F.col("text").cast("string").alias("text"))
+    hits = texts.mapInArrow(of_docs, "h long, n int, row long, at int").join(grams.groupBy("h", "n").agg(F.collect_set(F.struct("no", "item", "words")).alias("of")), ["h", "n"])
+    hits = hits.groupBy(F.col("row").alias(_ROW)).agg(F.collect_list(F.struct("at", "n", "of")).alias(_HITS))
+    return keyed.join(hits, _ROW, "left").drop(_ROW)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                raw, offs = utf8(batch["text"].slice(r, 1))
-                w = scan(LOWER[raw], offs, NOT_ALNUM)
-                good = [(x["at"], x["at"] + x["n"], {o["item"] for o in x["of"] if o["words"] == _joined(w, x["at"], x["at"] + x["n"])}) for x in batch["hits"][r].as_py() or []]
-                good = sorted((x for x in good if x[2]), key=lambda x: x[:2])
-                yield _rows(batch["doc_id"].slice(r, 1), w, np.array([x[0] for x in good], np.int64), np.array([x[1] for x in good], np.int64), [x[2] for x in good], str)
 
-    return keyed.join(hits, "row", "left").select("doc_id", "text", "hits").mapInArrow(verify, RESULT)
+def _checked(w: Words, hits: list[list | None]) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """Of the documents' joined hits those that hold on their words, like ``NgramSet.hits``."""
+    a, b, items = [], [], []
+    for first, found in zip(w.first.tolist(), hits, strict=False):
+        for x in found or ():
+            at, end = first + x["at"], first + x["at"] + x["n"]
+            words = _joined(w, at, end)
+            if got := {(o["no"], o["item"]) for o in x["of"] if o["words"] == words}:
+                a.append(at)
+                b.append(end)
+                items.append(got)
+    return np.array(a, np.int64), np.array(b, np.int64), items
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, whole and with all columns, whose text holds no window of the benchmark. In one pass without a shuffle."""
-    return _filtered(docs, benchmark, size, spans=False)
+def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs``, whole and with all columns, whose text holds no window of the benchmark. In one pass without a shuffle while the benchmark is broadcast."""
+    return _filtered(docs, benchmark, size, broadcast_bytes, spans=False)
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All rows of ``docs``; the bytes of hit words, and what lies between two of them, are cut from their texts."""
-    return _filtered(docs, benchmark, size, spans=True)
+    return _filtered(docs, benchmark, size, broadcast_bytes, spans=True)
 
 
-def _filtered(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) -> DataFrame:
+def _filtered(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes: int, spans: bool) -> DataFrame:
     items = _items(benchmark)
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    if total > BROADCAST_BYTES:
-        raise ValueError("a benchmark of over BROADCAST_BYTES of text: use scan_documents, and join its result")
-    rows = items.collect()
-    held = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], [r["text"] for r in rows], size))
-    k = docs.columns.index("text")
+    k, kind, n = docs.columns.index("text"), docs.schema, len(docs.columns)
+    held = None
+    if total > broadcast_bytes:
+        docs = _with_hits(docs, items, size)
+    else:
+        rows = items.collect()
+        held = docs.sparkSession.sparkContext.broadcast(([r["item"] for r in rows], [r["text"] for r in rows], size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ngrams = _held(held)
+        ngrams = _held(held) if held else None
         for batch in batches:
+            joined = None if ngrams else batch.column(n)
+            batch = batch.select(range(n))
             raw, offs = utf8(batch.column(k))
             clean, texts = np.ones(batch.num_rows, bool), {}
-            for i, _, part, at in chunks(raw, offs):
+            for i, j, part, at in chunks(raw, offs):
                 w = scan(LOWER[part], at, NOT_ALNUM)
-                a, b, _ = ngrams.hits(w)
+                a, b, _ = ngrams.hits(w) if ngrams else _checked(w, joined.slice(i, j - i).to_pylist())
                 hit = covered(int(w.first[-1]), a, b)
                 for d in np.unique(np.searchsorted(w.first, a, "right") - 1).tolist():
                     clean[i + d] = False
@@ -244,4 +269,4 @@ def _filtered(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) ->
             else:
                 yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, kind)

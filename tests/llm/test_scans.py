@@ -74,6 +74,20 @@ def test_decontaminate_filters_and_empty(spark):
     assert decontaminate.scan_documents(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontaminate_alike_at_every_size(spark, limit):
+    item = "a b c d e f g h i j"
+    bench = spark.createDataFrame([(1, item), (1, item + " k"), (None, item), (None, "q r")], "item_id long, text string").repartition(2)
+    docs = frame(spark, ["keep A", "x a B c-d e f g h i j, y", None, "Q! r", "keep A", "", "a b c, a b c d e f g h i j k"])
+    got = {r.doc_id: (r.n_items, r.items_sha256) for r in decontaminate.scan_documents(docs, bench, broadcast_bytes=limit).collect()}
+    sha = lambda names: hashlib.sha256(names.encode()).hexdigest()
+    assert {i: got[i] for i in (0, 1, 3, 6)} == {0: (0, sha("")), 1: (3, sha("1,1,null")), 3: (1, sha("null")), 6: (3, sha("1,1,null"))}
+    kept = decontaminate.remove_documents(docs, bench, broadcast_bytes=limit)
+    assert kept.schema == docs.schema and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
+    cut = decontaminate.remove_spans(docs, bench, broadcast_bytes=limit)
+    assert cut.schema == docs.schema and {r.doc_id: r.text for r in cut.collect()} == {0: "keep A", 1: "x , y", 2: None, 3: "", 4: "keep A", 5: "", 6: "a b c, "}
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     n = len(words)
