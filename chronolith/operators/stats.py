@@ -29,26 +29,30 @@ def is_spike(n: Column, base: Column, spread: Column, floor: Column, sigma: floa
     return (n >= floor) & F.when(spread > 0, n >= base + sigma * spread).otherwise(n >= base + sigma + 1)
 
 
-def period_counts(events: DataFrame, period: Column, most_ids: int | None = None) -> DataFrame:
-    """(period, kind, n, ids) of gated events (event_id, kind, day, relevance): distinct events, without periods of none."""
-    distinct = events.filter(gate(F.col("relevance"))).select(period.alias("period"), "kind", "event_id").distinct()
+def _keys(scope: str | None) -> list[str]:
+    return [scope] if scope else []
+
+
+def period_counts(events: DataFrame, period: Column, most_ids: int | None = None, scope: str | None = None) -> DataFrame:
+    """(scope if given, period, kind, n, ids) of gated events (event_id, kind, day, relevance): distinct events, without periods of none."""
+    distinct = events.filter(gate(F.col("relevance"))).select(*_keys(scope), period.alias("period"), "kind", "event_id").distinct()
     ids = F.array_sort(F.collect_list("event_id"))
-    return distinct.groupBy("period", "kind").agg(F.count("*").alias("n"), (F.slice(ids, 1, most_ids) if most_ids else ids).alias("ids"))
+    return distinct.groupBy(*_keys(scope), "period", "kind").agg(F.count("*").alias("n"), (F.slice(ids, 1, most_ids) if most_ids else ids).alias("ids"))
 
 
-def spikes(counts: DataFrame, floor: int = model.SIGNAL_FLOOR, sigma: float = model.SIGNAL_SIGMA) -> DataFrame:
+def spikes(counts: DataFrame, floor: int = model.SIGNAL_FLOOR, sigma: float = model.SIGNAL_SIGMA, scope: str | None = None) -> DataFrame:
     """Periods of unusual volume, by kind. The number of periods and kinds, not of events, bounds what is joined."""
-    stats = robust(counts, "n", "kind")
+    stats = robust(counts, "n", *_keys(scope), "kind")
     low = F.when(F.col("kind") == "regulation", F.greatest(F.lit(2), F.lit(floor - 1))).otherwise(floor)
-    hit = counts.join(stats, "kind").filter(is_spike(F.col("n"), F.col("base"), F.col("spread"), low, sigma))
+    hit = counts.join(stats, [*_keys(scope), "kind"]).filter(is_spike(F.col("n"), F.col("base"), F.col("spread"), low, sigma))
     magnitude = F.when(F.col("spread") > 0, F.round((F.col("n") - F.col("base")) / F.col("spread"), 1)).otherwise(F.col("n") - F.col("base"))
     return hit.withColumn("signal", F.when(F.col("kind") == "regulation", "regulatory_burst").otherwise("volume_spike")).withColumn("magnitude", magnitude)
 
 
-def cross_peer(events: DataFrame, members: DataFrame) -> DataFrame:
-    """(week, shared, widest, ids): events of more than one member in a week. Not gated, unlike the counts."""
-    peers = events.join(members, "subject_id", "left_semi").groupBy("event_id", "day").agg(F.count_distinct("subject_id").alias("peers")).filter("peers > 1")
-    return peers.groupBy(week_of(F.col("day")).alias("week")).agg(F.count("*").alias("shared"), F.max("peers").alias("widest"), F.array_sort(F.collect_list("event_id")).alias("ids"))
+def cross_peer(events: DataFrame, members: DataFrame, scope: str | None = None) -> DataFrame:
+    """(scope if given, week, shared, widest, ids): events of more than one member of a scope in a week. Not gated, unlike the counts."""
+    peers = events.join(members.select("subject_id", *_keys(scope)), "subject_id").groupBy(*_keys(scope), "event_id", "day").agg(F.count_distinct("subject_id").alias("peers")).filter("peers > 1")
+    return peers.groupBy(*_keys(scope), week_of(F.col("day")).alias("week")).agg(F.count("*").alias("shared"), F.max("peers").alias("widest"), F.array_sort(F.collect_list("event_id")).alias("ids"))
 
 
 def first_last(prices: DataFrame) -> DataFrame:
@@ -65,16 +69,22 @@ def divergence(returns: DataFrame, scope: str, points: float = model.DIVERGENCE_
     return worst.withColumn("gap", F.round(F.col("pct") - F.col("sector"), 1)).filter(F.abs("gap") >= points)
 
 
-def signals(events: DataFrame, prices: DataFrame, members: DataFrame, floor: int = model.SIGNAL_FLOOR, sigma: float = model.SIGNAL_SIGMA, points: float = model.DIVERGENCE_POINTS) -> DataFrame:
+def signals(events: DataFrame, prices: DataFrame, members: DataFrame, floor: int = model.SIGNAL_FLOOR, sigma: float = model.SIGNAL_SIGMA, points: float = model.DIVERGENCE_POINTS, scope: str | None = None) -> DataFrame:
     """All signals of one scope: (signal, kind, window_start, window_end, magnitude, event_ids), the newest and strongest first.
 
     events: (event_id, subject_id, kind, day, relevance); prices: (subject_id, day, close); members: (subject_id).
+    With ``scope``, a column of members, one set of signals for each of its values, led by it, over its members' events.
     """
-    bursts = spikes(period_counts(events, week_of(F.col("day")), 40), floor, sigma)
-    one = bursts.select("signal", "kind", F.col("period").alias("window_start"), F.date_add("period", 6).alias("window_end"), F.col("magnitude").cast("double").alias("magnitude"), F.slice("ids", 1, 40).alias("event_ids"))
-    two = cross_peer(events, members).select(F.lit("cross_peer_cluster").alias("signal"), F.lit(None).cast("string").alias("kind"), F.col("week").alias("window_start"), F.date_add("week", 6).alias("window_end"), F.col("widest").cast("double").alias("magnitude"), F.slice("ids", 1, 40).alias("event_ids"))
-    worst = divergence(first_last(prices.join(members, "subject_id", "left_semi")).withColumn("scope", F.lit(1)), "scope", points)
-    cited = events.filter(gate(F.col("relevance")) & F.col("kind").isin("earnings", "filing", "news")).join(F.broadcast(worst.select("subject_id")), "subject_id")  # one row
-    newest = cited.orderBy(F.col("day").desc(), "event_id").limit(25).groupBy("subject_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_date("day")).alias("d"), "event_id"))), lambda x: x["event_id"]).alias("event_ids"))
-    three = worst.join(newest, "subject_id", "left").select(F.lit("price_divergence").alias("signal"), F.lit(None).cast("string").alias("kind"), F.col("d0").alias("window_start"), F.col("d1").alias("window_end"), F.col("gap").cast("double").alias("magnitude"), F.coalesce("event_ids", F.array().cast("array<long>")).alias("event_ids"))
-    return one.union(two).union(three).orderBy(F.col("window_start").desc(), F.abs("magnitude").desc())
+    keys, by = _keys(scope), scope or "scope"
+    peers = members.select("subject_id", *keys)
+    scoped = events.join(peers, "subject_id") if scope else events
+    bursts = spikes(period_counts(scoped, week_of(F.col("day")), 40, scope), floor, sigma, scope)
+    one = bursts.select(*keys, "signal", "kind", F.col("period").alias("window_start"), F.date_add("period", 6).alias("window_end"), F.col("magnitude").cast("double").alias("magnitude"), F.slice("ids", 1, 40).alias("event_ids"))
+    two = cross_peer(events, members, scope).select(*keys, F.lit("cross_peer_cluster").alias("signal"), F.lit(None).cast("string").alias("kind"), F.col("week").alias("window_start"), F.date_add("week", 6).alias("window_end"), F.col("widest").cast("double").alias("magnitude"), F.slice("ids", 1, 40).alias("event_ids"))
+    returns = first_last(prices.join(peers, "subject_id", "left_semi"))
+    worst = divergence(returns.join(peers, "subject_id") if scope else returns.withColumn(by, F.lit(1)), by, points)
+    cited = events.filter(gate(F.col("relevance")) & F.col("kind").isin("earnings", "filing", "news")).join(worst.select(by, "subject_id"), "subject_id")  # one row of each scope
+    newest = cited.withColumn("r", F.row_number().over(Window.partitionBy(by, "subject_id").orderBy(F.col("day").desc(), "event_id"))).filter("r <= 25")
+    newest = newest.groupBy(by, "subject_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_date("day")).alias("d"), "event_id"))), lambda x: x["event_id"]).alias("event_ids"))
+    three = worst.join(newest, [by, "subject_id"], "left").select(*keys, F.lit("price_divergence").alias("signal"), F.lit(None).cast("string").alias("kind"), F.col("d0").alias("window_start"), F.col("d1").alias("window_end"), F.col("gap").cast("double").alias("magnitude"), F.coalesce("event_ids", F.array().cast("array<long>")).alias("event_ids"))
+    return one.union(two).union(three).orderBy(*keys, F.col("window_start").desc(), F.abs("magnitude").desc())

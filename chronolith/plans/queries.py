@@ -92,6 +92,15 @@ def q_cross_peer_weeks(spark: SparkSession, sf: str) -> DataFrame:
     return stats.cross_peer(v.ev(spark, sf).join(v.links(spark, sf), "event_id"), peers).select(day("week").alias("week"), "shared", "widest", ids("ids").alias("ids"))
 
 
+@query("""
+WITH p AS (SELECT industry_id, event_id, day, count(DISTINCT subject_id) AS peers FROM ev JOIN links USING (event_id) JOIN subj USING (subject_id) GROUP BY 1, 2, 3 HAVING count(DISTINCT subject_id) > 1)
+SELECT industry_id, CAST(date_trunc('week', day)::DATE AS VARCHAR) AS week, count(*) AS shared, max(peers) AS widest, array_to_string(list_sort(list(event_id)), ',') AS ids FROM p GROUP BY 1, 2""", "ev", "links", "subj")
+def q_cross_peer_weeks_by_industry(spark: SparkSession, sf: str) -> DataFrame:
+    """The cross-peer weeks of every industry."""
+    events = v.ev(spark, sf).join(v.links(spark, sf), "event_id")
+    return stats.cross_peer(events, v.subj(spark, sf), "industry_id").select("industry_id", day("week").alias("week"), "shared", "widest", ids("ids").alias("ids"))
+
+
 FIRST_LAST = "SELECT subject_id, arg_min(close, day) AS first_close, arg_max(close, day) AS last_close, min(day) AS d0, max(day) AS d1 FROM bars GROUP BY 1"
 
 
@@ -112,9 +121,9 @@ def q_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_signals(spark: SparkSession, sf: str) -> DataFrame:
-    peers = v.subj(spark, sf).filter("industry_id < 5").select("subject_id")
+    """The signals of every industry."""
     events = v.ev(spark, sf).join(v.links(spark, sf), "event_id")
-    return stats.signals(events, v.bars(spark, sf), peers).select("signal", "kind", day("window_start").alias("window_start"), day("window_end").alias("window_end"), "magnitude", ids("event_ids").alias("event_ids"))
+    return stats.signals(events, v.bars(spark, sf), v.subj(spark, sf), scope="industry_id").select("industry_id", "signal", "kind", day("window_start").alias("window_start"), day("window_end").alias("window_end"), "magnitude", ids("event_ids").alias("event_ids"))
 
 
 @query("""
