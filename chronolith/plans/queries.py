@@ -251,6 +251,18 @@ def q_nearest_bar(spark: SparkSession, sf: str) -> DataFrame:
     return series.nearest_event_bar(bars, snapped).select("subject_id", day("day").alias("day"), day("event_day").alias("event_day"), F.col("dist").cast("long").alias("dist"))
 
 
+@query("""
+WITH n AS (SELECT subject_id, day, row_number() OVER (PARTITION BY subject_id ORDER BY day) - 1 AS bar FROM bars), s AS (SELECT DISTINCT subject_id, bar_day AS day FROM (""" + ASOF + """)),
+m AS (SELECT n.*, s.day IS NOT NULL AS has FROM n LEFT JOIN s USING (subject_id, day)),
+p AS (SELECT subject_id, day, bar, max(CASE WHEN has THEN bar END) OVER (PARTITION BY subject_id ORDER BY bar) AS b, min(CASE WHEN has THEN bar END) OVER (PARTITION BY subject_id ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM m),
+d AS (SELECT subject_id, day, CASE WHEN a IS NULL OR bar - b < a - bar THEN b ELSE a END AS t, bar FROM p WHERE a IS NOT NULL OR b IS NOT NULL)
+SELECT d.subject_id, CAST(d.day AS VARCHAR) AS day, CAST(n.day AS VARCHAR) AS event_day, abs(t - d.bar) AS dist FROM d JOIN n ON n.subject_id = d.subject_id AND n.bar = t WHERE abs(t - d.bar) <= 5""", "links", "ev", "bars")
+def q_nearest_bar_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """``q_nearest_bar`` on all snapped events."""
+    bars = v.bars(spark, sf)
+    return series.nearest_event_bar(bars, series.snap(_events_of(spark, sf), bars)).select("subject_id", day("day").alias("day"), day("event_day").alias("event_day"), F.col("dist").cast("long").alias("dist"))
+
+
 CATALYST = {"earnings": 5, "filing": 4, "regulation": 3, "news": 1, "citation": 1, "history": 2}
 
 
@@ -272,6 +284,13 @@ def q_catalysts(spark: SparkSession, sf: str) -> DataFrame:
     return series.catalysts(moves, _events_of(spark, sf), _priority("kind", model.CATALYST_PRIORITY)).select("subject_id", day("day").alias("day"), "event_id", day("jump_day").alias("jump_day"))
 
 
+@query()
+def q_catalysts_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """``q_catalysts`` of all moves of ``model.MIN_MOVE_PCT`` or more."""
+    moves = series.daily_moves(v.bars(spark, sf)).filter(F.abs("pct") >= model.MIN_MOVE_PCT)
+    return series.catalysts(moves, _events_of(spark, sf), _priority("kind", model.CATALYST_PRIORITY)).select("subject_id", day("day").alias("day"), "event_id", day("jump_day").alias("jump_day"))
+
+
 @query("""
 WITH e AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT min(day) AS lo, max(day) AS hi FROM bars WHERE subject_id IN (1, 2) GROUP BY subject_id)),
 i AS (SELECT CASE subject_id WHEN 1 THEN 'a' ELSE 'b' END AS side, day, close FROM bars, e WHERE subject_id IN (1, 2) AND day BETWEEN lo AND hi)

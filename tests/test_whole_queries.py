@@ -2,7 +2,9 @@
 
 import datetime
 
+from chronolith import model
 from chronolith.operators import stats
+from chronolith.plans import queries
 
 
 def test_signals_are_of_each_scope(spark):
@@ -15,3 +17,23 @@ def test_signals_are_of_each_scope(spark):
     assert weeks == {(1, 1, 2, (1,)), (6, 1, 2, (3,))}  # event 2 joins two industries and is in neither
     got = {(r.industry_id, r.signal, r.magnitude, tuple(r.event_ids)) for r in stats.signals(events, prices, members, scope="industry_id").collect()}
     assert got == {(1, "cross_peer_cluster", 2.0, (1,)), (6, "cross_peer_cluster", 2.0, (3,)), (1, "price_divergence", 49.0, (2,)), (6, "price_divergence", -49.0, (3,))}
+
+
+def test_events_of_any_bar_and_moves_of_the_models_limit(spark, monkeypatch):
+    first = datetime.date(2001, 3, 1)
+    days = [first + datetime.timedelta(k) for k in range(30)]
+    closes = [100.0] * 10 + [103.0] * 10 + [206.0] * 10
+    bars = spark.createDataFrame([(1, d, c, 1) for d, c in zip(days, closes, strict=True)], "subject_id long, day date, close double, volume long")
+    events = spark.createDataFrame([(7, 1, "news", days[4]), (8, 1, "filing", days[8]), (9, 1, "news", days[22])], "event_id long, subject_id long, kind string, day date")
+    monkeypatch.setattr(queries.v, "bars", lambda *_: bars)
+    monkeypatch.setattr(queries, "_events_of", lambda *_: events)
+    at, want = [4, 8, 22], set()
+    for k in range(30):
+        dist, t = min((abs(k - e), -e) for e in at)  # of two as near, the later
+        if dist <= model.HOVER_REACH:
+            want.add((1, str(days[k]), str(days[-t]), dist))
+    assert {tuple(r) for r in queries.q_nearest_bar_whole(spark, "").collect()} == want
+    moved = {(k, abs(closes[k] / closes[k - 1] - 1) * 100 >= model.MIN_MOVE_PCT) for k in range(1, 30)}
+    got = {r.day: (r.event_id, r.jump_day) for r in queries.q_catalysts_whole(spark, "").collect()}
+    assert set(got) == {str(days[k]) for k, far in moved if far} == {str(days[10]), str(days[20])}
+    assert got == {str(days[10]): (8, str(days[8])), str(days[20]): (None, str(days[20]))}
