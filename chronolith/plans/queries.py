@@ -389,6 +389,12 @@ def q_tone(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.tone(F.concat(lead, F.substring("text", 1, 60))).alias("tone"))
 
 
+@query()
+def q_tone_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The tone of whole texts."""
+    return table(spark, sf, "documents").select("doc_id", text.tone(F.col("text")).alias("tone"))
+
+
 @query("""
 WITH a AS (SELECT rung, count(*) AS searches, count(has_events) AS known, count(*) FILTER (has_events) AS hits FROM searches GROUP BY ROLLUP (rung)), t AS (SELECT count(*) AS total FROM searches)
 SELECT rung, searches, round(searches / total, 6) AS share, round(coalesce(hits / nullif(known, 0), 0), 6) AS landed, searches - known AS unknown FROM a, t""", "searches")

@@ -37,3 +37,11 @@ def test_events_of_any_bar_and_moves_of_the_models_limit(spark, monkeypatch):
     got = {r.day: (r.event_id, r.jump_day) for r in queries.q_catalysts_whole(spark, "").collect()}
     assert set(got) == {str(days[k]) for k, far in moved if far} == {str(days[10]), str(days[20])}
     assert got == {str(days[10]): (8, str(days[8])), str(days[20]): (None, str(days[20]))}
+
+
+def test_tone_reads_past_the_lead(spark, tmp_path):
+    good, bad, no, lead = model.POSITIVE[0], model.NEGATIVE[0], model.NEGATORS[0], "plain words of tone " * 20
+    docs = [(0, lead + good), (1, lead + bad), (2, lead + no + " " + bad), (3, lead), (4, good + " " + lead + bad)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.tone for r in queries.q_tone_whole(spark, str(tmp_path)).collect()}
+    assert got == {0: "positive", 1: "negative", 2: "positive", 3: "neutral", 4: "neutral"}
