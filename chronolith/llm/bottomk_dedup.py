@@ -9,9 +9,16 @@ many of its rarest values that two classes whose sketches overlap enough must me
 the bottom-k sketch of their union, and those left are confirmed on their full sets.
 
 No group is expanded into all its pairs. First each list compares its members with one
-of them, the first by a hash, so that large groups mostly meet at the same one; classes
-found alike are one component from then on. Then all pairs of a list are compared that
-are not of one component: only links within a component are left out.
+of them, that whose values are the most common, so that copies of one text mostly meet
+at the least changed of them; classes found alike are one component from then on. What
+is left are pairs of a list that are not of one component:
+
+* Lists of up to ``LIST`` classes compare these.
+* The classes of longer lists are compared by their full sets instead: each enters the
+  lists of so many of its rarest shingles that linked sets must meet, and two that meet
+  are a pair only if what follows their place in both sets is enough. Copies of one text
+  that have changed too much to be linked with any share only the common end of their
+  sets, so they make no pairs.
 
 The sketches' overlap of linked documents is at least half the sketch, but for a chance
 of under 1e-7 for each pair at 64 values and similarity 0.8; sets of up to 0.8 times the
@@ -33,14 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import drop, shared_dir, written
+from .storage import Scratch, written
 from .wordscan import LOWER, Rolling, chunks, mix, scan, utf8, window_starts
 
 SKETCH = 64
 #: Lists in which linked classes must meet.
 MEET = 4
-#: Keys of at most so many rows are broadcast (16 bytes each); more are joined through a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Lists of more classes are left to the full sets.
+LIST = 16
 
 
 def shingle_sets(part: np.ndarray, at: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -79,104 +86,106 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the documents whose doc_id is in ``ids`` (rep, distinct)."""
+    """(rep, shingles) of the documents whose doc_id is in ``ids`` (rep). The texts are shuffled once, at every size alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = utf8(batch["text"])
             for i, j, part, at in chunks(raw, offs):
-                sets = [s.tobytes() for s in shingle_sets(part, at, words)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(sets, pa.binary())], ["rep", "shingles"])
+                sets = list(shingle_sets(part, at, words))
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["rep", "shingles"])
+
+    wanted = _columns(docs).join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
+    return wanted.mapInArrow(run, "rep long, shingles array<long>")
 
-    few = ids.count() <= BROADCAST_ROWS
-    wanted = _columns(docs).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("rep"), "left_semi")
-    return wanted.mapInArrow(run, "rep long, shingles binary")
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose estimate on the union's sketch allows it and whose full sets are alike enough."""
-    spark = docs.sparkSession
+
+def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose estimate on the union's sketch allows a link."""
     sketch = classes.select("rep", "sketch")
     both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    near = both.filter(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) * 2 >= F.size(union)).select("a", "b")
-    path = shared_dir(spark)
-    near = written(near, path)
-    sets = _sets(docs, near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), words)
-    at = shared_dir(spark)
-    sets = written(sets, at, compression="none")
+    return both.filter(F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) * 2 >= F.size(union)).select("a", "b").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
-            good = []
-            for k, (x, y) in enumerate(zip(batch["xs"], batch["ys"], strict=True)):
-                x, y = (np.frombuffer(s.as_buffer(), np.int64) for s in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                if common and 100 * common >= percent * (len(x) + len(y) - common):
-                    good.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in good], pa.int64()), pa.array([b[k] for k in good], pa.int64())], ["a", "b"])
-
-    matched = near.join(sets.toDF("b", "ys"), "b").join(sets.toDF("a", "xs"), "a")
-    links = written(matched.select("a", "b", "xs", "ys").mapInArrow(run, "a long, b long").distinct())
-    drop(spark, at)
-    drop(spark, path)
-    return links
+
+def _alike(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets are alike enough."""
+    both = near.join(sets.toDF("b", "ys").hint("merge"), "b").join(sets.toDF("a", "xs").hint("merge"), "a")
+    common = F.size(F.array_intersect("xs", "ys"))
+    return both.filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b").distinct()
 
 
 def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(v, rep, n, meet): each class in the lists of its rarest values; lists of one are left out. ``meet``: in how many it meets any class that it is linked with."""
+    """(v, rep, n, meet, common): each class in the lists of its rarest values; lists of one are left out. ``meet``: in how many it meets any class that it is linked with; ``common``: how common its values are."""
     size = F.size("sketch")
     entries = classes.select("rep", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))  # SKETCH values at most
+    ranked = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum("df").alias("common"))  # SKETCH values at most
     # The sketches of linked classes share so many values: all of a small set that must be common, half of a sketch else.
     overlap = F.when(size <= int(SKETCH * percent / 100), F.ceil(size * percent / 100)).otherwise(F.ceil(size / 2)).cast("int")
     sized = classes.select("rep", F.col("n_shingles").alias("n"), size.alias("s"), overlap.alias("t")).withColumn("meet", F.least(F.lit(MEET), "t"))
     taken = ranked.join(sized, "rep").withColumn("take", F.col("s") - F.col("t") + F.col("meet") - (F.col("s") - F.size("by_df")))
-    return taken.filter("take > 0").select("rep", "n", "meet", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("x.v", "rep", "n", "meet")
+    return taken.filter("take > 0").select("rep", "n", "meet", "common", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("x.v", "rep", "n", "meet", "common")
+
+
+def _by_full_sets(members: DataFrame, sets: DataFrame, percent: int, kept: Scratch) -> DataFrame:
+    """Pairs (a, b) of ``members`` (rep, label) of different labels that their full sets, in the order of rising frequency, allow to be linked."""
+    named = members.join(sets, "rep").select("rep", "label", F.size("shingles").cast("long").alias("n"), "shingles")
+    entries = kept(named.select("rep", "label", "n", F.explode("shingles").alias("v")))
+    shared = kept(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"))
+    ranked = entries.join(shared, "v").groupBy("rep", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))  # of one set
+    # Those that no other has come first; of a set of n, linked with one of percent / 100 * n or more, n - need + 1 must hold a common one.
+    placed = ranked.select("rep", "label", "n", F.size("by_df").alias("s"), F.posexplode("by_df").alias("k", "x")).select("rep", "label", "n", (F.col("n") - F.col("s") + F.col("k") + 1).alias("place"), "x.v")
+    large = kept(placed.filter(f"place <= n - ceil({percent} * n / 100) + 1"))
+    small = large.filter(f"place <= n - ceil({2 * percent} * n / {100 + percent}) + 1")  # as the smaller of the two
+    other = large.toDF("rep2", "label2", "n2", "place2", "v")
+    met = small.join(other, "v").filter(f"label <> label2 and (n < n2 or (n = n2 and rep < rep2)) and 100 * n >= {percent} * n2 and {100 + percent} * (1 + least(n - place, n2 - place2)) >= {percent} * (n + n2)")
+    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, list_size: int = LIST) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, its own included) and kept (it is the smallest)."""
-    spark = docs.sparkSession
-    paths = [shared_dir(spark) for _ in range(4)]
-    sketches = written(_sketches(docs, words), paths[0])
-    one = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
-    classes = written(one.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), paths[1])
-    lists = written(_lists(classes, percent), paths[2])
-
-    def met(rows: DataFrame, least: str) -> DataFrame:
-        able = rows.filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-        pairs = able.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("meet", "meet2")).alias("meet"))
-        return pairs.filter(f"k >= {least}").select("a", "b")
-
-    other = [F.col(c).alias(f"{c}2") for c in ("rep", "n", "meet")]
-    hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.min_by(F.struct("rep", "n", "meet"), F.xxhash64("rep")).alias("hub")).filter("m > 1").select("v", "hub.*").select("v", *other)
-    first = written(met(lists.join(hubs, "v").filter("rep <> rep2"), "least(2, meet)"))
-    links = _confirmed(docs, first, classes, words, percent)
-
-    labels = components(links)
-    named = lists.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, lists.rep == labels.node, "left").select(*lists.columns, F.coalesce("label", "rep").alias("label"))
-    mixed = named.groupBy("v").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("v")
-    named = written(named.join(mixed, "v"), paths[3])
-    rest = met(named.join(named.select("v", *other, F.col("label").alias("label2")), "v").filter("label <> label2 and rep < rep2"), "meet")
-    rest = written(rest.join(first, ["a", "b"], "left_anti"))
-    links = links.union(_confirmed(docs, rest, classes, words, percent))
-
-    labels = components(links)
-    member = sketches.join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
-    out = member.join(labels, member.rep == labels.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    for path in paths[2:]:
-        drop(spark, path)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with Scratch(docs.sparkSession) as kept:
+        sketches = kept(_sketches(docs, words))
+        one = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
+        classes = kept(one.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
+        lists = kept(_lists(classes, percent))
+
+        def met(rows: DataFrame, least: str) -> DataFrame:
+            able = rows.filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
+            pairs = able.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("meet", "meet2")).alias("meet"))
+            return pairs.filter(f"k >= {least}").select("a", "b")
+
+        other = [F.col(c).alias(f"{c}2") for c in ("rep", "n", "meet")]
+        hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by(F.struct("rep", "n", "meet"), F.struct("common", F.xxhash64("rep"))).alias("hub")).filter("m > 1")
+        hubs = kept(hubs.select("v", "m", "hub.*").select("v", "m", *other))
+        first = kept(met(lists.join(hubs.drop("m"), "v").filter("rep <> rep2"), "least(2, meet)"))
+        near = kept(_estimated(first, classes))
+        links = kept(_alike(near, kept(_sets(docs, _ends(near), words)), percent))
+
+        labels = kept(components(links, kept))
+        named = kept(lists.join(labels, lists.rep == labels.node, "left").select("v", "rep", "n", "meet", F.coalesce("label", "rep").alias("label")))
+        mixed = kept(named.groupBy("v").agg(F.count("*").alias("m"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("v", "m"))
+        short = kept(named.join(mixed.filter(F.col("m") <= list_size), "v"))
+        long = kept(named.join(mixed.filter(F.col("m") > list_size), "v").select("rep", "label").distinct())
+        rest = met(short.join(short.select("v", *other, F.col("label").alias("label2")), "v").filter("label <> label2 and rep < rep2"), "meet")
+        near = kept(_estimated(rest.join(first, ["a", "b"], "left_anti"), classes))
+        sets = kept(_sets(docs, _ends(near).union(long.select("rep")), words))
+        wide = _by_full_sets(long, sets, percent, kept).join(first, ["a", "b"], "left_anti")
+        links = kept(links.union(_alike(near.union(_estimated(wide, classes)).distinct(), sets, percent)))
+
+        labels = kept(components(links, kept))
+        member = sketches.join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"], "left")
+        component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
+        out = member.join(labels, member.rep == labels.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+        return written(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, with all columns, but of each component only its smallest doc_id."""
-    gone = written(near_duplicates(docs, words, percent).filter("not kept").select("doc_id").distinct())
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("chronolith_id")).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("chronolith_id"), "left_anti").select(*docs.columns)

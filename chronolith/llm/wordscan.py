@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -158,7 +158,7 @@ class Rolling:
         n = len(self.sums) - size
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + _U(size) * _SEED)
+        return mix((self.sums[size:] - self.sums[:n]) * self.down[:n] + np.multiply(_U(size), _SEED, dtype=np.uint64))
 
 
 def window_starts(first: np.ndarray, size: int) -> np.ndarray:

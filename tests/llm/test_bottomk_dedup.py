@@ -7,6 +7,7 @@ import pytest
 
 from chronolith.llm import bottomk_dedup as bd
 from chronolith.llm.components import components
+from chronolith.llm.storage import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -55,20 +56,37 @@ def near_corpus(seed):
     return list(zip(ids, docs, strict=True))
 
 
-@pytest.mark.parametrize("words", [2, 5])
-def test_near_duplicates(spark, words):
+@pytest.mark.parametrize(("words", "list_size"), [(2, bd.LIST), (5, bd.LIST), (5, 2)])
+def test_near_duplicates(spark, words, list_size):
     docs = near_corpus(words)
     rows = [(i, t, "label", 0) for i, t in docs]
     frame = spark.createDataFrame(rows, "doc_id long, text string, label string, n int").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bd.near_duplicates(frame, words).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bd.near_duplicates(frame, words, list_size=list_size).collect()}
     assert got == brute(docs, words, 80)
-    if words == 5:
+    if words == 5 and list_size > 2:
         left = {r.doc_id for r in bd.keep_one(frame, words).collect()}
         assert left == {i for i, r in got.items() if r[2]}
 
 
-def test_shuffled_sets_and_null_ids(spark, monkeypatch):
-    monkeypatch.setattr(bd, "BROADCAST_ROWS", 0)
+def test_copies_of_one_text(spark):
+    """A large group of copies, each changed at random: many of them linked, many not, in lists of all of them."""
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(400)] + ["the", "of"] * 40
+    base, other = ([rng.choice(vocab) for _ in range(90)] for _ in range(2))
+    docs = []
+    for k in range(160):
+        copy = list(base if k % 4 else base[:45] + other[:60])
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6, 9, 15))):
+            copy[rng.randrange(len(copy))] = rng.choice(vocab)
+        if k % 5 == 0:
+            copy += other[: rng.randrange(12)]
+        docs.append((k, " ".join(copy)))
+    for words in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words).collect()}
+        assert got == brute(docs, words, 80)
+
+
+def test_repeated_rows_and_null_ids(spark):
     docs = [(5, "a b c d e f g"), (None, "a b c d e f g"), (2, "A b c d e f g"), (2, "A b c d e f g"), (9, "a b c d e f h")]
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in bd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2, 70).collect())
     assert got == [(-1, None, True), (2, 2, True), (2, 2, True), (5, 2, False), (9, 2, False)]
@@ -88,6 +106,6 @@ def test_components(spark):
     for a, b in links:
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark)).collect()}
     loops = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: find(x) for x in root if x not in loops}
