@@ -32,8 +32,8 @@ def brute_lines(docs, min_docs, same=lt.SAME, depth=lt.DEPTH):
     for rows in leaves.values():
         docs_of = defaultdict(set)
         for i, r, m in rows:
-            docs_of[m].add(r)
-        if len(docs_of) == 1 or len({(r, m) for _, r, m in rows}) < min_docs:
+            docs_of[m].add(i)
+        if len(docs_of) == 1 or len({(i, m) for i, _, m in rows}) < min_docs:
             template |= {m: (m,) for m in docs_of}
             continue
         support = defaultdict(int)
@@ -70,7 +70,8 @@ def test_line_templates(spark):
         for _ in range(rng.randint(1, 8)):
             lines.append(rng.choice(boiler)() if rng.random() < 0.4 else " ".join(word() for _ in range(rng.randint(1, 6))))
         docs.append((i, "\n".join(lines)))
-    frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, row string").repartition(3)
+    docs += docs[7:20] * 3 + [(7, "another text of one id\nAll rights reserved."), (8, " ".join(word() for _ in range(20_000)))]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, row string, numbers int").repartition(3)
     got = sorted(map(tuple, lt.line_report(frame, min_docs=4).collect()), key=str)
     assert got == brute_lines(docs, 4)
     texts = lt.drop_lines(frame, min_docs=4)
@@ -87,6 +88,14 @@ def test_lines_that_share_only_their_opening_stay(spark):
     assert {r.doc_id: r.text for r in got} == {i: t if i == 0 else t.rsplit("\n", 1)[0] for i, t in docs}
 
 
+def test_repeated_rows_are_one_document(spark):
+    docs = [(k, f"alpha beta gamma delta {w}") for k, w in enumerate(["one", "two", "six", "ten", "one"], 1)]
+    cut = lambda rows: {r.doc_id: r.text for r in lt.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert cut(docs) == cut(docs[:1] * 5 + docs[1:]) == {1: docs[0][1], 2: "", 3: "", 4: "", 5: ""}
+    report = lt.line_report(spark.createDataFrame(docs + docs[4:], "doc_id long, text string")).filter("doc_id = 5").collect()
+    assert [(r.n_lines, r.n_dropped) for r in report] == [(1, 1)] * 2
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_flat_files(spark, width):
     docs = [(i, t) for i, t in enumerate([None, "", "one", "<|endoftext|> as text", "the " * 700, "", "x y z"] * 5)]
