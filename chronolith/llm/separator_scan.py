@@ -31,11 +31,15 @@ from .token_huffman import library_words
 from .wordscan import utf8
 
 BLOCK_BYTES = 4 << 20
+IDS_A_ROW = 10_000
 FILES = "shard int, path string, bytes long"
 
 
 def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2) -> DataFrame:
-    """Writes each partition of ``docs`` to a flat file in the shared folder: rows (shard, path, bytes, doc_ids). No shuffle.
+    """Writes each partition of ``docs`` to a flat file in the shared folder: rows (shard, path, bytes, first, doc_ids). No shuffle.
+
+    A row holds the ids of the documents from the file's number ``first`` on, some tens
+    of thousands at most; the last of a file has its bytes, the others 0.
 
     A file's name has the attempt that wrote it, and only attempts whose rows are kept
     count, so a task may run again at any time.
@@ -49,25 +53,31 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2
         store, inner = fs.FileSystem.from_uri(folder)
         store.create_dir(inner, recursive=True)
         name = f"tokens-{task.partitionId()}-{task.taskAttemptId()}.bin"
-        names, size = [], 0
+        names, done, size = [], 0, 0
+
+        def row(upto: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([upto], pa.int64()), pa.array([done], pa.int64()), pa.array([names], pa.list_(pa.int64()))], ["shard", "path", "bytes", "first", "doc_ids"])
+
         with store.open_output_stream(f"{inner}/{name}") as out:
             for batch in batches:
                 raw, offs = utf8(batch["text"])
                 view, bounds = memoryview(raw), offs.tolist()
                 names += batch["doc_id"].to_pylist()
                 for first in range(0, batch.num_rows, 1000):
-                    texts = [bytes(view[bounds[i] : bounds[i + 1]]).split() for i in range(first, min(first + 1000, batch.num_rows))]
-                    table.learn(set().union(*texts))
-                    ids = np.frombuffer(b"".join(x for words in texts for x in (*map(table.__getitem__, words), end)), "<u4")
+                    texts = [bytes(view[bounds[i] : bounds[i + 1]]) for i in range(first, min(first + 1000, batch.num_rows))]
+                    ids = np.frombuffer(b"".join(x for blob in table.encode(texts) for x in (blob, end)), "<u4")
                     if width == 2 and len(ids) and ids.max() >> 16:
                         raise ValueError("ids of over 16 bits need a width of 4")
                     out.write(ids.astype(kind).tobytes())
                     size += width * len(ids)
-        if names:
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64()), pa.array([names], pa.list_(pa.int64()))], ["shard", "path", "bytes", "doc_ids"])
+                if len(names) >= IDS_A_ROW:
+                    yield row(0)
+                    done, names = done + len(names), []
+        if size:
+            yield row(size)
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(columns.mapInArrow(run, FILES + ", doc_ids array<long>"))
+    return written(columns.mapInArrow(run, FILES + ", first long, doc_ids array<long>"))
 
 
 def count_tokens(files: DataFrame, end_id: int, width: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -100,5 +110,5 @@ def count_tokens(files: DataFrame, end_id: int, width: int = 2, block_bytes: int
 
 def with_doc_ids(counts: DataFrame, files: DataFrame) -> DataFrame:
     """Adds the doc_id that ``write_flat`` had at each place of a file."""
-    order = files.select("shard", F.posexplode("doc_ids").alias("i", "doc_id")).select("shard", F.col("i").cast("long").alias("doc_no"), "doc_id")
+    order = files.select("shard", "first", F.posexplode("doc_ids").alias("i", "doc_id")).select("shard", (F.col("first") + F.col("i")).alias("doc_no"), "doc_id")
     return counts.join(order, ["shard", "doc_no"])

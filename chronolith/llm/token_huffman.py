@@ -17,13 +17,16 @@ total for each task and one count for each id of the vocabulary.
 
 Defined results: null texts are empty (just the end id); null doc_ids come first;
 documents of the same doc_id are ordered by their text's hash; an empty table gives no
-segment and an empty codebook; other columns are ignored.
+segment and an empty codebook; other columns are ignored. Texts are encoded some 1000
+documents at a time, so memory goes with these and the longest text.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,16 +45,36 @@ END_ID = 1
 LIMIT, BLOCK = 20, 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT = 1 << 16
-#: Words that a worker keeps the ids of; the table is emptied when full.
-WORDS_KEPT = 1_000_000
+#: Words, and parts of words, that a worker keeps the ids of; a table is emptied when full.
+WORDS_KEPT = 300_000
+#: Words of letters that the library is asked for as one text.
+JOINED = 1000
 #: Ids that are decoded together.
 TOGETHER = 1 << 21
 
 
+#: The steps before the model of tokenizer files whose texts can be asked for word by word (fixed values of such files).
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_WORD_END = "</w>"
+#: Letters between runs of ASCII signs other than the apostrophe.
+_PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class LibraryWords(dict):
-    """Words to their ids as little-endian 32-bit numbers, found by the tokenizers library in batches.
+    """Texts to their ids as little-endian 32-bit numbers, found by the tokenizers library.
+
+    Where the file's steps before the model are ``_NORMALIZERS`` and ``_SPLIT``, a text's
+    ids are those of its words in turn, which are kept in a table:
 
-    For tokenizers that drop white space, a text's ids are those of its words in turn.
+    * No step has to do with white space but to cut at it.
+    * ASCII letters are lower-cased by the file, so words that differ in them have the same ids.
+    * Runs of letters and runs of other signs are pieces of their own. Each piece ends
+      with an id of a token with ``_WORD_END``, and no other id is of one.
+
+    So words of letters are asked for many at once, as one text, and its ids are cut after
+    word ends. If these are not as many as the words, each word is asked for on its own,
+    as are words with digits and apostrophes. Other files are asked for whole texts.
     """
 
     def __init__(self, text: str, specials_are_text: bool = False):
@@ -62,38 +85,72 @@ class LibraryWords(dict):
         self.whole.no_truncation()
         self.whole.no_padding()
         self.whole.encode_special_tokens = specials_are_text
-        probe = ["don't", "a-b!", "Éa", "x1"]
-        if self.ids(" \t" + "  ".join(probe)) != [i for p in probe for i in self.ids(p)]:
-            raise ValueError("this tokenizer does not drop white space")
-        self.tails = {t.encode(): array.array("I", self.ids(t)).tobytes() for t in ".,"}
-        letters = [chr(c) for c in range(0x20, 0x7F)]
-        self.folds = all(self.ids(c) == self.ids(c.lower()) and self.ids(f"Ab{c}") == self.ids(f"ab{c.lower()}") for c in letters) and all(self.ids(w + t) == self.ids(w) + self.ids(t) for w in ("ab", "q", "the", "xyzzy") for t in ".,")
-
-    def ids(self, text: str) -> list[int]:
-        return self.whole.encode(text, add_special_tokens=False).ids
+        spec = json.loads(text)
+        model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.by_word = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS and len(steps) == 2 and steps[0] == _SPLIT and steps[1].items() >= bytes_only.items() and model.get("end_of_word_suffix") == _WORD_END and not model.get("continuing_subword_prefix")
+        self.parts: dict[str, bytes] = {}
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
+        names = self.whole.get_vocab(with_added_tokens=False)
+        self.is_end = np.zeros(max(names.values()) + 1, bool)
+        self.is_end[[i for t, i in names.items() if t.endswith(_WORD_END)]] = True
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of whole texts."""
+        if not self.by_word:
+            return self._ask([t.decode() for t in texts])
+        cut = [t.split() for t in texts]
+        self.learn(set().union(*cut))
+        return [b"".join(map(self.__getitem__, words)) for words in cut]
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
         """Finds the ids of the words that the table lacks."""
-        lacking = [w for w in words if w not in self]
-        if len(self) + 2 * len(lacking) > WORDS_KEPT:
+        lacking = words - self.keys()
+        if len(self) + len(lacking) > WORDS_KEPT:
             self.clear()
-            lacking = list(words)
-        roots = {w: self._root(w) for w in lacking}
-        new = list({r for r, _ in roots.values() if r not in self})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.whole.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = array.array("I", e.ids).tobytes()
-        for w, (root, tail) in roots.items():
-            self[w] = self[root] + self.tails[tail] if tail else self[root]
-
-    def _root(self, word: bytes) -> tuple[bytes, bytes]:
-        """The word that has the same ids, as far as the tokenizer allows it: in lower case, and without a stop or comma at its end, which then follows."""
-        if self.folds and word.isascii() and b"<" not in word:  # not what may become a special token
-            word = word.lower()
-            if word[-1:] in self.tails and word[:-1].isalpha():
-                return word[:-1], word[-1:]
-        return word, b""
+            lacking = words
+        if len(self.parts) > WORDS_KEPT:
+            self.parts.clear()
+        parts, fit, special = self.parts, _PARTS.fullmatch, self.special.search if self.special else lambda t: None
+        whole, as_part, split, groups = [], [], [], []  # words and their one part, words and their three
+        for w in lacking:
+            t = w.decode()
+            low = t.lower() if t.isascii() else t
+            if low.isalpha():
+                whole.append(w)
+                as_part.append(low)
+            elif special(low) or not (found := fit(low)):
+                whole.append(w)
+                as_part.append(t)
+            else:
+                split.append(w)
+                groups += found.groups()
+        self._learn([p for p in {*as_part, *groups} if p not in parts and p])
+        parts[""] = b""
+        self.update(zip(whole, map(parts.__getitem__, as_part), strict=True))
+        three = map(parts.__getitem__, groups)
+        self.update((w, x + y + z) for w, x, y, z in zip(split, three, three, three, strict=True))
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if p.isalpha()]
+        alone = [p for p in parts if not p.isalpha()]
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for group, text in zip(groups, self._ask([" ".join(g) for g in groups]), strict=True):
+            ends = 4 * (np.flatnonzero(self.is_end[np.frombuffer(text, "<u4")]) + 1)
+            if len(ends) != len(group):
+                alone += group
+                continue
+            a = 0
+            for p, b in zip(group, ends.tolist(), strict=True):
+                self.parts[p] = text[a:b]
+                a = b
+        for i in range(0, len(alone), 20_000):
+            for p, ids in zip(alone[i : i + 20_000], self._ask(alone[i : i + 20_000]), strict=True):
+                self.parts[p] = ids
 
 
 _tables: dict[tuple[int, bool], LibraryWords] = {}
@@ -210,10 +267,9 @@ def _segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             raw, offs = utf8(batch["text"])
             view, bounds, ids = memoryview(raw), offs.tolist(), batch["doc_id"].to_pylist()
             for first in range(0, len(ids), 1000):
-                texts = [bytes(view[bounds[i] : bounds[i + 1]]).split() for i in range(first, min(first + 1000, len(ids)))]
-                table.learn(set().union(*texts))
-                for k, words in enumerate(texts, first):
-                    blob = b"".join(map(table.__getitem__, words)) + end
+                texts = [bytes(view[bounds[i] : bounds[i + 1]]) for i in range(first, min(first + 1000, len(ids)))]
+                for k, blob in enumerate(table.encode(texts), first):
+                    blob += end
                     n = len(blob) // 4
                     names.append(ids[k])
                     sizes.append(n)

@@ -49,7 +49,7 @@ def test_lengths_and_round_trip_of_the_code():
 def test_files(spark, monkeypatch):
     monkeypatch.setattr(th, "SEGMENT", 300)
     rng = random.Random(2)
-    texts = [None, "", "  ", "<|endoftext|> a", "日本 naïve"] + [" ".join(rng.choice(["the", "of", "Zebra", "x9", "don't", "ʼn"]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
+    texts = [None, "", "  ", "<|endoftext|> a", "日本 naïve", "Ends here. " + "long, " * 30_000] + [" ".join(rng.choice(["the", "of", "Zebra", "x9", "don't", "ʼn"]) for _ in range(rng.randint(0, 200))) for _ in range(60)]
     docs = [(i * 3, t, "start") for i, t in enumerate(texts)]
     docs += [docs[9], docs[9], (docs[9][0], "other text", "x")]
     rng.shuffle(docs)
@@ -68,6 +68,21 @@ def test_files(spark, monkeypatch):
         at += len(r.ids)
 
 
+def test_words_as_whole_texts():
+    """Ids by word against whole texts: words with stops, signs on either side, marks that compose, letters whose lower case is two."""
+    tk = Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    parts = ["the", "Zebra", "İstanbul", "ΣΑΣ", "e\u0301", "n\u0303o", "=\u0338", "日本", "ﬁne", "x9", "12,345.6", "don't", "'s", "o'", "''tis", "can't've", "...", "?!", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|b", "ʼn", "\u00a0x\u00a0y", "\u200b", "½", "a_b", "_", "e.g.", "(see", '"quoted"', "end.", "end,", "(x)", "Ⅷ", "\u1e9e", "각", "\u1100\u1161", "#1"]
+    texts = [" ".join(rng.choice(parts) + rng.choice(["", "", ".", ",", ")", "'", "'s", "\u0301"]) for _ in range(200)) for _ in range(100)] + [f"{a}\t{b}{c}" for a in parts for b in parts for c in (".", "'", "")]
+    want = [struct.pack(f"<{len(i)}I", *i) for i in (tk.encode(t, add_special_tokens=False).ids for t in texts)]
+    text = th.tokenizer_text(PATH)
+    assert th.LibraryWords(text).by_word
+    assert th.LibraryWords(text).encode([t.encode() for t in texts]) == want
+    other = th.LibraryWords(th.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json")))
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_word and other.encode([t.encode() for t in texts[:9]]) == [struct.pack(f"<{len(i)}I", *i) for i in (whole.encode(t, add_special_tokens=False).ids for t in texts[:9])]
+
+
 def test_no_documents(spark):
     path = shared_dir(spark)
     th.write(spark.createDataFrame([], "doc_id long, text string"), PATH, path)
