@@ -18,7 +18,9 @@ each distinct word is encoded once for each Python worker, while the bounded tab
 words holds it.
 
 Defined results: a null text counts as empty, and has no tokens; special tokens'
-strings in a text become their ids, as in the library; repeated rows each get theirs.
+strings in a text become their ids, as in the library; repeated rows each get theirs; an
+empty table gives an empty result; other columns are ignored, whatever their names. Rows
+are worked on some megabyte of text at a time, a longer text on its own.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .wordscan import utf8
+from .wordscan import chunks, utf8
 
-#: Words that a worker keeps the tokens of; the table is emptied when full.
-WORDS_KEPT = 700_000
-#: Pairs of tokens that a worker keeps the verdict of.
-PAIRS_KEPT = 1_000_000
+#: Words of up to WORD_BYTES that a worker keeps the tokens of: a table that is full becomes the old one, from which words come back when they are asked for again. About 10 MB each.
+WORDS_KEPT, WORD_BYTES = 50_000, 64
+#: Pairs of tokens that a worker keeps the verdict of, likewise. About 7 MB each table.
+PAIRS_KEPT = 50_000
 #: How a piece's last symbol differs from the others.
 WORD_END = "</w>"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -85,6 +87,7 @@ class Vocabulary:
             self.split[t], self.merge[x, y], inside[t] = (x, y), t, inside[x] + inside[y]
         self.size = {t: len(s) for t, s in inside.items()}
         self._pairs: dict[int, bool] = {}
+        self._old_pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         known = {s: t for t, s in inside.items() if t not in self.split or self._meets(*self.split[t], t)}
         for s, t in known.items():
@@ -114,8 +117,11 @@ class Vocabulary:
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= PAIRS_KEPT:
-                self._pairs.clear()
-            known = self._pairs[key] = self._meets(a, b, 1 << 40)
+                self._old_pairs, self._pairs = self._pairs, {}
+            known = self._old_pairs.get(key)
+            if known is None:
+                known = self._meets(a, b, 1 << 40)
+            self._pairs[key] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -155,7 +161,7 @@ class Encoder(dict):
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        self.vocabulary = Vocabulary(text)
+        self.vocabulary, self.old = Vocabulary(text), {}
         whole = Tokenizer.from_str(text)
         self.normalize, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.place = {c: b for b, c in enumerate(byte_symbols())}
@@ -185,9 +191,14 @@ class Encoder(dict):
         return " ".join(filter(None, map(self.__getitem__, text.split())))
 
     def __missing__(self, word: bytes) -> str:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        ids = self[word] = " ".join(map(str, self.encode_word(word)))
+        ids = self.old.get(word)
+        if ids is None:
+            ids = " ".join(map(str, self.encode_word(word)))
+        if len(word) <= WORD_BYTES:
+            if len(self) >= WORDS_KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -245,22 +256,23 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
         encoder, decoder = coder(held.value)
         for batch in batches:
             raw, offs = utf8(batch["text"])
-            n, ids_sum, text_sum, kept = [], [], [], []
-            view, bounds = memoryview(raw), offs.tolist()
-            for a, b in zip(bounds, bounds[1:], strict=False):
-                ids = encoder.encode(bytes(view[a:b]))
-                numbers = np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
-                n.append(len(numbers))
-                ids_sum.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_sum.append(hashlib.sha256(decoder.decode(numbers)).hexdigest())
+            for i, j, part, at in chunks(raw, offs):
+                n, ids_sum, text_sum, kept = [], [], [], []
+                view, bounds = memoryview(part), at.tolist()
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    ids = encoder.encode(bytes(view[a:b]))
+                    numbers = np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
+                    n.append(len(numbers))
+                    ids_sum.append(hashlib.sha256(ids.encode()).hexdigest())
+                    text_sum.append(hashlib.sha256(decoder.decode(numbers)).hexdigest())
+                    if keep_ids:
+                        kept.append(numbers)
+                columns = [batch["doc_id"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    kept.append(numbers)
-            columns = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *kept]))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(kept))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return columns.mapInArrow(run, RESULT + (", ids array<int>" if keep_ids else ""))

@@ -94,8 +94,8 @@ def repeats(w: Words) -> np.ndarray:
     a, b = a[pairs], b[pairs]
     x, y, common = a.copy(), b.copy(), np.zeros(len(a), np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        ok = (x < n) & (y < n)
-        ok[ok] = levels[k][x[ok]] == levels[k][y[ok]]
+        ok, level = (x < n) & (y < n), levels.pop()
+        ok[ok] = level[x[ok]] == level[y[ok]]
         x[ok] += 1 << k
         y[ok] += 1 << k
         common[ok] += 1 << k
