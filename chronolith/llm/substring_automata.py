@@ -10,17 +10,17 @@ shard holds what can match, and goes only where it can match:
   smallest hash. It depends on the window alone, so equal windows have equal anchors.
   Neighbouring windows with one anchor form a run of words, its span.
 * Anchors of one document only are done with: none of their windows is found elsewhere.
-* An anchor whose spans are all equal has a reference shard of one span, whose automaton
-  is a path: all its windows are found in each of the documents.
-* All other anchors are the shards: the distinct spans with the anchor, each with its
-  smallest doc_id, become one automaton, and the same spans stream past it. What is kept
-  for each window is the smallest document that has it.
+* Each other anchor is a shard: its distinct spans, each with its smallest doc_id, become
+  one automaton, and the same spans stream past it, in place of all documents that have
+  them. What is kept for each window is the smallest document that has it.
 * A shard of more than ``SHARD_SPANS`` distinct spans would be too large for a task. Its
-  windows meet on the hash of all their words instead; each is then a shard of one span.
+  windows get longer anchors, and meet in shards of these; in the last step the anchor is
+  the whole window, and a shard holds a single one.
 
-So automata have at most ``SHARD_SPANS`` spans of at most 2 * WINDOW words, and work and
-shuffles grow in proportion to the input. Spans and windows are compared by hashes of
-128 bits, words within an automaton by themselves.
+So every removed word comes from an automaton's matching statistics, automata have at
+most ``SHARD_SPANS`` spans of at most 2 * WINDOW words, and work and shuffles grow in
+proportion to the input. Documents share a span if its anchor, the anchor's place and the
+span's words have the same hashes (128 bits); automata compare the words themselves.
 
 Defined results: a null text has no words; a document with fewer words than a window
 keeps all; rows that share a doc_id, also exact repeats, are one document, so none makes
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import drop, shared_dir, written
+from .storage import Scratch, written
 from .wordscan import Rolling, Words, chunks, covered, mix, scan, utf8, window_starts
 
 WINDOW = 50
@@ -46,6 +46,8 @@ ANCHOR = 8
 #: Distinct spans of the largest automaton: of under 100 words each, so about 0.2 million words and 150 MB.
 SHARD_SPANS = 2000
 NONE = np.iinfo(np.int64).max
+#: Low bits of an anchor's hash that give way to its place, so that the first of equal ones is taken.
+_PLACE = np.uint64((1 << 28) - 1)
 
 
 class SuffixAutomaton:
@@ -139,9 +141,10 @@ def anchored(w: Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     words = w.hashes()
     rolling = Rolling(words)
     grams = rolling.windows(anchor)
-    low = np.uint64((1 << max(1, n.bit_length())) - 1)
-    least = _sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), window - anchor + 1)
-    owner = (least[starts] & low).astype(np.int64)
+    if n > int(_PLACE):
+        raise ValueError("a text of over 2 ** 28 words")
+    least = _sliding_min((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), window - anchor + 1)
+    owner = (least[starts] & _PLACE).astype(np.int64)
     doc = np.searchsorted(w.first, starts, "right") - 1
     heads = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])])
     count = np.diff(np.r_[heads, len(starts)])
@@ -166,8 +169,11 @@ def _spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return _columns(docs).filter("doc_id is not null").mapInArrow(run, "doc_id long, row int, first int, n int, anchor long, span long")
 
 
+_CUT = "anchor long, span long, least long, words binary"
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Cuts the words of spans out of their documents. wanted: doc_id, row and cuts, an array of (first, n, anchor, span, least, hot)."""
+    """Cuts the words of spans out of their documents. wanted: doc_id, row and cuts, an array of (first, n, anchor, span, least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,10 +184,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 for d in range(j - i):
                     for c in cuts[i + d]:
                         a = w.first[d] + c["first"]
-                        rows.append((c["anchor"], c["span"], c["n"], c["least"], c["hot"], w.text(a, a + c["n"] - 1 + window)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["anchor", "span", "n", "least", "hot", "words"])
+                        rows.append((c["anchor"], c["span"], c["least"], w.text(a, a + c["n"] - 1 + window)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "span", "least", "words"])
 
-    return _columns(docs).join(wanted, ["doc_id", "row"]).select("text", "cuts").mapInArrow(run, "anchor long, span long, n int, least long, hot boolean, words binary")
+    return _columns(docs).join(wanted.hint("merge"), ["doc_id", "row"]).select("text", "cuts").mapInArrow(run, _CUT)
 
 
 _RUNS = "anchor long, span long, runs array<struct<begin:int,n:int,least:long>>"
@@ -232,50 +238,51 @@ def _match_shards(spans: DataFrame, window: int) -> DataFrame:
     return spans.select("anchor", "span", "words", "least").repartition("anchor").sortWithinPartitions("anchor", "span").mapInArrow(run, _RUNS)
 
 
-def _match_windows(spans: DataFrame, window: int) -> DataFrame:
-    """As ``_match_shards``, for anchors of too many spans: each window on its own, by the hash of its words."""
+def _anchored_anew(spans: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(up_anchor, up_span, at, and what _CUT has) of the spans' windows by longer anchors; at: the first window's number in its span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                raw, offs = utf8(batch["words"].slice(r, 1).cast(pa.string()))
-                w = scan(raw, offs)
-                hashes = w.hashes()
-                one, two = Rolling(hashes).windows(window), Rolling(mix(hashes + np.uint64(3))).windows(window)
-                n = len(one)
-                yield pa.RecordBatch.from_arrays([*(pa.array([batch[c][r].as_py()] * n, pa.int64()) for c in ("anchor", "span", "least")), pa.array(np.arange(n), pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["anchor", "span", "least", "at", "h1", "h2"])
+            raw, offs = utf8(batch["words"].cast(pa.string()))
+            for i, _, part, at in chunks(raw, offs):
+                w = scan(part, at)
+                doc, first, count, key, span = anchored(w, window, anchor)
+                of, begin = pa.array(doc + i), w.first[doc] + first
+                words = [w.text(x, x + n - 1 + window) for x, n in zip(begin.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["anchor"].take(of), batch["span"].take(of), pa.array(first, pa.int32()), pa.array(key), pa.array(span), batch["least"].take(of), pa.array(words, pa.binary())], ["up_anchor", "up_span", "at", "anchor", "span", "least", "words"])
+
+    return spans.select("anchor", "span", "least", "words").mapInArrow(run, "up_anchor long, up_span long, at int, " + _CUT)
+
 
-    path = shared_dir(spans.sparkSession)
-    windows = written(spans.select("anchor", "span", "least", "words").mapInArrow(run, "anchor long, span long, least long, at int, h1 long, h2 long"), path)
-    least = windows.groupBy("h1", "h2").agg(F.min("least").alias("of"))
-    runs = windows.join(least, ["h1", "h2"]).groupBy("anchor", "span").agg(F.collect_list(F.struct(F.col("at").alias("begin"), F.lit(1).alias("n"), F.col("of").alias("least"))).alias("runs"))  # of one span: WINDOW at most
-    return runs
+def _match(spans: DataFrame, window: int, anchors: list[int], shard_spans: int, kept: Scratch) -> DataFrame:
+    """(anchor, span, begin, n, least): for the distinct spans of each anchor, the smallest document of each window, in runs of windows."""
+    runs = lambda cold: _match_shards(cold, window).select("anchor", "span", F.explode("runs").alias("run")).select("anchor", "span", "run.*")
+    hot = kept(spans.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > shard_spans).select("anchor")) if anchors else None
+    if hot is None or hot.isEmpty():
+        return kept(runs(spans))
+    cold = kept(runs(spans.join(hot, "anchor", "left_anti")))
+    anew = kept(_anchored_anew(spans.join(hot, "anchor", "left_semi"), window, anchors[0]))
+    distinct = kept(anew.groupBy("anchor", "span").agg(F.min("least").alias("least"), F.first("words").alias("words")))
+    inner = _match(distinct, window, anchors[1:], shard_spans, kept)
+    back = anew.drop("least", "words").join(inner, ["anchor", "span"]).select(F.col("up_anchor").alias("anchor"), F.col("up_span").alias("span"), (F.col("at") + F.col("begin")).alias("begin"), "n", "least")
+    return kept(cold.union(back))
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_spans: int = SHARD_SPANS) -> DataFrame:
     """(doc_id, row, runs): of each document (row: its text's hash) that loses words, the runs (begin, end) of word numbers to remove; they may overlap."""
-    spark = docs.sparkSession
-    paths = [shared_dir(spark) for _ in range(4)]
-    spans = written(_spans(docs, window, anchor), paths[0])
-    shared = spans.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("span").alias("lo"), F.max("span").alias("hi")).filter("least < most")
-    shared = shared.select("anchor", F.col("least").alias("least_doc"), (F.col("lo") == F.col("hi")).alias("same"))
-    found = written(spans.join(shared, "anchor"), paths[1])
-    whole = found.filter("same and least_doc < doc_id").select("doc_id", "row", F.col("first").alias("begin"), (F.col("first") + F.col("n") - 1 + window).alias("end"))
-    various = found.filter("not same")
-    distinct = various.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.first("n").alias("n"))
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("k"))
-    cuts = distinct.join(many, "anchor").select("at.doc_id", "at.row", F.struct(F.col("at.first").alias("first"), "n", "anchor", "span", F.col("at.doc_id").alias("least"), (F.col("k") > shard_spans).alias("hot")).alias("cut"))
-    cuts = written(cuts.groupBy("doc_id", "row").agg(F.collect_list("cut").alias("cuts")), paths[2])  # of one document
-    cut = written(_texts(docs, cuts, window), paths[3])
-    by_span = _match_shards(cut.filter("not hot"), window)
-    if not cut.filter("hot").isEmpty():
-        by_span = by_span.union(_match_windows(cut.filter("hot"), window))
-    by_span = by_span.select("anchor", "span", F.explode("runs").alias("run"))
-    matched = various.join(by_span, ["anchor", "span"]).filter("run.least < doc_id").select("doc_id", "row", (F.col("first") + F.col("run.begin")).alias("begin"), (F.col("first") + F.col("run.begin") + F.col("run.n") - 1 + window).alias("end"))
-    runs = written(whole.union(matched).groupBy("doc_id", "row").agg(F.collect_list(F.struct("begin", "end")).alias("runs")))  # of one document
-    for path in paths:
-        drop(spark, path)
-    return runs
+    with Scratch(docs.sparkSession) as kept:
+        spans = kept(_spans(docs, window, anchor))
+        shared = spans.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("anchor")
+        found = kept(spans.join(kept(shared).hint("merge"), "anchor"))
+        distinct = found.groupBy("anchor", "span").agg(F.min(F.struct("doc_id", "row", "first")).alias("at"), F.first("n").alias("n"))
+        cuts = distinct.select("at.doc_id", "at.row", F.struct(F.col("at.first").alias("first"), "n", "anchor", "span", F.col("at.doc_id").alias("least")).alias("cut"))
+        cuts = kept(cuts.groupBy("doc_id", "row").agg(F.collect_list("cut").alias("cuts")))  # of one document
+        # Repeated rows give their spans more than once, which changes nothing in an automaton.
+        cut = kept(_texts(docs, cuts, window))
+        matched = _match(cut, window, [(anchor + window) // 2, window], shard_spans, kept).withColumnRenamed("n", "many")
+        matched = found.join(matched.hint("merge"), ["anchor", "span"]).filter("least < doc_id")
+        matched = matched.select("doc_id", "row", (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("begin") + F.col("many") - 1 + window).alias("end"))
+        return written(matched.groupBy("doc_id", "row").agg(F.collect_set(F.struct("begin", "end")).alias("runs")))  # of one document
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, **how: int) -> DataFrame:
@@ -317,4 +324,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return _columns(docs).join(runs, ["doc_id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return _columns(docs).join(runs.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
