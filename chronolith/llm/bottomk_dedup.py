@@ -9,7 +9,7 @@ many of its rarest values that two classes whose sketches overlap enough must me
 the bottom-k sketch of their union, and those left are confirmed on their full sets.
 
 No group is expanded into all its pairs. First each list compares its members with one
-of them, that whose values are the most common, so that copies of one text mostly meet
+of them, that whose values are the most common (by logarithms, so that no single one decides), so that copies of one text mostly meet
 at the least changed of them; classes found alike are one component from then on. What
 is left are pairs of a list that are not of one component:
 
@@ -124,7 +124,7 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     size = F.size("sketch")
     entries = classes.select("rep", F.explode("sketch").alias("v"))
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum("df").alias("common"))  # SKETCH values at most
+    ranked = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum(F.floor(16 * F.log2("df"))).alias("common"))  # SKETCH values at most
     # The sketches of linked classes share so many values: all of a small set that must be common, half of a sketch else.
     overlap = F.when(size <= int(SKETCH * percent / 100), F.ceil(size * percent / 100)).otherwise(F.ceil(size / 2)).cast("int")
     sized = classes.select("rep", F.col("n_shingles").alias("n"), size.alias("s"), overlap.alias("t")).withColumn("meet", F.least(F.lit(MEET), "t"))
