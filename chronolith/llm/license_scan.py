@@ -1,16 +1,18 @@
 """Licences of files: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Terms are runs of a-z and 0-9 with A-Z lower-cased. A term's inverse document frequency
-is over all files; a term that no template has counts as one of no file. Each line of a
-file is compared with each template, and so is each whole file that has a line like one.
-A file takes the licence of its most similar line of a cosine of ``LEAST`` or more. A
-file that is as a whole as similar is a licence file, and gives its licence to its
-directory; the most similar one decides. Files without a licence of their own take that
-of the nearest directory above that has one.
-
-Only lines with a cue are weighed. Cues are picked from the frequencies such that the
-terms of a template that are not cues have a norm of under ``LEAST`` times the whole; by
-the Cauchy-Schwarz inequality a line without a cue can't be that similar, so none is lost.
+is over all files; a term that no template has counts as one of no file. Templates are
+short notices, header blocks and licence texts. Each line of a file is compared with
+each template, and so is each block of lines (up to a line without a term) and each
+whole file. A file takes the licence of what is most similar, at a cosine of ``LEAST``
+or more. A file that is as a whole as similar is a licence file, and gives its licence
+to its directory; the most similar one decides. Files without a licence of their own
+take that of the nearest directory above that has one.
+
+Only what has a cue is weighed. Cues are picked from the frequencies such that the terms
+of a template that are not cues have a norm of under ``LEAST`` times the whole; by the
+Cauchy-Schwarz inequality nothing without a cue can be that similar, so none is lost.
+Texts are scanned where they are, and never shuffled.
 
 All of it is DataFrame operations; what goes to the driver is one count for each of the
 templates' terms, which are fixed. Paths meet on directories: distinct directories, not
@@ -29,21 +31,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import NOTICES, TEXTS
+
 LEAST = 0.6
-#: Notices by which licences are known.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("MIT", "Released under the MIT License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("Proprietary", "All rights reserved"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-]
+TEMPLATES = NOTICES + TEXTS
+#: Between two blocks: line breaks with nothing but signs between them.
+_GAP = r"\n(?:[^a-z0-9\n]*\n)+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,6 +78,18 @@ def cues(idf: dict[str, float], weights: list[dict[str, float]], least: float) -
     return out
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of these words that looks at each letter once."""
+    if not words:
+        return "(?!)"
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    out = "|".join(c + (f"(?:{_any_of(rest)})" if any(rest) else "") for c, rest in sorted(tails.items()))
+    return f"(?:{out})?" if "" in words and out else out
+
+
 def scan_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     """One row per file (doc_id, path, text): doc_id, path, license, origin (header, directory or none), cosine of a header, license_dir."""
     spark = files.sparkSession
@@ -102,8 +107,8 @@ def scan_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     names = [f"w{k}" for k in range(len(TEMPLATES))]
     known = F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} AS t(term, idf, {', '.join(names)})"))
 
-    pattern = "(?:^|[^a-z0-9])(?:" + "|".join(cues(idf, weights, least)) + ")(?:$|[^a-z0-9])"
-    owned = files.filter(F.col("doc_id").isNotNull())
+    cue = f"(?:^|[^a-z0-9])(?:{_any_of(cues(idf, weights, least))})(?:$|[^a-z0-9])"
+    owned = files.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(cue))
 
     def likest(units: DataFrame, key: list[str]) -> DataFrame:
         """(key, best: cosine and licence) of units (key, text) as similar to a template as asked for."""
@@ -113,10 +118,12 @@ def scan_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
         options = [F.struct((-F.round(F.col(n) / F.col("norm"), 6)).alias("minus"), F.lit(name).alias("license")) for n, (name, _) in zip(names, TEMPLATES, strict=True)]
         return sums.select(*key, F.least(*options).alias("best")).filter(F.col("best.minus") <= -least)
 
-    lines = owned.filter(F.col("text").rlike(pattern)).select("doc_id", "path", F.posexplode(F.split("text", "\n")).alias("line", "text")).filter(F.col("text").rlike(pattern))
-    headers = likest(lines, ["doc_id", "path", "line"]).groupBy("doc_id").agg(F.min("best").alias("best"))
-    wholes = likest(owned.join(headers.select("doc_id"), "doc_id", "left_semi"), ["doc_id", "path"])
-    given = wholes.filter(F.col("path").isNotNull()).groupBy(_directory(F.col("path")).alias("up")).agg(F.min("best").alias("dir_best"))
+    parts = owned.select("doc_id", "path", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.split("text", by).alias("units")) for k, by in enumerate(("\n", _GAP))))).alias("x"))
+    parts = parts.select("doc_id", "path", "x.kind", F.posexplode("x.units").alias("unit", "text")).filter(F.col("text").rlike(cue))
+    units = parts.union(owned.select("doc_id", "path", F.lit(2), F.lit(0), "text"))
+    best = likest(units, ["doc_id", "path", "kind", "unit"])
+    headers = best.groupBy("doc_id").agg(F.min("best").alias("best"))
+    given = best.filter(F.col("path").isNotNull() & (F.col("kind") == 2)).groupBy(_directory(F.col("path")).alias("up")).agg(F.min("best").alias("dir_best"))
 
     placed = files.select("doc_id", "path", _directory(F.col("path")).alias("dir"))
     dirs = placed.select("dir").filter(F.col("dir").isNotNull()).distinct()
@@ -160,10 +167,13 @@ templates AS (SELECT * FROM (VALUES {templates}) v(k, license, term, tf)),
 df AS (SELECT term, count(*) n FROM (SELECT DISTINCT r, term FROM (SELECT row_number() OVER () r, unnest(string_split_regex(text, '[^a-z0-9]+')) term FROM files)) WHERE term IN (SELECT term FROM templates) GROUP BY term),
 idf AS (SELECT DISTINCT term, ln(((SELECT n FROM total) + 1) / (coalesce(df.n, 0) + 1)) + 1 AS idf FROM templates LEFT JOIN df USING (term)),
 weights AS (SELECT k, license, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) w FROM (SELECT k, license, term, (1 + ln(tf)) * idf w FROM templates JOIN idf USING (term))),
-units AS (SELECT doc_id, path, generate_subscripts(l, 1) line, unnest(l) text FROM (SELECT doc_id, path, string_split(text, chr(10)) l FROM files WHERE doc_id IS NOT NULL)),
-headers AS (SELECT doc_id, min(best) best FROM {likest('units', 'doc_id, path, line')} GROUP BY doc_id),
-wholes AS (SELECT * FROM {likest('(SELECT * FROM files WHERE doc_id IN (SELECT doc_id FROM headers))', 'doc_id, path')}),
-given AS (SELECT {directory('path')} up, min(best) dir_best FROM wholes WHERE path IS NOT NULL GROUP BY 1),
+units AS (
+    SELECT doc_id, path, 0 kind, unnest(range(len(l))) unit, unnest(l) text FROM (SELECT doc_id, path, string_split(text, chr(10)) l FROM files WHERE doc_id IS NOT NULL)
+    UNION ALL SELECT doc_id, path, 1, unnest(range(len(l))), unnest(l) FROM (SELECT doc_id, path, string_split_regex(text, '{_GAP}') l FROM files WHERE doc_id IS NOT NULL)
+    UNION ALL SELECT doc_id, path, 2, 0, text FROM files WHERE doc_id IS NOT NULL),
+bests AS (SELECT * FROM {likest('units', 'doc_id, path, kind, unit')}),
+headers AS (SELECT doc_id, min(best) best FROM bests GROUP BY doc_id),
+given AS (SELECT {directory('path')} up, min(best) dir_best FROM bests WHERE path IS NOT NULL AND kind = 2 GROUP BY 1),
 placed AS (SELECT doc_id, path, {directory('path')} dir FROM files),
 above AS (SELECT dir, unnest(range(0, len(p) + 1)) depth, p FROM (SELECT DISTINCT dir, string_split(dir, '/') p FROM placed WHERE dir IS NOT NULL)),
 nearest AS (SELECT dir, arg_max({{'up': up, 'best': dir_best}}, depth) near FROM (SELECT dir, depth, array_to_string(p[1:depth], '/') up FROM above) JOIN given USING (up) GROUP BY dir)
