@@ -14,11 +14,13 @@ at the least changed of them; classes found alike are one component from then on
 is left are pairs of a list that are not of one component:
 
 * Lists of up to ``LIST`` classes compare these.
-* The classes of longer lists are compared by their full sets instead: each enters the
+* The classes of longer lists are compared by their full sets instead. Those of one hub,
+  the member that a list was compared with, are compared once more with their center,
+  the member most like what half of them have. For what is still apart, each enters the
   lists of so many of its rarest shingles that linked sets must meet, and two that meet
-  are a pair only if what follows their place in both sets is enough. Copies of one text
-  that have changed too much to be linked with any share only the common end of their
-  sets, so they make no pairs.
+  are a pair only if what follows their place in both sets is enough. Frequencies are
+  those among the classes of one hub, and among different hubs. So copies of one text that have changed too much to be
+  linked with any share only the common end of their sets, and make no pairs.
 
 The sketches' overlap of linked documents is at least half the sketch, but for a chance
 of under 1e-7 for each pair at 64 values and similarity 0.8; sets of up to 0.8 times the
@@ -132,19 +134,37 @@ def _lists(classes: DataFrame, percent: int) -> DataFrame:
     return taken.filter("take > 0").select("rep", "n", "meet", "common", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("x.v", "rep", "n", "meet", "common")
 
 
-def _by_full_sets(members: DataFrame, sets: DataFrame, percent: int, kept: Scratch) -> DataFrame:
-    """Pairs (a, b) of ``members`` (rep, label) of different labels that their full sets, in the order of rising frequency, allow to be linked."""
-    named = members.join(sets, "rep").select("rep", "label", F.size("shingles").cast("long").alias("n"), "shingles")
-    entries = kept(named.select("rep", "label", "n", F.explode("shingles").alias("v")))
-    shared = kept(entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"))
-    ranked = entries.join(shared, "v").groupBy("rep", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))  # of one set
-    # Those that no other has come first; of a set of n, linked with one of percent / 100 * n or more, n - need + 1 must hold a common one.
-    placed = ranked.select("rep", "label", "n", F.size("by_df").alias("s"), F.posexplode("by_df").alias("k", "x")).select("rep", "label", "n", (F.col("n") - F.col("s") + F.col("k") + 1).alias("place"), "x.v")
+def _centers(entries: DataFrame, kept: Scratch) -> DataFrame:
+    """(hub, center): of the members of each hub the one most like what at least half of them have."""
+    size = kept(entries.select("hub", "rep").distinct().groupBy("hub").agg(F.count("*").alias("m")))
+    core = kept(entries.groupBy("hub", "v").agg(F.count("*").alias("df")).join(size, "hub").filter("2 * df >= m").select("hub", "v"))
+    wide = kept(core.groupBy("hub").agg(F.count("*").alias("k")))
+    inside = entries.join(core, ["hub", "v"]).groupBy("hub", "rep", "n").agg(F.count("*").alias("c")).join(wide, "hub")
+    return kept(inside.groupBy("hub").agg(F.max_by("rep", F.struct(F.col("c") / (F.col("n") + F.col("k") - F.col("c")), -F.col("rep"))).alias("center")))
+
+
+def _by_full_sets(entries: DataFrame, percent: int, kept: Scratch) -> DataFrame:
+    """Pairs (a, b) of different labels that the full sets of ``entries`` (rep, label, hub, n, v) allow to be linked.
+
+    Members of one hub, mostly copies of one text, meet in lists of their own, in the
+    order of their own frequencies; those of different hubs by the values that several
+    hubs' members have.
+    """
+    return _meeting(entries, ["hub", "v"], percent, kept).union(_meeting(entries, ["v"], percent, kept)).distinct()
+
+
+def _meeting(entries: DataFrame, by: list[str], percent: int, kept: Scratch) -> DataFrame:
+    """Pairs (a, b) that meet in the lists of ``by`` by the rarest values of their sets; without the hub in it, pairs of different hubs."""
+    apart = "hub" not in by
+    shared = entries.groupBy(*by).agg(F.count("*").alias("df"), (F.min("hub") < F.max("hub")).alias("hubs")).filter("hubs" if apart else "df > 1")
+    ranked = entries.join(kept(shared.select(*by, "df")), by).groupBy("rep", "label", "hub", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"))  # of one set
+    # Values that no other has come first; of a set of n, linked with one of percent / 100 * n or more, n - need + 1 must hold a common one.
+    placed = ranked.select("rep", "label", "hub", "n", F.size("by_df").alias("s"), F.posexplode("by_df").alias("k", "x")).select("rep", "label", "hub", "n", (F.col("n") - F.col("s") + F.col("k") + 1).alias("place"), "x.v")
     large = kept(placed.filter(f"place <= n - ceil({percent} * n / 100) + 1"))
     small = large.filter(f"place <= n - ceil({2 * percent} * n / {100 + percent}) + 1")  # as the smaller of the two
-    other = large.toDF("rep2", "label2", "n2", "place2", "v")
-    met = small.join(other, "v").filter(f"label <> label2 and (n < n2 or (n = n2 and rep < rep2)) and 100 * n >= {percent} * n2 and {100 + percent} * (1 + least(n - place, n2 - place2)) >= {percent} * (n + n2)")
-    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    other = large.toDF("rep2", "label2", "hub2" if apart else "hub", "n2", "place2", "v")
+    met = small.join(other, by).filter(f"label <> label2 and (n < n2 or (n = n2 and rep < rep2)) and 100 * n >= {percent} * n2 and {100 + percent} * (1 + least(n - place, n2 - place2)) >= {percent} * (n + n2)")
+    return (met.filter("hub <> hub2") if apart else met).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, list_size: int = LIST) -> DataFrame:
@@ -171,12 +191,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, list_siz
         named = kept(lists.join(labels, lists.rep == labels.node, "left").select("v", "rep", "n", "meet", F.coalesce("label", "rep").alias("label")))
         mixed = kept(named.groupBy("v").agg(F.count("*").alias("m"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("v", "m"))
         short = kept(named.join(mixed.filter(F.col("m") <= list_size), "v"))
-        long = kept(named.join(mixed.filter(F.col("m") > list_size), "v").select("rep", "label").distinct())
+        long = named.join(mixed.filter(F.col("m") > list_size), "v").join(hubs.select("v", F.col("rep2").alias("hub")), "v")
+        long = kept(long.groupBy("rep", "label").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")))  # of the longest list
+        long = kept(long.join(long.select(F.col("rep").alias("hub"), F.col("hub").alias("above")).distinct(), "hub", "left").groupBy("rep", "label").agg(F.min(F.coalesce("above", "hub")).alias("hub")))
         rest = met(short.join(short.select("v", *other, F.col("label").alias("label2")), "v").filter("label <> label2 and rep < rep2"), "meet")
         near = kept(_estimated(rest.join(first, ["a", "b"], "left_anti"), classes))
         sets = kept(_sets(docs, _ends(near).union(long.select("rep")), words))
-        wide = _by_full_sets(long, sets, percent, kept).join(first, ["a", "b"], "left_anti")
-        links = kept(links.union(_alike(near.union(_estimated(wide, classes)).distinct(), sets, percent)))
+        entries = kept(long.join(sets, "rep").select("rep", "label", "hub", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v")))
+        beside = long.join(_centers(entries, kept), "hub").filter("rep <> center and label <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct()
+        beside = kept(beside.join(first, ["a", "b"], "left_anti"))
+        links = kept(links.union(_alike(near.union(_estimated(beside, classes)).distinct(), sets, percent)))
+
+        labels = kept(components(links, kept))
+        entries = kept(entries.drop("label").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+        wide = _by_full_sets(entries, percent, kept).join(first.union(beside), ["a", "b"], "left_anti")
+        links = kept(links.union(_alike(_estimated(wide, classes), sets, percent)))
 
         labels = kept(components(links, kept))
         member = sketches.join(classes.select("set_a", "set_b", "n_shingles", "rep"), ["set_a", "set_b", "n_shingles"], "left")
