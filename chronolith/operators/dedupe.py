@@ -66,10 +66,10 @@ def first_per(rows: DataFrame, key: list[str], order: list[str], most: int = 1)
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("r") <= most).drop("r")
 
 
-def unique_urls(citations: DataFrame) -> DataFrame:
-    """One citation for each URL: the most precise date, then the first."""
+def unique_urls(citations: DataFrame, scope: list[str] = ()) -> DataFrame:
+    """One citation for each URL (of a scope): the most precise date, then the first."""
     rank = F.when(F.col("precision") == "day", 2).when(F.col("precision") == "month", 1).otherwise(0)
-    return first_per(citations.withColumn("rank", -rank), ["url"], ["rank", "pos"]).drop("rank")
+    return first_per(citations.withColumn("rank", -rank), [*scope, "url"], ["rank", "pos"]).drop("rank")
 
 
 def plausible_press(events: DataFrame, not_before: int, most: int = 25) -> DataFrame:

@@ -36,8 +36,16 @@ def _keys(scope: str | None) -> list[str]:
 def period_counts(events: DataFrame, period: Column, most_ids: int | None = None, scope: str | None = None) -> DataFrame:
     """(scope if given, period, kind, n, ids) of gated events (event_id, kind, day, relevance): distinct events, without periods of none."""
     distinct = events.filter(gate(F.col("relevance"))).select(*_keys(scope), period.alias("period"), "kind", "event_id").distinct()
-    ids = F.array_sort(F.collect_list("event_id"))
-    return distinct.groupBy(*_keys(scope), "period", "kind").agg(F.count("*").alias("n"), (F.slice(ids, 1, most_ids) if most_ids else ids).alias("ids"))
+    return _with_ids(distinct, [*_keys(scope), "period", "kind"], most_ids, F.count("*").alias("n"))
+
+
+def _with_ids(rows: DataFrame, keys: list[str], most_ids: int | None, *sums: Column) -> DataFrame:
+    """(keys, sums, ids): the event_ids of each group in ascending order, the first ``most_ids``. Rows are numbered first, so no more are gathered."""
+    listed = F.col("event_id")
+    if most_ids:
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("event_id")))
+        listed = F.when(F.col("r") <= most_ids, F.col("event_id"))
+    return rows.groupBy(*keys).agg(*sums, F.array_sort(F.collect_list(listed)).alias("ids"))
 
 
 def spikes(counts: DataFrame, floor: int = model.SIGNAL_FLOOR, sigma: float = model.SIGNAL_SIGMA, scope: str | None = None) -> DataFrame:
@@ -49,10 +57,10 @@ def spikes(counts: DataFrame, floor: int = model.SIGNAL_FLOOR, sigma: float = mo
     return hit.withColumn("signal", F.when(F.col("kind") == "regulation", "regulatory_burst").otherwise("volume_spike")).withColumn("magnitude", magnitude)
 
 
-def cross_peer(events: DataFrame, members: DataFrame, scope: str | None = None) -> DataFrame:
-    """(scope if given, week, shared, widest, ids): events of more than one member of a scope in a week. Not gated, unlike the counts."""
+def cross_peer(events: DataFrame, members: DataFrame, scope: str | None = None, most_ids: int | None = None) -> DataFrame:
+    """(scope if given, week, shared, widest, ids): events of more than one member of a scope in a week, and the first ``most_ids`` of them. Not gated, unlike the counts."""
     peers = events.join(members.select("subject_id", *_keys(scope)), "subject_id").groupBy(*_keys(scope), "event_id", "day").agg(F.count_distinct("subject_id").alias("peers")).filter("peers > 1")
-    return peers.groupBy(*_keys(scope), week_of(F.col("day")).alias("week")).agg(F.count("*").alias("shared"), F.max("peers").alias("widest"), F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return _with_ids(peers.withColumn("week", week_of(F.col("day"))), [*_keys(scope), "week"], most_ids, F.count("*").alias("shared"), F.max("peers").alias("widest"))
 
 
 def first_last(prices: DataFrame) -> DataFrame:
@@ -79,8 +87,8 @@ def signals(events: DataFrame, prices: DataFrame, members: DataFrame, floor: int
     peers = members.select("subject_id", *keys)
     scoped = events.join(peers, "subject_id") if scope else events
     bursts = spikes(period_counts(scoped, week_of(F.col("day")), 40, scope), floor, sigma, scope)
-    one = bursts.select(*keys, "signal", "kind", F.col("period").alias("window_start"), F.date_add("period", 6).alias("window_end"), F.col("magnitude").cast("double").alias("magnitude"), F.slice("ids", 1, 40).alias("event_ids"))
-    two = cross_peer(events, members, scope).select(*keys, F.lit("cross_peer_cluster").alias("signal"), F.lit(None).cast("string").alias("kind"), F.col("week").alias("window_start"), F.date_add("week", 6).alias("window_end"), F.col("widest").cast("double").alias("magnitude"), F.slice("ids", 1, 40).alias("event_ids"))
+    one = bursts.select(*keys, "signal", "kind", F.col("period").alias("window_start"), F.date_add("period", 6).alias("window_end"), F.col("magnitude").cast("double").alias("magnitude"), F.col("ids").alias("event_ids"))
+    two = cross_peer(events, members, scope, 40).select(*keys, F.lit("cross_peer_cluster").alias("signal"), F.lit(None).cast("string").alias("kind"), F.col("week").alias("window_start"), F.date_add("week", 6).alias("window_end"), F.col("widest").cast("double").alias("magnitude"), F.col("ids").alias("event_ids"))
     returns = first_last(prices.join(peers, "subject_id", "left_semi"))
     worst = divergence(returns.join(peers, "subject_id") if scope else returns.withColumn(by, F.lit(1)), by, points)
     cited = events.filter(gate(F.col("relevance")) & F.col("kind").isin("earnings", "filing", "news")).join(worst.select(by, "subject_id"), "subject_id")  # one row of each scope

@@ -83,8 +83,14 @@ def year_month_rows(events: DataFrame, peek: int = model.PEEK) -> DataFrame:
     year, month, day = F.date_format("day", "yyyy"), F.date_format("day", "yyyy-MM"), F.date_format("day", "yyyy-MM-dd")
     key = F.when(F.col("precision") == "year", F.concat(year, F.lit("-00"))).when(F.col("precision") == "month", F.concat(month, F.lit("-00"))).otherwise(day)
     placed = events.select("subject_id", year.alias("year"), F.when(F.col("precision") == "year", None).otherwise(month).alias("month"), key.alias("key"), F.struct("event_id", "title").alias("e"))
-    rows = lambda kind, sort, *by: placed.filter(F.col(sort).isNotNull()).groupBy("subject_id", *by).agg(F.count("*").alias("n"), F.transform(F.slice(F.array_sort(F.collect_list("e")), 1, peek), lambda e: e["title"]).alias("peek")).select("subject_id", F.lit(kind).alias("kind"), F.col(sort).alias("sort"), "n", "peek")
-    return rows("year", "year", "year").union(rows("month", "month", "month")).union(rows("day", "key", "key"))
+
+    def rows(kind: str, sort: str) -> DataFrame:
+        at = Window.partitionBy("subject_id", sort).orderBy("e.event_id")
+        numbered = placed.filter(F.col(sort).isNotNull()).withColumn("first", F.when(F.row_number().over(at) <= peek, F.col("e")))
+        shown = F.transform(F.array_sort(F.collect_list("first")), lambda e: e["title"])  # ``peek`` at most
+        return numbered.groupBy("subject_id", sort).agg(F.count("*").alias("n"), shown.alias("peek")).select("subject_id", F.lit(kind).alias("kind"), F.col(sort).alias("sort"), "n", "peek")
+
+    return rows("year", "year").union(rows("month", "month")).union(rows("day", "key"))
 
 
 def follow_news(before: DataFrame, now: DataFrame) -> DataFrame:

@@ -12,10 +12,21 @@ from . import views as v
 from .queries import NORM, STORY, day, ids, query, table
 
 
-@query("SELECT doc_id, CAST(1900 + doc_id % 120 AS INT) AS year FROM documents")
+#: What a year may stand beside, and what is found: the year, the next one, or nothing.
+SAID = [
+    ("founded in @ in a town", 0), ("In @, the service of", 0), ("the mid-@s of", 0), ("(SEHK: @) reported by", None), ("listed as HKG:@ by", None), ("its stock code @ of", None), ("the site @.com of", None), ("at @ x 720 pixels of", None), ("a 3264 × @ sensor of", None),
+    ("a @ mAh battery of", None), ("priced at $@ by", None), ("priced at € @,50 by", None), ("recorded in @p by", None), ("model PW@G of", None), ("a @in monitor of", None), ("a board of @ in. of", None), ("a 720 x @ panel, then # for", 1), ("@ MHz until # for", 1),
+]
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN doc_id % {len(SAID)} = {k} THEN {'NULL' if n is None else f'CAST(1900 + doc_id % 120 + {n} AS INT)'}" for k, (_, n) in enumerate(SAID)) + " END AS year FROM documents")
 def q_extract_year(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.concat(F.lit("Sold for $1,999 at 1080p (SEHK: 1060), 1280 x 1720 and 27in. wide, founded in "), 1900 + F.col("doc_id") % 120, F.lit(" in a town"))
-    return table(spark, sf, "documents").select("doc_id", text.extract_year(said).alias("year"))
+    """Sentences of all shapes, with the document's source and language around the number."""
+    d = F.col("doc_id")
+    shape = F.get(F.array(*(F.lit(t) for t, _ in SAID)), (d % len(SAID)).cast("int"))
+    year = 1900 + d % 120
+    said = F.replace(F.replace(shape, F.lit("@"), year.cast("string")), F.lit("#"), (year + 1).cast("string"))
+    return table(spark, sf, "documents").select("doc_id", text.extract_year(F.concat(F.lit("From "), "source", F.lit(", "), said, F.lit(" "), "lang", F.lit("."))).alias("year"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 3 THEN strftime(o_orderdate, '%Y-%m-01') WHEN 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date, CASE o_orderkey % 5 WHEN 3 THEN 'month' WHEN 4 THEN NULL ELSE 'day' END AS precision FROM orders")
@@ -26,10 +37,14 @@ def q_cite_dates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", text.cite_date(raw).alias("d")).select("o_orderkey", "d.date", "d.precision")
 
 
-@query("SELECT c_custkey, c_name AS name FROM customer")
+#: Legal titles, and what is left of them.
+TITLES = [("@ Holdings, Inc.", "@"), ("@ Corporation", "@"), ("@", "@"), ("@ Group Holding Limited", "@ Group"), ("@ N.V.", "@"), ("@ Incorporated", "@"), ("@ Co., Ltd.", "@"), ("@ LLC", "@ LLC"), ("@ S.A.", "@"), ("@ Inc /NEW", "@ Inc /NEW"), ("@,", "@")]
+
+
+@query("SELECT c_custkey, CASE " + " ".join(f"WHEN c_custkey % {len(TITLES)} = {k} THEN replace('{short}', '@', c_name)" for k, (_, short) in enumerate(TITLES)) + " END AS name FROM customer")
 def q_common_names(spark: SparkSession, sf: str) -> DataFrame:
-    tail = F.when(F.col("c_custkey") % 3 == 0, " Holdings, Inc.").when(F.col("c_custkey") % 3 == 1, " Corporation").otherwise("")
-    return table(spark, sf, "customer").select("c_custkey", text.common_name(F.concat("c_name", tail)).alias("name"))
+    title = F.get(F.array(*(F.lit(t) for t, _ in TITLES)), (F.col("c_custkey") % len(TITLES)).cast("int"))
+    return table(spark, sf, "customer").select("c_custkey", text.common_name(F.replace(title, F.lit("@"), F.col("c_name"))).alias("name"))
 
 
 @query("SELECT doc_id, CASE WHEN source = 'src0' THEN 'Unattributed · via src0' ELSE concat(source, ' · via src0') END AS label FROM documents")
@@ -67,7 +82,7 @@ def q_pages(spark: SparkSession, sf: str) -> DataFrame:
     return articles.page_titles(table(spark, sf, "pages")).select("page_id", "host", "n_links")
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def q_page_titles(spark: SparkSession, sf: str) -> DataFrame:
     return articles.page_titles(table(spark, sf, "pages")).select("page_id", "title")
 

@@ -25,8 +25,9 @@ def query(sql: str | None = None, *uses: str) -> Callable[[Query], Query]:
         if sql:
             ctes = [f"{u} AS ({v.SQL[u]})" for u in uses]
             body = sql.strip()
-            if body.upper().startswith("WITH "):
-                body = ("WITH " + ", ".join([*ctes, ""]) + body[5:]) if ctes else body
+            head = next((h for h in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(h)), "")
+            if head:
+                body = head + ", ".join([*ctes, body[len(head) :]])
             elif ctes:
                 body = "WITH " + ", ".join(ctes) + " " + body
             ORACLES[f.__name__] = body
@@ -119,7 +120,20 @@ def q_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return stats.divergence(returns, "industry_id").select("industry_id", "subject_id", "pct", F.round("sector", 4).alias("sector"), "members", "gap")
 
 
-@query()
+@query(f"""
+WITH e AS (SELECT industry_id, subject_id, event_id, kind, day, relevance, CAST(date_trunc('week', day) AS DATE) AS week FROM ev JOIN links USING (event_id) JOIN subj USING (subject_id)),
+c AS (SELECT industry_id, week, kind, count(DISTINCT event_id) AS n, list_sort(list(DISTINCT event_id))[1:40] AS event_ids FROM e WHERE relevance IS NULL OR relevance >= 0.4 GROUP BY 1, 2, 3),
+s AS (SELECT industry_id, kind, median(n) AS base, mad(n) AS spread FROM c GROUP BY 1, 2),
+one AS (SELECT industry_id, CASE WHEN kind = 'regulation' THEN 'regulatory_burst' ELSE 'volume_spike' END AS signal, kind, week AS w0, week + 6 AS w1, CASE WHEN spread > 0 THEN round((n - base) / spread, 1) ELSE n - base END AS magnitude, event_ids
+    FROM c JOIN s USING (industry_id, kind) WHERE n >= CASE WHEN kind = 'regulation' THEN 4 ELSE 5 END AND CASE WHEN spread > 0 THEN n >= base + 2 * spread ELSE n >= base + 3 END),
+p AS (SELECT industry_id, event_id, week, count(DISTINCT subject_id) AS peers FROM e GROUP BY 1, 2, 3 HAVING count(DISTINCT subject_id) > 1),
+two AS (SELECT industry_id, 'cross_peer_cluster' AS signal, NULL AS kind, week AS w0, week + 6 AS w1, CAST(max(peers) AS DOUBLE) AS magnitude, list_sort(list(event_id))[1:40] AS event_ids FROM p GROUP BY 1, week),
+r AS (SELECT industry_id, subject_id, d0, d1, round((last_close - first_close) / first_close * 100, 1) AS pct FROM ({FIRST_LAST}) JOIN subj USING (subject_id) WHERE first_close > 0),
+m AS (SELECT industry_id, median(pct) AS sector FROM r GROUP BY 1 HAVING count(*) >= 3),
+d AS (SELECT *, round(pct - sector, 1) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY industry_id ORDER BY abs(pct - sector) DESC, subject_id) AS k FROM r JOIN m USING (industry_id)) WHERE k = 1),
+x AS (SELECT industry_id, list(event_id ORDER BY day DESC, event_id)[1:25] AS event_ids FROM e JOIN d USING (industry_id, subject_id) WHERE abs(gap) >= 15 AND (relevance IS NULL OR relevance >= 0.4) AND kind IN ('earnings', 'filing', 'news') GROUP BY 1),
+three AS (SELECT industry_id, 'price_divergence' AS signal, NULL AS kind, d0 AS w0, d1 AS w1, CAST(gap AS DOUBLE) AS magnitude, coalesce(event_ids, []) AS event_ids FROM d LEFT JOIN x USING (industry_id) WHERE abs(gap) >= 15)
+SELECT industry_id, signal, kind, CAST(CAST(w0 AS DATE) AS VARCHAR) AS window_start, CAST(CAST(w1 AS DATE) AS VARCHAR) AS window_end, magnitude, array_to_string(event_ids, ',') AS event_ids FROM (FROM one UNION ALL FROM two UNION ALL FROM three)""", "ev", "links", "subj", "bars")
 def q_signals(spark: SparkSession, sf: str) -> DataFrame:
     """The signals of every industry."""
     events = v.ev(spark, sf).join(v.links(spark, sf), "event_id")
@@ -195,15 +209,9 @@ def q_year_month_rows(spark: SparkSession, sf: str) -> DataFrame:
 SMA = "SELECT subject_id, day, sum(close) OVER w / 20 AS mean, row_number() OVER (PARTITION BY subject_id ORDER BY day) AS n FROM bars WINDOW w AS (PARTITION BY subject_id ORDER BY day ROWS 19 PRECEDING)"
 
 
-@query(f"SELECT subject_id, CAST(day AS VARCHAR) AS day, round(mean, 1) AS sma FROM ({SMA}) WHERE n >= 20", "bars")
+@query(f"SELECT subject_id, CAST(day AS VARCHAR) AS day, floor(round(mean * 100, 6) + 0.5) / 100 AS sma FROM ({SMA}) WHERE n >= 20", "bars")
 def q_sma(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("subject_id").orderBy("day")
-    mean = F.sum("close").over(w.rowsBetween(-19, 0)) / 20
-    shown = series.sma(v.bars(spark, sf), 20)  # two decimals; one decimal of the mean is stable between engines
-    exact = v.bars(spark, sf).select("subject_id", "day", F.round(mean, 1).alias("mean"))
-    return shown.join(exact, ["subject_id", "day"]).select("subject_id", day("day").alias("day"), F.col("mean").alias("sma"))
+    return series.sma(v.bars(spark, sf), 20).withColumn("day", day("day"))
 
 
 MOVES = "SELECT subject_id, day, bar, (close - prev) / prev * 100 AS pct FROM (SELECT subject_id, day, close, row_number() OVER w - 1 AS bar, lag(close) OVER w AS prev, lag(day) OVER w AS before FROM bars WINDOW w AS (PARTITION BY subject_id ORDER BY day)) WHERE prev > 0 AND day - before <= 7"
@@ -214,7 +222,12 @@ def q_daily_moves(spark: SparkSession, sf: str) -> DataFrame:
     return series.daily_moves(v.bars(spark, sf)).select("subject_id", day("day").alias("day"), F.col("bar").cast("long").alias("bar"), r4("pct").alias("pct"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE m AS (SELECT subject_id, day, bar, pct, row_number() OVER (PARTITION BY subject_id ORDER BY abs(pct) DESC, bar) AS n FROM ({MOVES}) WHERE abs(pct) >= 2),
+l AS (SELECT subject_id, list({{'bar': bar, 'day': day, 'pct': pct}} ORDER BY n) AS rest FROM m GROUP BY 1),
+g AS (SELECT subject_id, 1 AS rank, rest[1] AS x, rest FROM l UNION ALL
+    SELECT subject_id, rank + 1, list_filter(rest, lambda r: abs(r.bar - x.bar) >= 5)[1], list_filter(rest, lambda r: abs(r.bar - x.bar) >= 5) FROM g WHERE rank < 6 AND x IS NOT NULL)
+SELECT subject_id, CAST(rank AS BIGINT) AS rank, CAST(x.day AS VARCHAR) AS day, x.bar AS bar, floor(x.pct * 10000 + 0.5) / 10000 AS pct FROM g WHERE x IS NOT NULL""", "bars")
 def q_biggest_moves(spark: SparkSession, sf: str) -> DataFrame:
     return series.biggest_moves(series.daily_moves(v.bars(spark, sf))).select("subject_id", F.col("rank").cast("long").alias("rank"), day("day").alias("day"), F.col("bar").cast("long").alias("bar"), r4("pct").alias("pct"))
 
@@ -338,7 +351,12 @@ def q_stacks(spark: SparkSession, sf: str) -> DataFrame:
     return series.stacks(events)
 
 
-STORY = rf"""concat(trim(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(@t, '[“”"''’‘]', '', 'g'), '(?i)^[{text.SPACE}]*(?:exclusive|update [0-9]+|breaking|analysis|explainer)[{text.SPACE}]*[-–—:][{text.SPACE}]*', ''), '[{text.SPACE}]*[-–—|:][{text.SPACE}]*(?:[A-Z][A-Za-z0-9_.&'']*[{text.SPACE}]*){{1,4}}\z', '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), '|', @d)"""
+_BARE = "regexp_replace(@t, '[“”\"''’‘]', '', 'g')"
+_HEAD = f"lower(trim(regexp_extract({_BARE}, '^([^-–—:]*)[-–—:]', 1), ' ' || chr(9) || chr(10) || chr(13)))"
+_CUT = f"CASE WHEN {_HEAD} IN ('exclusive', 'breaking', 'analysis', 'explainer') OR regexp_full_match({_HEAD}, 'update [0-9]+') THEN regexp_replace({_BARE}, '^[^-–—:]*[-–—:]', '') ELSE {_BARE} END"
+_TAIL = f"list_filter(string_split_regex(regexp_extract({_CUT}, '[-–—|:]([^-–—|:]*)$', 1), '[{text.SPACE}]+'), lambda w: w <> '')"
+_FULL = f"CASE WHEN len({_TAIL}) BETWEEN 1 AND 4 AND len(list_filter({_TAIL}, lambda w: NOT regexp_full_match(w, '[A-Z][A-Za-z0-9_.&'']*'))) = 0 THEN regexp_replace({_CUT}, '[-–—|:][^-–—|:]*$', '') ELSE {_CUT} END"
+STORY = f"concat(trim(regexp_replace(regexp_replace(lower({_FULL}), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), '|', @d)"
 
 
 @query(f"SELECT pos, {STORY.replace('@t', 'title').replace('@d', 'CAST(day AS VARCHAR)')} AS story FROM news", "news")
@@ -373,7 +391,12 @@ def q_drop_prehistory(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.drop_prehistory(events).withColumn("day", day("day"))
 
 
-@query()
+@query("""
+WITH p AS (SELECT p_partkey AS event_id, p_name AS title,
+    list_transform(string_split(lower(p_name), ' '), lambda w: CASE WHEN len(w) > 4 AND w LIKE '%s' THEN w[:-2] ELSE w END) AS h,
+    list_transform(string_split(trim(regexp_replace(lower(concat_ws(' ', p_brand, p_type)), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: CASE WHEN len(w) > 4 AND w LIKE '%s' THEN w[:-2] ELSE w END) AS b FROM part),
+s AS (SELECT *, list_sum(list_transform(['small', 'ring', 'copper'], lambda t: CASE WHEN list_contains(h, t) THEN 2 WHEN list_contains(b, t) THEN 1 ELSE 0 END)) AS weight, concat(' ', array_to_string(h, ' '), ' | ', array_to_string(b, ' '), ' ') AS said FROM p)
+SELECT event_id, title, round(CASE WHEN contains(said, ' small ring ') OR contains(said, ' ring copper ') THEN least(1.0, weight / 6.0 + 0.15) ELSE weight / 6.0 END, 6) AS score FROM s WHERE weight > 0""")
 def q_focus_rank(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "part").select(F.col("p_partkey").alias("event_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("description"), F.col("p_type").alias("source"), F.when(F.col("p_size") > 5, F.col("p_size") / 50).alias("relevance"), F.date_add(F.lit("2024-01-01").cast("date"), "p_size").alias("day"))
     return dedupe.ranked(dedupe.focus(events, "small rings of copper")).select("event_id", "title", F.round("score", 6).alias("score"))
@@ -460,13 +483,28 @@ def q_known_company(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.known_company(queries, v.subj(spark, sf)).select("query_id", "subject_id", "ticker", "display_name")
 
 
-@query()
+#: The trigrams of a text's words, each padded by two spaces before and one after, in their order.
+GRAMS = "flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: concat('  ', w, ' ')[i:i + 2])))"
+ASKED = "SELECT p_partkey AS query_id, CASE p_partkey // 50 % 5 WHEN 0 THEN concat(left(p_name, 3), substr(p_name, 5)) WHEN 1 THEN reverse(p_name) WHEN 2 THEN concat('P', p_partkey) WHEN 3 THEN p_name ELSE split_part(p_name, ' ', 1) END AS query FROM part WHERE p_partkey % 50 = 0"
+
+
+@query(f"""
+WITH n AS (SELECT p_name AS name, min(p_partkey) AS subject_id FROM part GROUP BY 1), q AS ({ASKED}), g AS (SELECT *, list_distinct({GRAMS.format('query')}) AS g FROM q),
+t AS (SELECT subject_id, name, {GRAMS.format('name')} AS t FROM (SELECT subject_id, name FROM n UNION ALL SELECT subject_id, reverse(name) FROM n)),
+f AS (SELECT query_id, subject_id, list_max(flatten(list_transform(range(1, len(t) + 1), lambda i: list_transform(range(i, len(t) + 1), lambda j: len(list_intersect(g, t[i:j])) / (len(g) + len(list_distinct(t[i:j])) - len(list_intersect(g, t[i:j]))))))) AS score, 5 AS v FROM g, t),
+e AS (SELECT query_id, subject_id, 1.0 AS score, 1 AS v FROM q JOIN n ON lower(query) = concat('p', subject_id) UNION ALL SELECT query_id, subject_id, 0.97, 2 FROM q JOIN n ON lower(query) = lower(name) UNION ALL SELECT query_id, subject_id, 0.93, 3 FROM q JOIN n ON lower(query) = lower(reverse(name))
+    UNION ALL SELECT query_id, subject_id, 0.90, 4 FROM q JOIN n ON starts_with(lower(name), concat(lower(query), ' '))),
+s AS (SELECT query_id, subject_id, max(score) AS score, min(v) AS v FROM (SELECT * FROM f WHERE score >= 0.5 UNION ALL SELECT * FROM e) GROUP BY 1, 2),
+r AS (SELECT query_id, name AS display_name, round(score, 6) AS score, ['ticker', 'name', 'alias', 'prefix', 'fuzzy'][v] AS via, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, length(name), replace(name, ' ', '-')) AS rank FROM s JOIN n USING (subject_id))
+SELECT query_id, display_name, score, via, rank FROM r WHERE rank <= 5""")
 def q_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "part").select("p_name").distinct()
-    subjects = names.select(F.xxhash64("p_name").alias("subject_id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("slug"), F.lit(None).cast("string").alias("ticker"), F.col("p_name").alias("display_name"))
-    aliases = subjects.select("subject_id", F.reverse("display_name").alias("alias")).limit(0)
-    queries = spark.sql("SELECT * FROM VALUES (1, 'smal ring'), (2, 'red'), (3, 'blu bolt'), (4, 'the'), (5, 'Green Widget') AS t(query_id, query)")
-    return resolve.candidates(queries, subjects, aliases).select("query_id", "display_name", "score", "via", F.col("rank").cast("long").alias("rank"))
+    """Queries of five kinds, from each part with a key divisible by 50: a letter lost, spelt backwards (an alias), a ticker, a name, a name's first word."""
+    part, k, name = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_name")
+    subjects = part.groupBy(name.alias("display_name")).agg(F.min("p_partkey").alias("subject_id")).select("subject_id", F.replace("display_name", F.lit(" "), F.lit("-")).alias("slug"), F.concat(F.lit("P"), "subject_id").alias("ticker"), "display_name")
+    kind = F.expr("p_partkey div 50 % 5")
+    asked = F.when(kind == 0, F.concat(F.left(name, F.lit(3)), F.substring(name, 5, 99))).when(kind == 1, F.reverse(name)).when(kind == 2, F.concat(F.lit("P"), k)).when(kind == 3, name).otherwise(F.split_part(name, F.lit(" "), F.lit(1)))
+    queries = part.filter("p_partkey % 50 = 0").select(k.alias("query_id"), asked.alias("query"))
+    return resolve.candidates(queries, subjects, subjects.select("subject_id", F.reverse("display_name").alias("alias"))).select("query_id", "display_name", "score", "via", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS nation, concat('s', n_nationkey) AS target, EXISTS (SELECT 1 FROM subj s JOIN links l USING (subject_id) WHERE lower(s.ticker) = concat('s', n_nationkey) OR s.slug = concat('s', n_nationkey)) AS has_events FROM nation", "subj", "links")

@@ -14,7 +14,9 @@ from ..functions import text
 from ..operators.dedupe import first_per, spread, unique_urls
 
 CITATION = "array<struct<title:string,url:string,raw_date:string,publication:string>>"
-_OPEN = re.compile(r"\{\{\s*cite\s+(?:news|web|press release|magazine|journal|report|interview|av media|podcast|episode)\b", re.I)
+#: The kinds of citation templates that are read.
+CITED_AS = ["news", "web", "press release", "magazine", "journal", "report", "interview", "av media", "podcast", "episode"]
+_OPEN = re.compile(r"\{\{\s*cite\s+(?:" + "|".join(CITED_AS) + r")\b", re.I)
 _MARK = re.compile(r"\{\{|\}\}|\[\[|\]\]|\|")
 _BRACES = re.compile(r"\{\{|\}\}")
 _NAMED_BY = ["work", "newspaper", "magazine", "website", "publisher", "agency"]
@@ -76,8 +78,8 @@ def parse_citations(articles: DataFrame) -> DataFrame:
 
 
 def citation_events(citations: DataFrame, most: int = 160) -> DataFrame:
-    """One event for each URL, in the order of dates, an even sample of ``most``."""
-    return spread(unique_urls(citations).withColumn("one", F.lit(1)), ["one"], ["date", "pos"], most).drop("one")
+    """One event for each URL of an article, in the order of dates, an even sample of ``most`` from each article."""
+    return spread(unique_urls(citations, ["article_id"]), ["article_id"], ["date", "pos"], most)
 
 
 def press_mentions(results: DataFrame, per_year: int = 2, most: int = 40) -> DataFrame:

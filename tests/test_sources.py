@@ -25,8 +25,8 @@ def test_dates_years_names(spark):
     assert [g and tuple(g) for g in got] == [("1936-01-01", "year"), ("1936-01-01", "day"), ("1936-05-01", "month"), ("1936-01-01", "year"), None, None]
     said = ["Founded in 1903 in Detroit", "A 1280 x 1720 screen of 1999", "SEHK: 1060 rose", "The PW1500G engine", "mid-1990s boom", "sold for $1,999", "1688.com began", "a 27in. panel in 2013,", "none"]
     assert one(spark, text.extract_year(F.col("x")), [(r,) for r in said], "x string") == [1903, 1999, None, None, 1990, None, None, 2013, None]
-    names = ["Ford Motor Company", "Apple Inc.", "Holdings", "Acme Group, Inc."]
-    assert one(spark, text.common_name(F.col("x")), [(r,) for r in names], "x string") == ["Ford Motor", "Apple", "Holdings", "Acme"]
+    names = ["Ford Motor Company", "Apple Inc.", "Holdings", "Acme Group, Inc.", "Philips N.V.", "Tesla Incorporated", "Alibaba Group Holding Limited"]
+    assert one(spark, text.common_name(F.col("x")), [(r,) for r in names], "x string") == ["Ford Motor", "Apple", "Holdings", "Acme Group", "Philips", "Tesla", "Alibaba Group"]
 
 
 def test_stories_tone_focus_mentions(spark):
