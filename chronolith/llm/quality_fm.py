@@ -36,7 +36,7 @@ BUCKETS = 1 << 15
 FACTORS = 8
 BINS = 8
 FIT_ROWS = 4000
-EPOCHS, BATCH, RATE, SHRINK = 25, 128, 0.02, 1e-5
+EPOCHS, BATCH, RATE, SHRINK = 10, 128, 0.04, 1e-5
 THRESHOLD = 0.7
 STATS = ["log_chars", "log_words", "log_lines", "symbols", "bangs", "bars", "upper", "digits", "punctuation", "high", "white", "word_bytes", "long_words", "short_words", "distinct", "line_words", "dup_lines", "marked_words", "shouted_words", "size"]
 
