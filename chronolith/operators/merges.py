@@ -123,3 +123,56 @@ def merge_topics(subjects: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     moved = links.join(losers.select("subject_id", "winner"), "subject_id", "left").withColumn("own", F.col("winner").isNull()).withColumn("old", F.col("subject_id")).withColumn("subject_id", F.coalesce("winner", "subject_id"))
     merged = moved.groupBy("event_id", "subject_id").agg(F.min_by("relevance", F.struct(~F.col("own"), F.col("old"))).alias("relevance"))
     return kept, losers.select(F.col("winner").alias("subject_id"), F.col("slug").alias("alias")), merged
+
+
+def upsert_sources(current: DataFrame, registry: DataFrame) -> DataFrame:
+    """By id: everything but the key follows the registry."""
+    both = _against(current, registry, ["id"])
+    rest = [c for c in current.columns if c not in ("id", "key")]
+    return both.select("id", F.coalesce(BEFORE + "key", "key").alias("key"), *(F.when(F.col("came").isNotNull(), F.col(c)).otherwise(F.col(BEFORE + c)).alias(c) for c in rest))
+
+
+def industry_edges(current: DataFrame, companies: DataFrame, curated: DataFrame) -> DataFrame:
+    """Edges (industry, member_id, origin): those of codes (member_id, sic) go to sic-<code>, those of sectors (member_id, slug) to the sector; what is there is never touched."""
+    coded = companies.select(F.concat(F.lit("sic-"), "sic").alias("industry"), "member_id", F.lit("sic").alias("origin"), F.lit(0).alias("pos"))
+    chosen = curated.select(F.col("slug").alias("industry"), "member_id", F.lit("curated").alias("origin"), F.lit(1).alias("pos"))
+    return insert_only(current, coded.union(chosen), ["industry", "member_id"])
+
+
+def mark_requests(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Outcomes (slug, at, error): without an error a request is fulfilled; with one it stays pending, and the first 300 characters are kept."""
+    both = requests.join(outcomes, "slug", "left")
+    done, failed = F.col("at").isNotNull() & F.col("error").isNull(), F.col("error").isNotNull()
+    return both.withColumns({"fulfilled_at": F.when(done, F.col("at")).otherwise(F.col("fulfilled_at")), "last_error": F.when(failed, F.substring("error", 1, 300)).when(~done, F.col("last_error"))}).select(*requests.columns)
+
+
+def record_successes(ledger: DataFrame, slugs: DataFrame) -> DataFrame:
+    """A success forgets the failures."""
+    both = ledger.join(slugs.select("slug", F.lit(True).alias("good")).distinct(), "slug", "left")
+    return both.withColumns({"failures": F.when(F.col("good"), 0).otherwise(F.col("failures")), "dead_until": F.when(F.col("good").isNull(), F.col("dead_until"))}).select(*ledger.columns)
+
+
+def claim(ledger: DataFrame, asked: DataFrame) -> DataFrame:
+    """The ledger after requests (slug, at), one for each slug: what may be claimed is tried at their time."""
+    took = asked.join(claimable(ledger, asked).filter("claimed").select("slug"), "slug", "left_semi").withColumnRenamed("at", "took")
+    both = ledger.join(took, "slug", "full")
+    return both.select("slug", F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("took", "attempted_at").alias("attempted_at"), "dead_until")
+
+
+SYNTHESIS = ["subject_id", "kind", "window_start", "window_end", "model", "prompt_version", "input_hash"]
+
+
+def save_explanations(current: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new syntheses, their citations with ordinals from 0): what was explained with the same input already is left out with all its citations.
+
+    made: the columns of SYNTHESIS, body, cited (array of event ids, in order) and pos.
+    """
+    fresh = _last(made.join(current.select(*SYNTHESIS), SYNTHESIS, "left_anti"), SYNTHESIS, first=["body", "cited"])
+    cited = fresh.select(*SYNTHESIS, F.posexplode("cited").alias("ordinal", "event_id"))
+    return fresh.drop("cited"), cited.groupBy(*SYNTHESIS, "event_id").agg(F.min("ordinal").alias("ordinal"))
+
+
+def log_rows(rows: DataFrame, texts: list[str]) -> DataFrame:
+    """Rows as a log keeps them: texts trimmed and cut at 200 characters, durations not below 0."""
+    out = rows.withColumns({c: F.substring(F.trim(c), 1, 200) for c in texts})
+    return out.withColumn("duration_ms", F.greatest(F.lit(0), F.floor(F.col("duration_ms") + 0.5))) if "duration_ms" in rows.columns else out
