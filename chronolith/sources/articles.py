@@ -165,3 +165,65 @@ def site_snapshots(index: DataFrame) -> DataFrame:
 def page_titles(pages: DataFrame) -> DataFrame:
     """(page_id, title, host, n_links) of raw pages (page_id, url, html)."""
     return pages.select("page_id", text.strip_html(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), F.regexp_replace(F.try_parse_url("url", F.lit("HOST")), r"^www\.", "").alias("host"), F.size(F.regexp_extract_all("html", F.lit(r"(?i)(<a\s[^>]*href=)"), 1)).cast("long").alias("n_links"))
+
+
+NYT = "response struct<docs:array<struct<headline:struct<main:string>,web_url:string,pub_date:string,abstract:string,snippet:string,byline:struct<original:string>,multimedia:string>>>"
+GUARDIAN = "response struct<results:array<struct<webTitle:string,webUrl:string,webPublicationDate:string,fields:struct<thumbnail:string,trailText:string,byline:string>>>>"
+_CROP = "array<struct<url:string,subtype:string>>"
+
+
+def paper_image(multimedia):
+    """An article's lead image: of a list of crops the xlarge, else the thumbnail, else the first; of an object its default, else its thumbnail. Relative paths are on the paper's site."""
+    crops = F.from_json(multimedia, _CROP)
+    named = lambda kind: F.get(F.filter(crops, lambda c: c["subtype"] == kind), 0)["url"]
+    some = lambda k: F.exists(crops, lambda c: c["subtype"] == k)
+    url = F.nullif(F.when(some("xlarge"), named("xlarge")).when(some("thumbnail"), named("thumbnail")).otherwise(F.get(crops, 0)["url"]), F.lit(""))
+    listed = F.when(url.rlike("(?i)^https?://"), url).otherwise(F.concat(F.lit("https://www.nytimes.com/"), F.regexp_replace(url, "^/", "")))
+    whole = F.from_json(multimedia, "default struct<url:string>, thumbnail struct<url:string>")
+    one = F.coalesce(whole["default"]["url"], whole["thumbnail"]["url"])
+    return F.when(F.startswith(F.ltrim(multimedia), F.lit("[")), listed).when(one.rlike("(?i)^https?://"), one)
+
+
+def _described(byline, summary):
+    return F.nullif(F.substring(F.concat_ws(" — ", F.nullif(F.trim(byline), F.lit("")), F.nullif(F.trim(summary), F.lit(""))), 1, 240), F.lit(""))
+
+
+def archive_news(payloads: DataFrame, paper: str) -> DataFrame:
+    """Events of two papers' archives (query_id, page: 0 oldest or 1 newest, body), both pages after one another: what has a title, an address and a day."""
+    kind, items = (NYT, "docs") if paper == "nyt" else (GUARDIAN, "results")
+    rows = payloads.select("query_id", "page", F.posexplode(F.from_json("body", kind)["response"][items]).alias("pos", "x"))
+    x = F.col("x")
+    if paper == "nyt":
+        title, url, at, image = F.trim(x["headline"]["main"]), x["web_url"], x["pub_date"], paper_image(x["multimedia"])
+        said = _described(x["byline"]["original"], F.coalesce(x["abstract"], x["snippet"]))
+    else:
+        title, url, at, said = x["webTitle"], x["webUrl"], x["webPublicationDate"], _described(x["fields"]["byline"], text.strip_html(x["fields"]["trailText"]))
+        image = F.when(x["fields"]["thumbnail"].rlike("(?i)^https?://"), x["fields"]["thumbnail"])
+    day = F.try_to_date(F.substring(at, 1, 10), "yyyy-MM-dd")
+    out = rows.select("query_id", "page", "pos", title.alias("title"), url.alias("url"), day.alias("day"), said.alias("description"), image.alias("image_url"))
+    return out.filter("title <> '' and url <> '' and day is not null")
+
+
+def official_domains(searches: DataFrame, claims: DataFrame) -> DataFrame:
+    """(name, domain): searches (name, body) give an entity, claims (entity, body) its site; the bare host without www."""
+    entity = F.get(F.from_json("body", "search array<struct<id:string>>")["search"], 0)["id"]
+    site = "claims struct<P856:array<struct<mainsnak:struct<datavalue:struct<value:string>>>>>"
+    host = F.regexp_replace(F.try_parse_url(F.get(F.from_json("body", site)["claims"]["P856"], 0)["mainsnak"]["datavalue"]["value"], F.lit("HOST")), r"^www\.", "")
+    found = searches.select("name", entity.alias("entity")).join(claims.select("entity", host.alias("domain")), "entity")
+    return found.filter("domain <> ''").select("name", F.lower("domain").alias("domain"))
+
+
+def topic_timelines(topics: DataFrame, pages: DataFrame) -> DataFrame:
+    """Events of topics (topic) from pages (title, text): the first there is of 'History of the X', 'History of X' and 'X', and the timelines of X beside it. Sentences alike in their first 80 letters count once, those of the first page first."""
+    x = F.col("topic")
+    wanted = topics.select("topic", F.posexplode(F.array(F.concat(F.lit("history of the "), x), F.concat(F.lit("history of "), x), x, F.concat(F.lit("timeline of the "), x), F.concat(F.lit("timeline of "), x))).alias("place", "low")).withColumn("low", F.lower("low"))
+    held = wanted.join(pages.withColumn("low", F.lower("title")), "low")
+    main = first_per(held.filter("place < 3"), ["topic"], ["place"])
+    every = main.unionByName(held.filter("place >= 3")).withColumn("page_id", F.concat_ws("\x1f", "topic", "place"))
+    found = events_from_pages(every).join(every.select("page_id", "topic", "place"), "page_id").withColumn("key", F.lower(F.substring("sentence", 1, 80)))
+    return first_per(found, ["topic", "key"], ["place", "pos"]).select("topic", "title", "year", "sentence", "place", "pos")
+
+
+def dispatched(wanted: DataFrame, landed: DataFrame, feed: str) -> DataFrame:
+    """Of landed rows (subject_id, …, and their feed's name in a column) those that a subject (subject_id, feeds) takes."""
+    return landed.join(wanted.select("subject_id", F.explode("feeds").alias(feed)).distinct(), ["subject_id", feed], "left_semi")
