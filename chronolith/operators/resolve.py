@@ -29,16 +29,22 @@ def candidates(queries: DataFrame, subjects: DataFrame, aliases: DataFrame, floo
     """The subjects each query may mean, on one scale: 1.0 ticker, 0.97 name, 0.93 alias, 0.90 prefix, else the word similarity of trigrams to the name or an alias.
 
     Fuzzy pairs come from an inverted index of trigrams: a similarity of ``floor`` needs
-    that share of the query's trigrams, so pairs with fewer in common are never compared.
+    that share of the query's trigrams, so any pair meets in one of so many of the
+    query's rarest, and only pairs with enough in common are compared. Common trigrams,
+    whose lists are long, are left alone.
     Subjects: (subject_id, slug, ticker, display_name); aliases: (subject_id, alias).
     """
     q = queries.select("query_id", F.trim("query").alias("query")).filter("query <> ''")
     names = subjects.select("subject_id", F.col("display_name").alias("name"), F.lit(True).alias("own")).union(aliases.select("subject_id", "alias", F.lit(False)))
     fuzzy = q.filter(text.worth_fuzzy(F.col("query")))
     grams = fuzzy.select("query_id", "query", F.array_distinct(text.trigram_list(F.col("query"))).alias("g"))
-    wanted = grams.select("query_id", "query", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    held = names.select("subject_id", "name", F.explode(F.array_distinct(text.trigram_list(F.col("name")))).alias("gram"))
-    close = wanted.join(held, "gram").groupBy("query_id", "query", "subject_id", "name", "size").agg(F.count("*").alias("common")).filter(F.col("common") >= floor * F.col("size"))
+    of_name = F.array_distinct(text.trigram_list(F.col("name")))
+    held = names.select("subject_id", "name", F.explode(of_name).alias("gram"))
+    wanted = grams.select("query_id", "query", "g", F.explode("g").alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
+    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    kept = wanted.withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.size("g") - F.ceil(floor * F.size("g")) + 1)
+    met = kept.join(held, "gram").select("query_id", "query", "g", "subject_id", "name").distinct()
+    close = met.filter(F.size(F.array_intersect("g", of_name)) >= floor * F.size("g"))
     near = close.select("query_id", "subject_id", text.word_similarity(F.col("query"), F.col("name")).alias("score"), F.lit(5).alias("via"))
     low = q.withColumn("low", F.lower("query"))
     exact = low.join(subjects.select("subject_id", F.lower("ticker").alias("low")), "low").select("query_id", "subject_id", F.lit(1.0), F.lit(1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,13 +29,26 @@ def first_seen(events: DataFrame, key: str = "dedup_key", late: str = "1 day") -
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_into(stream: DataFrame, path: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Merges each micro-batch into a table of versions under ``path``; a batch that runs again writes its own version again, so the result is the same."""
+def _bucket(key: str, buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def snapshot(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """A table that ``upsert_into`` keeps: of each bucket its newest version (older than batch ``before``). As many rows as there are buckets are broadcast."""
+    rows = spark.read.schema(f"{schema}, v int, bucket int").parquet(path)
+    rows = rows if before is None else rows.filter(F.col("v") < before)
+    return rows.join(F.broadcast(rows.groupBy("bucket").agg(F.max("v").alias("v"))), ["bucket", "v"]).drop("v")
+
+
+def upsert_into(stream: DataFrame, path: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, key: str, buckets: int = 64) -> StreamingQuery:
+    """Merges each micro-batch into a table under ``path``, in buckets of ``key``: only those that a batch touches are read and written, as versions of the batch's number. A batch that runs again reads what it read before and writes its own versions again, so the result is the same."""
     spark = stream.sparkSession
 
     def apply(batch: DataFrame, number: int) -> None:
-        current = spark.read.schema(schema).parquet(f"{path}/v={number - 1}") if number else spark.createDataFrame([], schema)
-        merge(current, batch).select(*current.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        touched = F.broadcast(batch.select(_bucket(key, buckets).alias("bucket")).distinct())  # as many rows as buckets
+        current = snapshot(spark, path, schema, number).join(touched, "bucket", "left_semi").drop("bucket") if number else spark.createDataFrame([], schema)
+        merged = merge(current, batch).select(*current.columns)
+        merged.withColumn("bucket", _bucket(key, buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -17,8 +17,8 @@ def test_upserts_are_idempotent(spark, tmp_path):
     for k, batch in enumerate(rows):
         spark.createDataFrame(batch, EVENTS + ", pos int").coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(EVENTS + ", pos int").parquet(str(src))
-        streams.upsert_into(stream, str(tmp_path / "out"), EVENTS, merges.upsert_events, str(tmp_path / "ck")).awaitTermination()
-    got = {r.dedup_key: (r.kind, r.title, r.image_url) for r in spark.read.parquet(str(tmp_path / "out" / "v=2")).collect()}
+        streams.upsert_into(stream, str(tmp_path / "out"), EVENTS, merges.upsert_events, str(tmp_path / "ck"), "dedup_key", 4).awaitTermination()
+    got = {r.dedup_key: (r.kind, r.title, r.image_url) for r in streams.snapshot(spark, str(tmp_path / "out"), EVENTS).collect()}
     assert got == {"a": ("news", "T2", "i"), "b": ("news", "U", None)}
 
 
