@@ -127,3 +127,14 @@ def test_any_flat_file(spark, tmp_path):
     got = ss.count_tokens(files, 7, 2, 6).select("shard", "doc_no", "start", "n_tokens", "ended").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert shared_dir(spark) != shared_dir(spark)
+
+
+def test_flat_files_of_odd_tables(spark):
+    """Null and repeated ids, a null, an empty and a very long text, names that clash, and no rows."""
+    docs = [(1, "the cat", 0, "x"), (1, "the cat", 0, "x"), (None, "a dog.", 0, "x"), (2, None, 0, "x"), (3, "", 0, "x"), (4, "word " * 40_000, 0, "x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, shard int, path string").repartition(2)
+    tk, end = Tokenizer.from_file(PATH), 49407
+    for table, rows in ((frame, docs), (frame.limit(0), [])):
+        files = ss.write_flat(table, PATH, end)
+        got = ss.with_doc_ids(ss.count_tokens(files, end), files).collect()
+        assert sorted(((r.doc_id or 0, r.n_tokens, r.ended) for r in got)) == sorted((i or 0, len(tk.encode(t or "", add_special_tokens=False).ids), True) for i, t, *_ in rows)

@@ -34,7 +34,10 @@ def test_pipeline(spark, tmp_path):
     assert list(got[203].ids) == tk.encode(text[203].split("\n")[0], add_special_tokens=False).ids
 
 
-def test_stages_keep_the_columns(spark):
+def test_stages_take_empty_tables_and_keep_the_columns(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        assert stage(spark, docs, "").columns == docs.columns
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
