@@ -1,3 +1,3 @@
 """Queries over the driver's tables, and the SQL of the same results."""
 
-from . import landed, more, pages, queries, records  # noqa: F401  both register
+from . import landed, more, pages, queries, records, words  # noqa: F401  both register
