@@ -15,7 +15,6 @@ tokens' strings in a text are ordinary text, so the end id comes from nowhere el
 
 from __future__ import annotations
 
-import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .bpe_backtrack import tokenizer_text
 from .storage import shared_dir, written
 from .token_huffman import library_words
-from .wordscan import utf8
+from .wordscan import chunks, utf8
 
 BLOCK_BYTES = 4 << 20
 IDS_A_ROW = 10_000
@@ -46,7 +45,7 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2
     """
     held = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path))
     folder = shared_dir(docs.sparkSession)
-    end, kind = array.array("I", [end_id]).tobytes(), f"<u{width}"
+    kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, task = library_words(held.value, specials_are_text=True), TaskContext.get()
@@ -61,11 +60,10 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 2
         with store.open_output_stream(f"{inner}/{name}") as out:
             for batch in batches:
                 raw, offs = utf8(batch["text"])
-                view, bounds = memoryview(raw), offs.tolist()
                 names += batch["doc_id"].to_pylist()
-                for first in range(0, batch.num_rows, 1000):
-                    texts = [bytes(view[bounds[i] : bounds[i + 1]]) for i in range(first, min(first + 1000, batch.num_rows))]
-                    ids = np.frombuffer(b"".join(x for blob in table.encode(texts) for x in (blob, end)), "<u4")
+                for *_, piece, at in chunks(raw, offs):
+                    found, ends = table.encode(piece, at)
+                    ids = np.insert(found.astype(np.uint32), ends[1:], end_id)
                     if width == 2 and len(ids) and ids.max() >> 16:
                         raise ValueError("ids of over 16 bits need a width of 4")
                     out.write(ids.astype(kind).tobytes())

@@ -17,8 +17,9 @@ total for each task and one count for each id of the vocabulary.
 
 Defined results: null texts are empty (just the end id); null doc_ids come first;
 documents of the same doc_id are ordered by their text's hash; an empty table gives no
-segment and an empty codebook; other columns are ignored. Texts are encoded some 1000
-documents at a time, so memory goes with these and the longest text.
+segment and an empty codebook; other columns are ignored. Texts are encoded some
+megabyte at a time, so memory goes with that and the longest text. Words are told apart
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -38,15 +39,15 @@ from pyspark.sql import functions as F
 
 from .bpe_backtrack import tokenizer_text
 from .storage import drop, shared_dir, written
-from .wordscan import utf8
+from .wordscan import Words, chunks, scan, utf8
 
 END_ID = 1
 #: Bits of the longest code, and ids between checkpoints.
 LIMIT, BLOCK = 20, 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT = 1 << 16
-#: Words, and parts of words, that a worker keeps the ids of; a table is emptied when full.
-WORDS_KEPT = 300_000
+#: Words, and parts of words, that a worker keeps the ids of; a table is emptied when full. About 32 bytes and 190 bytes each.
+WORDS_KEPT, PARTS_KEPT = 3_000_000, 300_000
 #: Words of letters that the library is asked for as one text.
 JOINED = 1000
 #: Ids that are decoded together.
@@ -61,11 +62,12 @@ _WORD_END = "</w>"
 _PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-class LibraryWords(dict):
-    """Texts to their ids as little-endian 32-bit numbers, found by the tokenizers library.
+class LibraryWords:
+    """Texts to their ids, found by the tokenizers library.
 
     Where the file's steps before the model are ``_NORMALIZERS`` and ``_SPLIT``, a text's
-    ids are those of its words in turn, which are kept in a table:
+    ids are those of its words in turn. The ids of known words lie end to end, by slots
+    that a sorted table has for the words' 64-bit hashes:
 
     * No step has to do with white space but to cut at it.
     * ASCII letters are lower-cased by the file, so words that differ in them have the same ids.
@@ -85,69 +87,95 @@ class LibraryWords(dict):
         self.whole.no_truncation()
         self.whole.no_padding()
         self.whole.encode_special_tokens = specials_are_text
+        self.bare = Tokenizer.from_str(self.whole.to_str())  # for lower-case ASCII letters, on which the normalizer does nothing
+        self.bare.normalizer = None
         spec = json.loads(text)
         model, steps = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         self.by_word = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS and len(steps) == 2 and steps[0] == _SPLIT and steps[1].items() >= bytes_only.items() and model.get("end_of_word_suffix") == _WORD_END and not model.get("continuing_subword_prefix")
         self.parts: dict[str, bytes] = {}
+        self._empty()
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         names = self.whole.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(names.values()) + 1, bool)
         self.is_end[[i for t, i in names.items() if t.endswith(_WORD_END)]] = True
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of whole texts."""
+    def _empty(self) -> None:
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16)  # where each slot's ids begin, and the ids
+
+    def encode(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of the texts at ``at`` in the bytes ``part``, and where each text's begin and end."""
         if not self.by_word:
-            return self._ask([t.decode() for t in texts])
-        cut = [t.split() for t in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Finds the ids of the words that the table lacks."""
-        lacking = words - self.keys()
-        if len(self) + len(lacking) > WORDS_KEPT:
-            self.clear()
-            lacking = words
-        if len(self.parts) > WORDS_KEPT:
+            view = memoryview(part)
+            blobs = self._ask([bytes(view[a:b]).decode() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)])
+            return np.frombuffer(b"".join(blobs), "<u4"), np.cumsum([0, *(len(x) // 4 for x in blobs)])
+        w = scan(part, at)
+        hashes, first, each = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        slot = self._slots(w, hashes, first)[each]
+        size = self.begin[slot + 1] - self.begin[slot]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[slot] - ends[:-1], size)]
+        return ids, ends[w.first]
+
+    def _slots(self, w: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The slots of words by their sorted hashes; ``first``: where each word is first. Words without one get it."""
+        if len(self.known) > WORDS_KEPT:
+            self._empty()
+        at = np.searchsorted(self.known, hashes)
+        lacking = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        lacking[inside] = self.known[at[inside]] != hashes[inside]
+        if lacking.any():
+            view, starts, ends = memoryview(w.raw), w.starts[first[lacking]].tolist(), w.ends[first[lacking]].tolist()
+            blobs = self.learn([bytes(view[a:b]) for a, b in zip(starts, ends, strict=True)])
+            ids = np.frombuffer(b"".join(blobs), "<u4")
+            self.flat = np.concatenate([self.flat, ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids])
+            new = np.arange(len(self.known), len(self.known) + len(blobs), dtype=np.int32)
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) // 4 for x in blobs])])
+            self.known, self.slot = np.insert(self.known, at[lacking], hashes[lacking]), np.insert(self.slot, at[lacking], new)
+            at = np.searchsorted(self.known, hashes)
+        return self.slot[at]
+
+    def _ask(self, texts: list[str], bare: bool = False) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in (self.bare if bare else self.whole).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, by their parts."""
+        if len(self.parts) > PARTS_KEPT:
             self.parts.clear()
         parts, fit, special = self.parts, _PARTS.fullmatch, self.special.search if self.special else lambda t: None
-        whole, as_part, split, groups = [], [], [], []  # words and their one part, words and their three
-        for w in lacking:
+        cut: list[tuple[str, ...]] = []
+        for w in words:
             t = w.decode()
             low = t.lower() if t.isascii() else t
             if low.isalpha():
-                whole.append(w)
-                as_part.append(low)
-            elif special(low) or not (found := fit(low)):
-                whole.append(w)
-                as_part.append(t)
+                cut.append((low,))
+            elif special(low):
+                cut.append((t,))
             else:
-                split.append(w)
-                groups += found.groups()
-        self._learn([p for p in {*as_part, *groups} if p not in parts and p])
+                found = fit(low)
+                cut.append(found.groups() if found else (low,))
+        self._learn([p for p in set().union(*cut) if p and p not in parts])
         parts[""] = b""
-        self.update(zip(whole, map(parts.__getitem__, as_part), strict=True))
-        three = map(parts.__getitem__, groups)
-        self.update((w, x + y + z) for w, x, y, z in zip(split, three, three, three, strict=True))
+        return [parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]] + parts[c[2]] for c in cut]
 
     def _learn(self, parts: list[str]) -> None:
         plain = [p for p in parts if p.isalpha()]
         alone = [p for p in parts if not p.isalpha()]
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, text in zip(groups, self._ask([" ".join(g) for g in groups]), strict=True):
-            ends = 4 * (np.flatnonzero(self.is_end[np.frombuffer(text, "<u4")]) + 1)
-            if len(ends) != len(group):
-                alone += group
-                continue
-            a = 0
-            for p, b in zip(group, ends.tolist(), strict=True):
-                self.parts[p] = text[a:b]
-                a = b
+        for bare in (True, False):
+            some = [p for p in plain if p.isascii() is bare]  # lower-case, where ASCII
+            groups = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+            for group, text in zip(groups, self._ask([" ".join(g) for g in groups], bare), strict=True):
+                ends = 4 * (np.flatnonzero(self.is_end[np.frombuffer(text, "<u4")]) + 1)
+                if len(ends) != len(group):
+                    alone += group
+                    continue
+                a = 0
+                for p, b in zip(group, ends.tolist(), strict=True):
+                    self.parts[p] = text[a:b]
+                    a = b
         for i in range(0, len(alone), 20_000):
             for p, ids in zip(alone[i : i + 20_000], self._ask(alone[i : i + 20_000]), strict=True):
                 self.parts[p] = ids
@@ -251,7 +279,9 @@ class Code:
 def _segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Documents in order, as rows of whole documents with their ids."""
     held = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    end = array.array("I", [end_id]).tobytes()
+    narrow = max(end_id, _highest(tokenizer)) < 1 << 16
+    kind = "<u2" if narrow else "<u4"
+    end = np.array([end_id], kind).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = library_words(held.value), TaskContext.get().partitionId()
@@ -265,16 +295,14 @@ def _segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         for batch in batches:
             raw, offs = utf8(batch["text"])
-            view, bounds, ids = memoryview(raw), offs.tolist(), batch["doc_id"].to_pylist()
-            for first in range(0, len(ids), 1000):
-                texts = [bytes(view[bounds[i] : bounds[i + 1]]) for i in range(first, min(first + 1000, len(ids)))]
-                for k, blob in enumerate(table.encode(texts), first):
-                    blob += end
-                    n = len(blob) // 4
-                    names.append(ids[k])
-                    sizes.append(n)
-                    blobs.append(np.frombuffer(blob, "<u4").astype("<u2").tobytes() if narrow else blob)
-                    count += n
+            for i, j, piece, at in chunks(raw, offs):
+                ids, ends = table.encode(piece, at)
+                flat, wide = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+                for name, a, b in zip(batch["doc_id"].slice(i, j - i).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    names.append(name)
+                    sizes.append(b - a + 1)
+                    blobs.append(flat[wide * a : wide * b] + end)
+                    count += b - a + 1
                     if count >= SEGMENT:
                         yield row()
                         before += count
@@ -282,7 +310,6 @@ def _segments(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         if names:
             yield row()
 
-    narrow = max(end_id, _highest(tokenizer)) < 1 << 16
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = columns.repartitionByRange(*order).sortWithinPartitions(*order)

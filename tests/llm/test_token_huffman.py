@@ -68,7 +68,13 @@ def test_files(spark, monkeypatch):
         at += len(r.ids)
 
 
-def test_words_as_whole_texts():
+def _blobs(table, texts):
+    ids, ends = table.encode(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    return [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def test_words_as_whole_texts(monkeypatch):
+    monkeypatch.setattr(th, "WORDS_KEPT", 400)
     """Ids by word against whole texts: words with stops, signs on either side, marks that compose, letters whose lower case is two."""
     tk = Tokenizer.from_file(PATH)
     rng = random.Random(5)
@@ -77,10 +83,10 @@ def test_words_as_whole_texts():
     want = [struct.pack(f"<{len(i)}I", *i) for i in (tk.encode(t, add_special_tokens=False).ids for t in texts)]
     text = th.tokenizer_text(PATH)
     assert th.LibraryWords(text).by_word
-    assert th.LibraryWords(text).encode([t.encode() for t in texts]) == want
+    assert _blobs(th.LibraryWords(text), texts) == want
     other = th.LibraryWords(th.tokenizer_text(public_tokenizers.path("byte_bpe_50k.json")))
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert not other.by_word and other.encode([t.encode() for t in texts[:9]]) == [struct.pack(f"<{len(i)}I", *i) for i in (whole.encode(t, add_special_tokens=False).ids for t in texts[:9])]
+    assert not other.by_word and _blobs(other, texts[:9]) == [struct.pack(f"<{len(i)}I", *i) for i in (whole.encode(t, add_special_tokens=False).ids for t in texts[:9])]
 
 
 def test_no_documents(spark):
