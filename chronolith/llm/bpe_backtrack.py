@@ -15,7 +15,7 @@ the border may have a merge that comes before those undone. Verdicts are kept in
 
 Texts are cut at ASCII white space, which no token and no step of the normalizer spans;
 each distinct word is encoded once for each Python worker, while the bounded table of
-words holds it.
+words, by their 64-bit hashes, holds it.
 
 Defined results: a null text counts as empty, and has no tokens; special tokens'
 strings in a text become their ids, as in the library; repeated rows each get theirs; an
@@ -25,6 +25,7 @@ are worked on some megabyte of text at a time, a longer text on its own.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 from collections.abc import Iterator
@@ -35,10 +36,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .wordscan import chunks, utf8
+from .wordscan import chunks, scan, utf8
+from .wordtable import WordIds
 
-#: Words of up to WORD_BYTES that a worker keeps the tokens of: a table that is full becomes the old one, from which words come back when they are asked for again. About 10 MB each.
-WORDS_KEPT, WORD_BYTES = 50_000, 64
 #: Pairs of tokens that a worker keeps the verdict of, likewise. About 7 MB each table.
 PAIRS_KEPT = 50_000
 #: How a piece's last symbol differs from the others.
@@ -155,13 +155,13 @@ _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _SPACES = "\x85\xa0"
 
 
-class Encoder(dict):
-    """A table of words to their tokens' ids, in decimal with one space between, as the whole tokenizer finds them; words that it lacks are encoded when asked for."""
+class Encoder:
+    """Texts to their tokens' ids, as the whole tokenizer finds them, by a table of words."""
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        self.vocabulary, self.old = Vocabulary(text), {}
+        self.vocabulary, self.words = Vocabulary(text), WordIds(self._learn)
         whole = Tokenizer.from_str(text)
         self.normalize, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.place = {c: b for b, c in enumerate(byte_symbols())}
@@ -186,20 +186,12 @@ class Encoder(dict):
                     ids += self.vocabulary.encode_piece(piece)
         return ids
 
-    def encode(self, text: bytes) -> str:
-        """The ids of a whole text, in decimal with one space between."""
-        return " ".join(filter(None, map(self.__getitem__, text.split())))
-
-    def __missing__(self, word: bytes) -> str:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = " ".join(map(str, self.encode_word(word)))
-        if len(word) <= WORD_BYTES:
-            if len(self) >= WORDS_KEPT:
-                self.old = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        return [array.array("I", self.encode_word(w)).tobytes() for w in words]
+
+    def encode(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of the texts at ``at`` in the bytes ``part``, and where each text's begin and end."""
+        return self.words.encode(scan(part, at))
 
 
 class Decoder:
@@ -257,20 +249,16 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
         for batch in batches:
             raw, offs = utf8(batch["text"])
             for i, j, part, at in chunks(raw, offs):
-                n, ids_sum, text_sum, kept = [], [], [], []
-                view, bounds = memoryview(part), at.tolist()
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    ids = encoder.encode(bytes(view[a:b]))
-                    numbers = np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32)
-                    n.append(len(numbers))
-                    ids_sum.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_sum.append(hashlib.sha256(decoder.decode(numbers)).hexdigest())
-                    if keep_ids:
-                        kept.append(numbers)
-                columns = [batch["doc_id"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())]
+                ids_sum, text_sum = [], []
+                found, ends = encoder.encode(part, at)
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    ids = found[a:b]
+                    ids_sum.append(hashlib.sha256(str(ids.tolist())[1:-1].replace(",", "").encode()).hexdigest())
+                    text_sum.append(hashlib.sha256(decoder.decode(ids)).hexdigest())
+                columns = [batch["doc_id"].slice(i, j - i), pa.array(np.diff(ends), pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate(kept))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 

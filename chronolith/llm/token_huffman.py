@@ -39,15 +39,16 @@ from pyspark.sql import functions as F
 
 from .bpe_backtrack import tokenizer_text
 from .storage import drop, shared_dir, written
-from .wordscan import Words, chunks, scan, utf8
+from .wordscan import chunks, scan, utf8
+from .wordtable import WordIds
 
 END_ID = 1
 #: Bits of the longest code, and ids between checkpoints.
 LIMIT, BLOCK = 20, 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT = 1 << 16
-#: Words, and parts of words, that a worker keeps the ids of; a table is emptied when full. About 32 bytes and 190 bytes each.
-WORDS_KEPT, PARTS_KEPT = 3_000_000, 300_000
+#: Parts of words that a worker keeps the ids of, about 190 bytes each; the table is emptied when full.
+PARTS_KEPT = 300_000
 #: Words of letters that the library is asked for as one text.
 JOINED = 1000
 #: Ids that are decoded together.
@@ -66,8 +67,7 @@ class LibraryWords:
     """Texts to their ids, found by the tokenizers library.
 
     Where the file's steps before the model are ``_NORMALIZERS`` and ``_SPLIT``, a text's
-    ids are those of its words in turn. The ids of known words lie end to end, by slots
-    that a sorted table has for the words' 64-bit hashes:
+    ids are those of its words in turn, which are kept in a table:
 
     * No step has to do with white space but to cut at it.
     * ASCII letters are lower-cased by the file, so words that differ in them have the same ids.
@@ -94,49 +94,20 @@ class LibraryWords:
         bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         self.by_word = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS and len(steps) == 2 and steps[0] == _SPLIT and steps[1].items() >= bytes_only.items() and model.get("end_of_word_suffix") == _WORD_END and not model.get("continuing_subword_prefix")
         self.parts: dict[str, bytes] = {}
-        self._empty()
+        self.words = WordIds(self.learn)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
         names = self.whole.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(names.values()) + 1, bool)
         self.is_end[[i for t, i in names.items() if t.endswith(_WORD_END)]] = True
 
-    def _empty(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16)  # where each slot's ids begin, and the ids
-
     def encode(self, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of the texts at ``at`` in the bytes ``part``, and where each text's begin and end."""
         if not self.by_word:
             view = memoryview(part)
             blobs = self._ask([bytes(view[a:b]).decode() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)])
             return np.frombuffer(b"".join(blobs), "<u4"), np.cumsum([0, *(len(x) // 4 for x in blobs)])
-        w = scan(part, at)
-        hashes, first, each = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        slot = self._slots(w, hashes, first)[each]
-        size = self.begin[slot + 1] - self.begin[slot]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[slot] - ends[:-1], size)]
-        return ids, ends[w.first]
-
-    def _slots(self, w: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The slots of words by their sorted hashes; ``first``: where each word is first. Words without one get it."""
-        if len(self.known) > WORDS_KEPT:
-            self._empty()
-        at = np.searchsorted(self.known, hashes)
-        lacking = np.ones(len(hashes), bool)
-        inside = at < len(self.known)
-        lacking[inside] = self.known[at[inside]] != hashes[inside]
-        if lacking.any():
-            view, starts, ends = memoryview(w.raw), w.starts[first[lacking]].tolist(), w.ends[first[lacking]].tolist()
-            blobs = self.learn([bytes(view[a:b]) for a, b in zip(starts, ends, strict=True)])
-            ids = np.frombuffer(b"".join(blobs), "<u4")
-            self.flat = np.concatenate([self.flat, ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids])
-            new = np.arange(len(self.known), len(self.known) + len(blobs), dtype=np.int32)
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) // 4 for x in blobs])])
-            self.known, self.slot = np.insert(self.known, at[lacking], hashes[lacking]), np.insert(self.slot, at[lacking], new)
-            at = np.searchsorted(self.known, hashes)
-        return self.slot[at]
+        return self.words.encode(scan(part, at))
 
     def _ask(self, texts: list[str], bare: bool = False) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in (self.bare if bare else self.whole).encode_batch_fast(texts, add_special_tokens=False)]

@@ -10,6 +10,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from chronolith.llm import token_huffman as th
+from chronolith.llm import wordtable
 from chronolith.llm.storage import shared_dir
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -74,7 +75,7 @@ def _blobs(table, texts):
 
 
 def test_words_as_whole_texts(monkeypatch):
-    monkeypatch.setattr(th, "WORDS_KEPT", 400)
+    monkeypatch.setattr(wordtable, "WORDS_KEPT", 400)
     """Ids by word against whole texts: words with stops, signs on either side, marks that compose, letters whose lower case is two."""
     tk = Tokenizer.from_file(PATH)
     rng = random.Random(5)
