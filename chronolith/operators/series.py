@@ -17,7 +17,7 @@ def sma(prices: DataFrame, period: int) -> DataFrame:
     """Simple moving averages over full windows, two decimals."""
     w = _by_day()
     mean = F.sum("close").over(w.rowsBetween(-(period - 1), 0)) / period
-    return prices.select("subject_id", "day", mean.alias("mean"), F.row_number().over(w).alias("n")).filter(F.col("n") >= period).select("subject_id", "day", (half_up(F.col("mean") * 100) / 100).alias("sma"))
+    return prices.select("subject_id", "day", mean.alias("mean"), F.row_number().over(w).alias("n")).filter(F.col("n") >= period).select("subject_id", "day", (half_up(F.round(F.col("mean") * 100, 6)) / 100).alias("sma"))
 
 
 def daily_moves(prices: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from . import views as v
 from .queries import day, ids, query, r4, table
 
 #: Headlines about a part's name @, and how they mention it.
-HEADLINES = [("@ wins an award", "named"), ("Harrison @ wins an award", "oblique"), ("The @ wins", "named"), ("Nothing of it here", "none"), ("ZQ beats all", "named"), ("Of zq and others", "none"), ("the @s of old", "none")]
+HEADLINES = [("@ wins an award", "named"), ("Harrison @ wins an award", "oblique"), ("The @ wins", "named"), ("Nothing of it here", "none"), ("ZQ beats all", "named"), ("Of zq and others", "none"), ("the @s of yore", "none")]
 
 
 def _headline() -> F.Column:
