@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .wordscan import chunks, scan, utf8
 from .wordtable import WordIds
 
-#: Pairs of tokens that a worker keeps the verdict of, likewise. About 7 MB each table.
+#: Pairs of tokens that a worker keeps the verdict of; the table, of about 7 MB, is emptied when full.
 PAIRS_KEPT = 50_000
 #: How a piece's last symbol differs from the others.
 WORD_END = "</w>"

@@ -72,7 +72,10 @@ class LibraryWords:
     * No step has to do with white space but to cut at it.
     * ASCII letters are lower-cased by the file, so words that differ in them have the same ids.
     * Runs of letters and runs of other signs are pieces of their own. Each piece ends
-      with an id of a token with ``_WORD_END``, and no other id is of one.
+      with an id of a token with ``_WORD_END``, and no other id is of one. A letter that
+      the file's normalizer turns into a letter and a mark, or that the library does not
+      take for one, would join a sign beside it; ``_stands_alone`` asks the library, and
+      words with such letters are asked for whole.
 
     So words of letters are asked for many at once, as one text, and its ids are cut after
     word ends. If these are not as many as the words, each word is asked for on its own,
@@ -94,6 +97,7 @@ class LibraryWords:
         bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         self.by_word = (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS and len(steps) == 2 and steps[0] == _SPLIT and steps[1].items() >= bytes_only.items() and model.get("end_of_word_suffix") == _WORD_END and not model.get("continuing_subword_prefix")
         self.parts: dict[str, bytes] = {}
+        self.alone: dict[str, bool] = {}  # by letter, at most as many as Unicode has
         self.words = WordIds(self.learn)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE) if special else None
@@ -127,11 +131,20 @@ class LibraryWords:
                 cut.append((t,))
             else:
                 found = fit(low)
-                cut.append(found.groups() if found else (low,))
+                cut.append(found.groups() if found and (found[2].isascii() or all(map(self._stands_alone, found[2]))) else (low,))
         self._learn([p for p in set().union(*cut) if p and p not in parts])
         parts[""] = b""
         return [parts[c[0]] if len(c) == 1 else parts[c[0]] + parts[c[1]] + parts[c[2]] for c in cut]
 
+    def _stands_alone(self, letter: str) -> bool:
+        """Whether the library keeps a letter, as it is after the normalizer, apart from the signs beside it."""
+        found = self.alone.get(letter)
+        if found is None:
+            text, cut = self.whole.normalizer.normalize_str(letter), self.whole.pre_tokenizer.pre_tokenize_str
+            after, before = cut(text + "."), cut("." + text)
+            found = self.alone[letter] = len(after) == len(before) == 2 and after[1][0] == before[0][0] == "."
+        return found
+
     def _learn(self, parts: list[str]) -> None:
         plain = [p for p in parts if p.isalpha()]
         alone = [p for p in parts if not p.isalpha()]
