@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bottomk_dedup, bpe_backtrack, decontaminate, license_scan, line_templates, quality_fm, repetition_rules, separator_scan, substring_automata, token_huffman
-from .storage import shared_dir
+from . import bottomk_dedup, bpe_backtrack, conversation_repair, decontaminate, license_scan, line_templates, quality_fm, repetition_rules, separator_scan, source_divergence, substring_automata, token_huffman, warc
+from .storage import shared_dir, written
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD_BPE_END = 49407
@@ -64,6 +64,23 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op11_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"))
+    pages = warc.read(archive.files).filter("record_type is null or record_type <> 'warcinfo'")
+    found = written(pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "fault"))
+    archive.drop(spark)
+    return found
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_all(conversation_repair.damage(rows), rows)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_templates": op1_line_templates,
     "op2_token_huffman": op2_token_huffman,
@@ -75,8 +92,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_backtrack": op8_bpe_backtrack,
     "op9_license_scan": op9_license_scan,
     "op10_repetition_rules": op10_repetition_rules,
+    "op11_warc_records": op11_warc_records,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op9_license_scan": license_scan.oracle("SELECT doc_id, concat_ws('/', source, lang, doc_id // 100, doc_id) AS path, text FROM documents"),
+    "op11_warc_records": warc.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
 }
