@@ -6,25 +6,29 @@ one window. Documents stream past the set once: a bit table rejects most windows
 sorted hashes find the rest, and each hit is verified on its words.
 
 The set is broadcast only while the benchmark is at most ``broadcast_bytes`` of text,
-which is measured first. A larger benchmark is joined to the documents' windows on the
-window's hash instead, through a shuffle, with the same results.
+which is measured first. A larger benchmark is joined to the documents' windows instead,
+through a shuffle, with the same results; a filter of ``FILTER_BITS`` bits, of the same
+size for any benchmark, keeps back the windows that no item has.
 
 Defined results: a null or empty text or item has no words, so it has no hits and
 gives no window; repeated items each count; items with a null id are counted under the
-text ``null`` (sorted among the others); repeated document rows each get their result;
-other columns are ignored by ``scan_documents``.
+text ``null`` (sorted among the others); repeated document rows each get their result; a
+very long text is a chunk of its own; an empty table of documents gives no rows and an
+empty benchmark no hits; other columns are ignored by ``scan_documents``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import written
 from .wordscan import LOWER, NOT_ALNUM, Rolling, Words, chunks, covered, scan, utf8, window_starts
 
 WINDOW = 10
@@ -34,11 +38,6 @@ _BITS = 22
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<struct<begin:int,end:int>>"
 
 
-def _scan(texts: pa.Array) -> Words:
-    raw, offs = utf8(texts)
-    return scan(LOWER[raw], offs, NOT_ALNUM)
-
-
 def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each item's windows: the first word, the number of words, the hash."""
     counts, rolling = w.counts(), Rolling(w.hashes())
@@ -50,31 +49,46 @@ def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class NgramSet:
-    """The windows of the items, by number of words and then by hash."""
+    """The windows of the items, by number of words and then by hash, as arrays: some 40 bytes each beside the items' own bytes.
+
+    Windows of one hash share a slot. Their words are compared once, when the set is
+    built; the rare slot whose windows differ is ``mixed``.
+    """
 
     def __init__(self, ids: list[str], texts: list[str | None], size: int = WINDOW):
-        self.ids, w = ids, _scan(pa.array(texts, pa.string()))
-        a, n, h = _windows(w, size)
-        doc = np.searchsorted(w.first, a, "right") - 1
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
-        for k in np.unique(n):
+        self.ids = ids
+        raw, offs = utf8(pa.array(texts, pa.large_string()))
+        found, words, base = [], [], 0
+        for i, _, part, at in chunks(raw, offs):
+            w = scan(LOWER[part], at, NOT_ALNUM)
+            a, n, h = _windows(w, size)
+            found.append((a + base, n, h, np.searchsorted(w.first, a, "right") - 1 + i))
+            words.append((w.starts + offs[i], w.ends + offs[i]))
+            base += len(w.starts)
+        none = [np.zeros(0, np.int64)]
+        starts, ends = (np.concatenate([x[k] for x in words] + none) for k in (0, 1))
+        self.words = Words(LOWER[raw], starts, ends, np.array([0, base]))
+        a, n, h, doc = (np.concatenate([x[k] for x in found] + (none if k != 2 else [np.zeros(0, np.uint64)])) for k in range(4))
+        self.by_size: dict[int, tuple] = {}
+        for k in np.unique(n).tolist():
             pick = np.flatnonzero(n == k)
-            pick = pick[np.argsort(h[pick], kind="stable")]
+            pick = pick[np.lexsort((doc[pick], h[pick]))]
             keys, begin = np.unique(h[pick], return_index=True)
             bits = np.zeros(1 << _BITS, bool)
             bits[keys >> np.uint64(64 - _BITS)] = True
-            found = []
-            for g in np.split(pick, begin[1:]):
-                by_words: dict[bytes, set[int]] = {}
-                for i in g:
-                    by_words.setdefault(_joined(w, a[i], a[i] + k), set()).add(int(doc[i]))
-                found.append(by_words)
-            self.by_size[int(k)] = keys, bits, found
-
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
+            begin = np.append(begin, len(pick))
+            at = a[pick]
+            mixed = set()
+            for slot in np.flatnonzero(np.diff(begin) > 1).tolist():
+                first = _joined(self.words, at[begin[slot]], at[begin[slot]] + k)
+                if any(_joined(self.words, x, x + k) != first for x in at[begin[slot] + 1 : begin[slot + 1]].tolist()):
+                    mixed.add(slot)
+            self.by_size[k] = keys, bits, begin, at, doc[pick].astype(np.int32), mixed
+
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of each verified window in the documents: its first word, its end, its items."""
         rolling, a, b, items = Rolling(w.hashes()), [], [], []
-        for k, (keys, bits, found) in self.by_size.items():
+        for k, (keys, bits, begin, where, owner, mixed) in self.by_size.items():
             h = rolling.windows(k)
             at = np.flatnonzero(bits[h >> np.uint64(64 - _BITS)])
             slot = np.searchsorted(keys, h[at])
@@ -84,7 +98,13 @@ class NgramSet:
             doc = np.searchsorted(w.first, at, "right")
             inside = at + k <= w.first[doc]
             for i, s in zip(at[inside].tolist(), slot[inside].tolist(), strict=True):
-                if got := found[s].get(_joined(w, i, i + k)):
+                x, y = begin[s], begin[s + 1]
+                words = _joined(w, i, i + k)
+                if s in mixed:
+                    got = owner[x:y][[_joined(self.words, z, z + k) == words for z in where[x:y].tolist()]]
+                else:
+                    got = owner[x:y] if _joined(self.words, where[x], where[x] + k) == words else owner[:0]
+                if len(got):
                     a.append(i)
                     b.append(i + k)
                     items.append(got)
@@ -107,29 +127,33 @@ def _joined(w: Words, a: int, b: int) -> bytes:
     return b" ".join(w.raw[s:e].tobytes() for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True))
 
 
-def _rows(doc_ids: pa.Array, w: Words, a: np.ndarray, b: np.ndarray, items: list[set], names: Callable[[int], str]) -> pa.RecordBatch:
-    """The result rows of one chunk from its verified windows."""
+_NOTHING = hashlib.sha256(b"").hexdigest()
+
+
+def _rows(doc_ids: pa.Array, w: Words, a: np.ndarray, b: np.ndarray, names: list[list[str] | None]) -> pa.RecordBatch:
+    """The result rows of one chunk from its verified windows and the names of each document's items."""
     n = len(w.first) - 1
     hit = covered(int(w.first[-1]), a, b)
     hit_sums = np.concatenate([[0], np.cumsum(hit)])
     n_hit = hit_sums[w.first[1:]] - hit_sums[w.first[:-1]]
-    by_doc: dict[int, set] = {}
-    for d, got in zip((np.searchsorted(w.first, a, "right") - 1).tolist(), items, strict=True):
-        by_doc.setdefault(d, set()).update(got)
-    nothing = hashlib.sha256(b"").hexdigest()
-    digest, spans = [nothing] * n, [[]] * n
-    n_items = np.zeros(n, np.int64)
-    for d, got in by_doc.items():
-        n_items[d] = len(got)
-        digest[d] = hashlib.sha256(",".join(sorted(names(i) for i in got)).encode()).hexdigest()
+    spans = [[]] * n
+    for d in np.flatnonzero(n_hit).tolist():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[w.first[d] : w.first[d + 1]].view(np.int8), [0]])))
         spans[d] = [{"begin": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)]
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(w.counts(), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest, pa.string()), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
+        [doc_ids, pa.array(w.counts(), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else _NOTHING for x in names], pa.string()), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"],
     )
 
 
+def _names(ngrams: NgramSet, w: Words, a: np.ndarray, items: list[np.ndarray]) -> list[list[str] | None]:
+    """Of each document the names of the items that its windows are of."""
+    by_doc: dict[int, list[np.ndarray]] = {}
+    for d, got in zip((np.searchsorted(w.first, a, "right") - 1).tolist(), items, strict=True):
+        by_doc.setdefault(d, []).append(got)
+    return [[ngrams.ids[i] for i in np.unique(np.concatenate(by_doc[d])).tolist()] if d in by_doc else None for d in range(len(w.first) - 1)]
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
 
@@ -150,7 +174,8 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, br
             raw, offs = utf8(batch["text"])
             for i, j, part, at in chunks(raw, offs):
                 w = scan(LOWER[part], at, NOT_ALNUM)
-                yield _rows(batch["doc_id"].slice(i, j - i), w, *ngrams.hits(w), ngrams.ids.__getitem__)
+                a, b, items = ngrams.hits(w)
+                yield _rows(batch["doc_id"].slice(i, j - i), w, a, b, _names(ngrams, w, a, items))
 
     return columns.mapInArrow(run, RESULT)
 
@@ -163,17 +188,47 @@ def _joined_scan(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
             raw, offs = utf8(batch["text"])
             for i, j, part, at in chunks(raw, offs):
                 w = scan(LOWER[part], at, NOT_ALNUM)
-                yield _rows(batch["doc_id"].slice(i, j - i), w, *_checked(w, batch[_HITS].slice(i, j - i).to_pylist()), lambda x: x[1])
+                yield _rows(batch["doc_id"].slice(i, j - i), w, *_placed(w, batch[_HITS].slice(i, j - i).to_pylist()), batch[_NAMES].slice(i, j - i).to_pylist())
 
-    return _with_hits(docs, items, size).mapInArrow(run, RESULT)
+    return _with_hits(docs, items, size, names=True).mapInArrow(run, RESULT)
 
 
-_ROW, _HITS = "chronolith_row", "chronolith_hits"
+_ROW, _HITS, _NAMES = "chronolith_row", "chronolith_hits", "chronolith_names"
+#: Bits of the filter of the windows' hashes that documents are held against before the join, 32 MB.
+FILTER_BITS = 1 << 28
 
 
-def _with_hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """``docs`` and, of each row, its windows that meet one of an item on their hash, through a shuffle; hits go back by row."""
-    from .storage import written
+def _filter(grams: DataFrame, spark: SparkSession) -> tuple[Broadcast, int]:
+    """A bit for each value that a window's hash can have modulo the bits: as large for any benchmark."""
+    total = FILTER_BITS
+    place = F.pmod("h", F.lit(total)) + 1  # Spark's buckets of bits begin at 1
+    rows = grams.select(place.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()  # at most FILTER_BITS / 32768 rows of 4 kB
+    return spark.sparkContext.broadcast({r["no"]: bytes(r["bits"]) for r in rows}), total
+
+
+_filters: dict[str, np.ndarray] = {}
+
+
+def _held_filter(held: Broadcast, total: int) -> np.ndarray:
+    """The filter's bytes, laid out once in each Python worker."""
+    key = getattr(held, "_path", None) or str(id(held))
+    if key not in _filters:
+        _filters.clear()
+        flat = np.zeros(total // 8, np.uint8)
+        for no, bits in held.value.items():
+            flat[(no - 1) * 4096 : no * 4096] = np.frombuffer(bits, np.uint8)
+        _filters[key] = flat
+    return _filters[key]
+
+
+def _with_hits(docs: DataFrame, items: DataFrame, size: int, names: bool = False) -> DataFrame:
+    """``docs`` and, of each row, the windows that it shares with an item, and the names of these items; through a shuffle.
+
+    Only windows that pass the filter are shuffled, with their words, and meet the items'
+    distinct windows; the items of a window are joined to the documents that are known to
+    have it.
+    """
+    spark = docs.sparkSession
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +241,11 @@ def _with_hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
     grams = written(items.withColumn("no", F.monotonically_increasing_id()).mapInArrow(of_items, "h long, n int, no long, item string, words binary"))
     sizes = [r["n"] for r in grams.select("n").distinct().collect()]  # at most ``size`` rows
+    held, total = _filter(grams, spark)
     keyed = written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _held_filter(held, total)
         for batch in batches:
             raw, offs = utf8(batch["text"])
             for i, _, part, at in chunks(raw, offs):
@@ -196,27 +253,33 @@ def _with_hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
                 rolling = Rolling(w.hashes())
                 for k in sizes:
                     a = window_starts(w.first, k)
+                    h = rolling.of(a, a + k).view(np.int64)
+                    place = h % total
+                    some = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                    a, h = a[some], h[some]
                     doc = np.searchsorted(w.first, a, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(rolling.of(a, a + k).view(np.int64)), pa.array(np.full(len(a), k), pa.int32()), batch["row"].take(pa.array(doc + i)), pa.array(a - w.first[doc], pa.int32())], ["h", "n", "row", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(a), k), pa.int32()), batch["row"].take(pa.array(doc + i)), pa.array(a - w.first[doc], pa.int32()), pa.array([_joined(w, x, x + k) for x in a.tolist()], pa.binary())], ["h", "n", "row", "at", "words"])
 
     texts = keyed.select(F.col(_ROW).alias("row"), F.col("text").cast("string").alias("text"))
-    hits = texts.mapInArrow(of_docs, "h long, n int, row long, at int").join(grams.groupBy("h", "n").agg(F.collect_set(F.struct("no", "item", "words")).alias("of")), ["h", "n"])
-    hits = hits.groupBy(F.col("row").alias(_ROW)).agg(F.collect_list(F.struct("at", "n", "of")).alias(_HITS))
-    return keyed.join(hits, _ROW, "left").drop(_ROW)
-
-
-def _checked(w: Words, hits: list[list | None]) -> tuple[np.ndarray, np.ndarray, list[set]]:
-    """Of the documents' joined hits those that hold on their words, like ``NgramSet.hits``."""
-    a, b, items = [], [], []
+    window = ["h", "n", "words"]
+    hits = written(texts.mapInArrow(of_docs, "h long, n int, row long, at int, words binary").join(grams.select(*window).distinct(), window))
+    spans = hits.groupBy(F.col("row").alias(_ROW)).agg(F.collect_list(F.struct("at", "n")).alias(_HITS))
+    out = keyed.join(spans, _ROW, "left")
+    if names:
+        # A document's items, each once however many windows it shares with them.
+        of = hits.select("row", *window).distinct().join(grams.select(*window, "no", "item").distinct(), window).select("row", "no", "item").distinct()
+        out = out.join(of.groupBy(F.col("row").alias(_ROW)).agg(F.collect_list("item").alias(_NAMES)), _ROW, "left")
+    return out.drop(_ROW)
+
+
+def _placed(w: Words, hits: list[list | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The first words and ends of the documents' hits."""
+    a, b = [], []
     for first, found in zip(w.first.tolist(), hits, strict=False):
         for x in found or ():
-            at, end = first + x["at"], first + x["at"] + x["n"]
-            words = _joined(w, at, end)
-            if got := {(o["no"], o["item"]) for o in x["of"] if o["words"] == words}:
-                a.append(at)
-                b.append(end)
-                items.append(got)
-    return np.array(a, np.int64), np.array(b, np.int64), items
+            a.append(first + x["at"])
+            b.append(first + x["at"] + x["n"])
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -249,7 +312,7 @@ def _filtered(docs: DataFrame, benchmark: DataFrame, size: int, broadcast_bytes:
             clean, texts = np.ones(batch.num_rows, bool), {}
             for i, j, part, at in chunks(raw, offs):
                 w = scan(LOWER[part], at, NOT_ALNUM)
-                a, b, _ = ngrams.hits(w) if ngrams else _checked(w, joined.slice(i, j - i).to_pylist())
+                a, b = ngrams.hits(w)[:2] if ngrams else _placed(w, joined.slice(i, j - i).to_pylist())
                 hit = covered(int(w.first[-1]), a, b)
                 for d in np.unique(np.searchsorted(w.first, a, "right") - 1).tolist():
                     clean[i + d] = False

@@ -11,8 +11,9 @@ The second sum is that over all pairs of features, taken in time linear in the f
 by the sum-of-squares identity. The score is 1 / (1 + exp(-z)).
 
 The model is fitted on at most ``FIT_ROWS`` labelled documents, the first by a hash of
-their doc_id, on the driver: that sample, of at most BUCKETS features each, and the
-model (about 1 MB) do not grow with the data. All documents are scored, in one pass.
+their doc_id, and only while their features together take ``FIT_BYTES`` at most: neither
+that sample, which goes to the driver, nor the model (2.5 MB) grows with the data. All
+documents are scored, in one pass.
 
 Defined results: a null or empty text has no words and all its shares are 0, and it is
 scored too; a document is labelled 1 if at least half of its non-null labels are; with
@@ -27,16 +28,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
 from .wordscan import LOWER, WHITE, Words, chunks, scan, utf8
 
 BUCKETS = 1 << 15
 FACTORS = 8
 BINS = 8
 FIT_ROWS = 4000
-EPOCHS, BATCH, RATE, SHRINK = 10, 128, 0.04, 1e-5
+EPOCHS, BATCH, RATE, SHRINK = 25, 128, 0.04, 1e-5
+#: Features of the sample that go to the driver.
+FIT_BYTES = 128 << 20
 THRESHOLD = 0.7
 STATS = ["log_chars", "log_words", "log_lines", "symbols", "bangs", "bars", "upper", "digits", "punctuation", "high", "white", "word_bytes", "long_words", "short_words", "distinct", "line_words", "dup_lines", "marked_words", "shouted_words", "size"]
 
@@ -178,8 +182,8 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), size.alias("n_chars"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
-    """A machine fitted to ``labels`` (doc_id, quality) of documents that are not held out."""
+def _sample(docs: DataFrame, labels: DataFrame, rows: int, most: int) -> DataFrame:
+    """Features of the first ``rows`` labelled documents, as far as ``most`` bytes reach."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).filter("doc_id is not null and quality is not null")
     known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most ``rows`` rows
@@ -194,7 +198,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["quality"].slice(i, j - i), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], ["doc_id", "quality", "index", "value", "stats"])
 
     sample = _columns(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality double, index binary, value binary, stats binary")
-    got = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["stats"]))
+    sample = written(sample)
+    size = F.sum(F.octet_length("index") + F.octet_length("value") + F.octet_length("stats"))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over ``rows`` rows at most
+    return sample.join(F.broadcast(sample.groupBy("doc_id").agg(size.alias("size")).select("doc_id", upto.alias("upto")).filter(F.col("upto") <= most)), "doc_id", "left_semi")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_BYTES) -> Machine:
+    """A machine fitted to ``labels`` (doc_id, quality) of documents that are not held out."""
+    got = sorted(_sample(docs, labels, rows, most).collect(), key=lambda r: (r["doc_id"], r["stats"]))
     rows_of = [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4"), np.frombuffer(r["stats"], "<f4")) for r in got]
     return fit(rows_of, np.array([float(r["quality"] >= 0.5) for r in got]))
 

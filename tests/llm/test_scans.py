@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -88,6 +89,28 @@ def test_decontaminate_alike_at_every_size(spark, limit):
     assert cut.schema == docs.schema and {r.doc_id: r.text for r in cut.collect()} == {0: "keep A", 1: "x , y", 2: None, 3: "", 4: "keep A", 5: "", 6: "a b c, "}
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_one_window_in_many_items(spark, limit):
+    """Boilerplate in 3000 items, in a document that repeats it, and a very long text without a hit."""
+    item = "a b c d e f g h i j"
+    bench = spark.createDataFrame([(i, f"{item} only{i}") for i in range(3000)] + [(9000, "k l m n o p q r s t")], "item_id long, text string").repartition(3)
+    docs = frame(spark, [f"{item} / " * 50, "k l m n o p q r s t, " + item, "word " * 300_000, "b c d e f g h i j only7 x"])
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.scan_documents(docs, bench, broadcast_bytes=limit).collect()}
+    every = sorted(map(str, range(3000)))
+    sha = lambda names: hashlib.sha256(",".join(names).encode()).hexdigest()
+    assert got == {0: (500, 3000, sha(every)), 1: (20, 3001, sha(sorted([*every, "9000"]))), 2: (0, 0, sha([])), 3: (10, 1, sha(["7"]))}
+
+
+def test_windows_of_one_hash(monkeypatch):
+    """Windows that only their hash confuses are told apart by their words."""
+    monkeypatch.setattr(decontaminate.Rolling, "of", lambda self, a, b: np.full(len(a), 5, np.uint64))
+    monkeypatch.setattr(decontaminate.Rolling, "windows", lambda self, k: np.full(max(0, len(self.sums) - k), 5, np.uint64))
+    ngrams = decontaminate.NgramSet(["x", "y", "z"], ["a b", "c d e", "a b"], 2)
+    text = np.frombuffer(b"a b c d q d e", np.uint8)
+    a, b, items = ngrams.hits(decontaminate.scan(text, np.array([0, len(text)]), decontaminate.NOT_ALNUM))
+    assert a.tolist() == [0, 2, 5] and [x.tolist() for x in items] == [[0, 2], [1], [1]]
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     n = len(words)
