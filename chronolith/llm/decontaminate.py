@@ -49,7 +49,7 @@ def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class NgramSet:
-    """The windows of the items, by number of words and then by hash, as arrays: some 40 bytes each beside the items' own bytes.
+    """The windows of the items, by number of words and then by hash, as arrays: some 28 bytes each beside the items' own bytes, and twice that while they are built.
 
     Windows of one hash share a slot. Their words are compared once, when the set is
     built; the rare slot whose windows differ is ``mixed``.
@@ -62,28 +62,33 @@ class NgramSet:
         for i, _, part, at in chunks(raw, offs):
             w = scan(LOWER[part], at, NOT_ALNUM)
             a, n, h = _windows(w, size)
-            found.append((a + base, n, h, np.searchsorted(w.first, a, "right") - 1 + i))
-            words.append((w.starts + offs[i], w.ends + offs[i]))
+            found.append(((a + base).astype(np.int32), n.astype(np.int32), h, (np.searchsorted(w.first, a, "right") - 1 + i).astype(np.int32)))
+            words.append(((w.starts + offs[i]).astype(np.int32), (w.ends + offs[i]).astype(np.int32)))
             base += len(w.starts)
-        none = [np.zeros(0, np.int64)]
-        starts, ends = (np.concatenate([x[k] for x in words] + none) for k in (0, 1))
-        self.words = Words(LOWER[raw], starts, ends, np.array([0, base]))
-        a, n, h, doc = (np.concatenate([x[k] for x in found] + (none if k != 2 else [np.zeros(0, np.uint64)])) for k in range(4))
+
+        def column(parts: list[tuple], k: int, kind: type = np.int32) -> np.ndarray:
+            return np.concatenate([x[k] for x in parts] + [np.zeros(0, kind)])
+
+        self.words = Words(LOWER[raw], column(words, 0), column(words, 1), np.array([0, base]))
+        a, n, h, doc = column(found, 0), column(found, 1), column(found, 2, np.uint64), column(found, 3)
+        del words, found
         self.by_size: dict[int, tuple] = {}
         for k in np.unique(n).tolist():
-            pick = np.flatnonzero(n == k)
-            pick = pick[np.lexsort((doc[pick], h[pick]))]
-            keys, begin = np.unique(h[pick], return_index=True)
+            pick = np.flatnonzero(n == k).astype(np.int32)
+            pick = pick[np.argsort(h[pick], kind="stable")]  # windows of one size come by item
+            sorted_h = h[pick]
+            begin = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])).astype(np.int32)
+            keys = sorted_h[begin]
             bits = np.zeros(1 << _BITS, bool)
             bits[keys >> np.uint64(64 - _BITS)] = True
-            begin = np.append(begin, len(pick))
+            begin = np.append(begin, np.int32(len(pick)))
             at = a[pick]
             mixed = set()
             for slot in np.flatnonzero(np.diff(begin) > 1).tolist():
                 first = _joined(self.words, at[begin[slot]], at[begin[slot]] + k)
                 if any(_joined(self.words, x, x + k) != first for x in at[begin[slot] + 1 : begin[slot + 1]].tolist()):
                     mixed.add(slot)
-            self.by_size[k] = keys, bits, begin, at, doc[pick].astype(np.int32), mixed
+            self.by_size[k] = keys, bits, begin, at, doc[pick], mixed
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of each verified window in the documents: its first word, its end, its items."""
