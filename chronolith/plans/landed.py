@@ -121,18 +121,22 @@ def q_site_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 FORM = "CASE o_orderkey % 6 WHEN 0 THEN '10-K' WHEN 1 THEN '8-K' WHEN 2 THEN '8-K' WHEN 3 THEN '497' WHEN 4 THEN 'S-1' ELSE '4' END"
 
 
+def filing_blocks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The recent block of each registrant, and older shards that repeat some of it."""
+    k = F.col(K) % 6
+    form = F.when(k == 0, "10-K").when(k < 3, "8-K").when(k == 3, "497").when(k == 4, "S-1").otherwise("4")
+    item = F.struct(F.col(K).alias("k"), form.alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filingDate"), F.concat(F.col(K), F.lit("-"), "o_custkey").alias("accessionNumber"), F.lit("doc").alias("primaryDocument"), F.when(k == 1, "2.02,9.01").when(k == 2, "5.02").otherwise("").alias("items"))
+    block = lambda rows: rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(item)).alias("x")).select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.concat(F.lit("Co "), "o_custkey").alias("name"), *(F.col(f"x.{c}").alias(c) for c in ("form", "filingDate", "accessionNumber", "primaryDocument", "items")))
+    return block(_orders(spark, sf).filter(F.col(K) % 4 > 0)), block(_orders(spark, sf).filter(F.col(K) % 4 < 2))
+
+
 @query(f"""
 SELECT id, day, kind, title, url, description FROM (SELECT concat('sec-', o_orderkey, o_custkey) AS id, strftime(o_orderdate, '%Y-%m-%d') AS day, {FORM} AS form,
 CASE WHEN o_orderkey % 6 IN (0, 1) THEN 'earnings' ELSE 'filing' END AS kind,
 concat('Co ', o_custkey, ': ', CASE o_orderkey % 6 WHEN 0 THEN 'Annual report (10-K)' WHEN 1 THEN 'Earnings announcement (8-K)' WHEN 2 THEN '8-K filing' WHEN 3 THEN 'Prospectus update (497)' ELSE 'S-1 filing' END) AS title,
 concat('https://www.sec.gov/Archives/edgar/data/', o_custkey, '/', o_orderkey, o_custkey, '/doc') AS url, CASE o_orderkey % 6 WHEN 1 THEN 'Items: 2.02,9.01' WHEN 2 THEN 'Items: 5.02' END AS description FROM orders) WHERE form <> '4'""")
 def q_filings(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col(K) % 6
-    form = F.when(k == 0, "10-K").when(k < 3, "8-K").when(k == 3, "497").when(k == 4, "S-1").otherwise("4")
-    item = F.struct(F.col(K).alias("k"), form.alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filingDate"), F.concat(F.col(K), F.lit("-"), "o_custkey").alias("accessionNumber"), F.lit("doc").alias("primaryDocument"), F.when(k == 1, "2.02,9.01").when(k == 2, "5.02").otherwise("").alias("items"))
-    # Older shards repeat some of the recent block.
-    block = lambda rows: rows.groupBy("o_custkey").agg(F.array_sort(F.collect_list(item)).alias("x")).select(F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.concat(F.lit("Co "), "o_custkey").alias("name"), *(F.col(f"x.{c}").alias(c) for c in ("form", "filingDate", "accessionNumber", "primaryDocument", "items")))
-    return markets.all_filings(block(_orders(spark, sf).filter(F.col(K) % 4 > 0)), block(_orders(spark, sf).filter(F.col(K) % 4 < 2))).select("id", day("day").alias("day"), "kind", "title", "url", "description")
+    return markets.all_filings(*filing_blocks(spark, sf)).select("id", day("day").alias("day"), "kind", "title", "url", "description")
 
 
 @query("SELECT s_suppkey AS cik, lpad(CAST(100 + s_suppkey AS VARCHAR), 4, '0') AS sic, concat('Kind ', s_nationkey) AS description FROM supplier WHERE s_suppkey % 3 > 0 AND s_suppkey < 9900")
