@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,13 +42,57 @@ def units(raw: Column, decimals: Column) -> Column:
     return raw.cast("double") / F.pow(F.lit(10.0), decimals)
 
 
-def hex_units(data: Column, decimals: int) -> Column:
-    """A hexadecimal amount of up to 32 bytes in units of 10 ** decimals, exact for up to 38 digits of base units; null beyond."""
-    digits = F.regexp_replace(F.lower(data), "^0x0*", "")
-    high, low = F.substring(F.lpad(digits, 32, "0"), 1, 16), F.substring(F.lpad(digits, 32, "0"), 17, 16)
-    part = lambda h: F.conv(h, 16, 10).try_cast("decimal(20,0)")
-    whole = F.when(F.length(digits) <= 31, part(high).cast("decimal(38,0)") * F.lit("18446744073709551616").cast("decimal(20,0)") + part(low))
-    return whole / F.pow(F.lit(10.0), F.lit(decimals))
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def _add_word(limbs: Column, word: Column) -> Column:
+    """limbs * 2^32 + word, for limbs of nine decimal digits, the least first. limb * 2^32 + carry stays under 2^63."""
+
+    def next_limb(held: Column, limb: Column) -> Column:
+        t = limb * F.lit(1 << 32) + held["carry"]
+        return F.struct(_div(t, F.lit(10**9)).alias("carry"), F.concat(held["limbs"], F.array(t % F.lit(10**9).cast("long"))).alias("limbs"))
+
+    start = F.struct(word.alias("carry"), F.array().cast("array<bigint>").alias("limbs"))
+    return F.aggregate(limbs, start, next_limb, lambda held: held["limbs"])
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def _digits_of(bare: Column) -> Column:
+    """The decimal digits of up to 64 hexadecimal ones, without zeros in front."""
+    padded = F.lpad(bare, 64, "0")
+    words = F.transform(F.array(*map(F.lit, range(1, 65, 8))), lambda at: F.conv(F.substr(padded, at, F.lit(8)), 16, 10).cast("long"))
+    limbs = F.aggregate(words, F.array_repeat(F.lit(0).cast("long"), 9), _add_word)  # 10^81 is over 2^256
+    return F.ltrim(F.array_join(F.reverse(F.transform(limbs, lambda x: F.lpad(x.cast("string"), 9, "0"))), ""), F.lit("0"))
+
+
+def hex_decimal(data: Column) -> Column:
+    """The decimal digits of a hexadecimal number of up to 32 bytes, all of them; null where there is none. Zero is 0."""
+    bare = F.regexp_replace(F.lower(data), "^0x0*", "")
+    good = data.rlike(r"(?i)^0x[0-9a-f]+\z") & (F.length(bare) <= 64)
+    return let(F.when(good, bare), lambda x: F.when(x == "", "0").when(x.isNotNull(), _digits_of(x)))
+
+
+def hex_parts(data: Column, decimals: Column | int) -> Column:
+    """struct(whole, rest): the digits before and after the point of a hexadecimal amount of base units."""
+    decimals = F.lit(decimals) if isinstance(decimals, int) else decimals
+
+    def cut(digits: Column) -> Column:
+        padded = F.lpad(digits, F.greatest(F.length(digits), decimals + 1), F.lit("0"))  # a digit before the point at least
+        place = F.greatest(F.length(digits), decimals + 1) - decimals
+        return F.when(digits.isNotNull(), F.struct(F.substr(padded, F.lit(1), place).alias("whole"), F.substr(padded, place + 1, decimals).alias("rest")))
+
+    return let(hex_decimal(data), cut)
+
+
+def hex_units(data: Column, decimals: Column | int) -> Column:
+    """A hexadecimal amount of up to 32 bytes in units of 10 ** decimals: whole units and the rest are taken apart before they are rounded. Null for what is no amount."""
+    scale = F.pow(F.lit(10.0), F.lit(decimals) if isinstance(decimals, int) else decimals)
+    return let(hex_parts(data, decimals), lambda p: p["whole"].cast("double") + F.coalesce(F.nullif(p["rest"], F.lit("")).cast("double"), F.lit(0.0)) / scale)
 
 
 def chain_of_ref(ref: Column) -> Column:

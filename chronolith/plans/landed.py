@@ -288,3 +288,26 @@ def q_verify_references(spark: SparkSession, sf: str) -> DataFrame:
 def q_hex_amounts(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.lpad(F.lower(F.hex((F.col("user_id") * 1_000_000).cast("long"))), 8, "0")
     return table(spark, sf, "events").select("event_id", raw.alias("hex"), r4(numbers.hex_units(F.concat(F.lit("0x"), raw), 6)).alias("amount"))
+
+
+def _word_sql() -> str:
+    """The decimal digits of 64 hexadecimal digits, by eight steps over nine limbs in whole numbers of 128 bits."""
+    ctes = ["l0 AS (SELECT k, decimals, word, " + ", ".join(f"0::HUGEINT AS a{j}" for j in range(9)) + " FROM w)"]
+    for i in range(8):
+        carries = [f"('0x' || substr(word, {8 * i + 1}, 8))::BIGINT::HUGEINT AS c0"]
+        for j in range(9):
+            carries.append(f"(a{j} * 4294967296 + c{j}) // 1000000000 AS c{j + 1}, (a{j} * 4294967296 + c{j}) % 1000000000 AS b{j}")
+        ctes.append(f"l{i + 1} AS (SELECT k, decimals, word, {', '.join(f'b{j} AS a{j}' for j in range(9))} FROM (SELECT *, {', '.join(carries)} FROM l{i}))")
+    return ", ".join(ctes)
+
+
+@query(f"""
+WITH w AS (SELECT o_orderkey AS k, CAST(o_orderkey % 3 * 12 AS INT) AS decimals, substr(sha256(concat('w', o_orderkey)), 1 + CAST(o_orderkey % 64 AS INT)) AS tail, lpad(tail, 64, '0') AS word FROM orders), {_word_sql()},
+d AS (SELECT k, decimals, ltrim(concat({", ".join(f"lpad(a{j}::VARCHAR, 9, '0')" for j in reversed(range(9)))}), '0') AS digits FROM l8), p AS (SELECT *, lpad(digits, CAST(greatest(len(digits), decimals + 1) AS INT), '0') AS padded FROM d)
+SELECT k AS order_id, substr(padded, 1, len(padded) - decimals) AS whole, substr(padded, len(padded) - decimals + 1) AS rest FROM p""")
+def q_hex_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts of one to 64 hexadecimal digits, exactly, before and after the point."""
+    k = F.col(K)
+    tail = F.substr(F.sha2(F.concat(F.lit("w"), k).cast("binary"), 256), (k % 64 + 1).cast("int"))
+    rows = _orders(spark, sf).select(k.alias("order_id"), F.concat(F.lit("0x"), tail).alias("data"), (k % 3 * 12).cast("int").alias("decimals"))
+    return rows.select("order_id", numbers.hex_parts(F.col("data"), F.col("decimals")).alias("p")).select("order_id", "p.whole", "p.rest")
