@@ -1,7 +1,9 @@
 """Keyed state of streams: who may fetch what, and when again.
 
 State lives in Spark's store for each key, so it is partitioned, checkpointed and
-restored with the stream. Rows of one key are taken in the order of their time; a batch
+restored with the stream. With ``forget`` a key's state expires so many seconds after it
+was last written; a key that comes back then is a new one, so ``forget`` should be longer
+than any window, cooldown or wait (``model.RETENTION_DAYS`` is). Rows of one key are taken in the order of their time; a batch
 that runs again finds the state it began with. The session needs ``STORE``.
 """
 
@@ -29,9 +31,10 @@ class _Keyed(StatefulProcessor):
     """One value for each key."""
 
     schema = ""
+    forget: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", self.schema)
+        self.held = handle.getValueState("held", self.schema, self.forget * 1000 if self.forget else None)
 
     def close(self) -> None:
         pass
@@ -50,8 +53,8 @@ class Claims(_Keyed):
 
     schema = "attempted_at double, failures int, dead_until double"
 
-    def __init__(self, cooldown: int = model.CLAIM_COOLDOWN_MINUTES):
-        self.cooldown = cooldown
+    def __init__(self, cooldown: int = model.CLAIM_COOLDOWN_MINUTES, forget: int | None = None):
+        self.cooldown, self.forget = cooldown, forget
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         tried, failures, dead = self.read((None, 0, None))
@@ -77,8 +80,8 @@ class Freshness(_Keyed):
 
     schema = "good_at double, last_at double, last string"
 
-    def __init__(self, back_off: int = 60):
-        self.back_off = back_off
+    def __init__(self, back_off: int = 60, forget: int | None = None):
+        self.back_off, self.forget = back_off, forget
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
         good, last_at, last = self.read((None, None, None))
@@ -93,9 +96,9 @@ class Freshness(_Keyed):
         self.held.update((good, last_at, last))
 
 
-def claims(stream: DataFrame, cooldown: int = model.CLAIM_COOLDOWN_MINUTES) -> DataFrame:
-    return stream.groupBy("slug").transformWithState(Claims(cooldown), "slug string, at timestamp, claimed boolean", "Append", "None")
+def claims(stream: DataFrame, cooldown: int = model.CLAIM_COOLDOWN_MINUTES, forget: int | None = None) -> DataFrame:
+    return stream.groupBy("slug").transformWithState(Claims(cooldown, forget), "slug string, at timestamp, claimed boolean", "Append", "ProcessingTime" if forget else "None")
 
 
-def freshness(stream: DataFrame, back_off: int = 60) -> DataFrame:
-    return stream.groupBy("source", "subject").transformWithState(Freshness(back_off), "source string, subject string, at timestamp, fetch boolean", "Append", "None")
+def freshness(stream: DataFrame, back_off: int = 60, forget: int | None = None) -> DataFrame:
+    return stream.groupBy("source", "subject").transformWithState(Freshness(back_off, forget), "source string, subject string, at timestamp, fetch boolean", "Append", "ProcessingTime" if forget else "None")

@@ -9,21 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import model
-from ..functions import numbers
 from ..operators import merges
 
 
 def weekly_counts(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """Events (kind, ts) by kind and week from Monday on; the epoch was a Thursday."""
+    """Events (kind, ts) by kind and week from Monday on; the epoch was a Thursday. ``spikes`` has the signal on top of it."""
     week = F.window("ts", "7 days", "7 days", "4 days")
     return events.withWatermark("ts", late).groupBy(week, "kind").agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("week"), "kind", "n")
 
 
-def held_back(blocks: DataFrame, now: int) -> DataFrame:
-    """Rows (chain, time, …) that are final; others come again with the next trigger."""
-    return blocks.filter(numbers.final(F.col("chain"), F.col("time"), F.lit(now)))
-
-
 def first_seen(events: DataFrame, key: str = "dedup_key", late: str = "1 day") -> DataFrame:
     """Drops repeats of a key within the watermark, before an upsert."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
@@ -53,11 +47,6 @@ def upsert_into(stream: DataFrame, path: str, schema: str, merge: Callable[[Data
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def request_counts(asked: DataFrame) -> DataFrame:
-    """Demand by slug, for a complete or update sink."""
-    return asked.groupBy("slug").agg(F.count("*").alias("requests"), F.max("asked_at").alias("last_asked"))
-
-
 def merge_failures(current: DataFrame, batch: DataFrame) -> DataFrame:
     """The claim ledger's failures, one batch at a time, for ``upsert_into``."""
     return merges.record_failures(current, batch.groupBy("slug").agg(F.max("at").alias("at")))
