@@ -82,11 +82,11 @@ def _feed(name: str, stamp: str, cap: int | None) -> None:
         k = F.col(K)
         value = {"title": F.when(k % 9 > 0, F.concat(F.lit("T"), k)).otherwise(""), "url": F.concat(F.lit("https://x.test/"), k), "date": F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("string") if stamp == "epoch" else F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), "description": F.col("o_orderstatus"), "image_url": F.concat(F.lit("i"), k), "source": F.lit("s")}
         item = _json(**{f: value[n] for n, f in zip(("title", "url", "date", "description", "image_url", "source"), fields, strict=True) if f})
-        landed = _body(_orders(spark, sf).withColumn("g", k % 5), "g", item, path or None)
+        landed = _body(_orders(spark, sf).withColumn("g", F.expr(f"{K} div 100")), "g", item, path or None)  # pages of 100 keys, as feeds land
         return articles.feed_news(landed, name).select("query_id", "title", "url", day("day").alias("day"), "description", "image_url")
 
     run.__name__ = f"q_feed_{name}"
-    query(f"SELECT query_id, title, url, day, description, image_url FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o_orderkey) AS n FROM (SELECT o_orderkey % 5 AS query_id, o_orderkey, concat('T', o_orderkey) AS title, concat('https://x.test/', o_orderkey) AS url, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS description, {image} AS image_url FROM orders WHERE o_orderkey % 9 > 0)){first}")(run)
+    query(f"SELECT query_id, title, url, day, description, image_url FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o_orderkey) AS n FROM (SELECT o_orderkey // 100 AS query_id, o_orderkey, concat('T', o_orderkey) AS title, concat('https://x.test/', o_orderkey) AS url, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS description, {image} AS image_url FROM orders WHERE o_orderkey % 9 > 0)){first}")(run)
 
 
 for _name, _stamp in (("newsdata", "text"), ("gnews", "text"), ("currents", "text"), ("marketaux", "text"), ("eodhd", "text"), ("finnhub", "epoch")):
@@ -268,11 +268,14 @@ def q_exploits(spark: SparkSession, sf: str) -> DataFrame:
     return onchain.exploits(rows, targets).select("slug", "name")
 
 
-@query("SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 2 = 0 THEN 'correct' ELSE 'delete' END AS action, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey + 11 >= 1000 THEN concat('Lost ', printf('$%dk', o_orderkey + 11)) ELSE concat('Lost ', printf('$%dk', o_orderkey + 11)) END END AS title FROM orders WHERE o_orderkey < 900")
+@query("""
+WITH v AS (SELECT o_orderkey AS event_id, (o_orderkey + 11) * 1000 AS usd FROM orders)
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'correct' ELSE 'delete' END AS action,
+CASE WHEN event_id % 2 = 0 THEN concat('Lost ', CASE WHEN usd >= 1000000000 THEN printf('$%.2fbn', usd / 1e9) WHEN usd >= 1000000 THEN printf('$%dm', CAST(floor(usd / 1e6 + 0.5) AS BIGINT)) ELSE printf('$%dk', CAST(usd // 1000 AS BIGINT)) END) END AS title FROM v""")
 def q_repair_amounts(spark: SparkSession, sf: str) -> DataFrame:
     """Amounts that were stored a million times too large."""
     k = F.col(K)
-    stored = _orders(spark, sf).filter(k < 900).select(k.alias("event_id"), F.concat(F.lit("Lost $"), k + 11, F.lit(".00bn")).alias("title"))
+    stored = _orders(spark, sf).select(k.alias("event_id"), F.concat(F.lit("Lost $"), k + 11, F.lit(".00bn")).alias("title"))
     return onchain.repair_amounts(stored, stored.filter("event_id % 2 = 0"))
 
 

@@ -86,20 +86,20 @@ def q_weekly_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT event_id, day, count(DISTINCT subject_id) AS peers FROM ev JOIN links USING (event_id) JOIN subj USING (subject_id) WHERE industry_id < 5 GROUP BY 1, 2 HAVING count(DISTINCT subject_id) > 1)
-SELECT CAST(date_trunc('week', day)::DATE AS VARCHAR) AS week, count(*) AS shared, max(peers) AS widest, array_to_string(list_sort(list(event_id)), ',') AS ids FROM p GROUP BY 1""", "ev", "links", "subj")
+WITH p AS (SELECT event_id, day, count(DISTINCT subject_id) AS peers FROM ev JOIN links USING (event_id) JOIN subj USING (subject_id) GROUP BY 1, 2 HAVING count(DISTINCT subject_id) > 1)
+SELECT CAST(date_trunc('week', day)::DATE AS VARCHAR) AS week, count(*) AS shared, max(peers) AS widest, array_to_string(list_sort(list(event_id))[1:40], ',') AS ids FROM p GROUP BY 1""", "ev", "links", "subj")
 def q_cross_peer_weeks(spark: SparkSession, sf: str) -> DataFrame:
-    peers = v.subj(spark, sf).filter("industry_id < 5").select("subject_id")
-    return stats.cross_peer(v.ev(spark, sf).join(v.links(spark, sf), "event_id"), peers).select(day("week").alias("week"), "shared", "widest", ids("ids").alias("ids"))
+    """All subjects as one group of peers."""
+    return stats.cross_peer(v.ev(spark, sf).join(v.links(spark, sf), "event_id"), v.subj(spark, sf).select("subject_id"), most_ids=40).select(day("week").alias("week"), "shared", "widest", ids("ids").alias("ids"))
 
 
 @query("""
 WITH p AS (SELECT industry_id, event_id, day, count(DISTINCT subject_id) AS peers FROM ev JOIN links USING (event_id) JOIN subj USING (subject_id) GROUP BY 1, 2, 3 HAVING count(DISTINCT subject_id) > 1)
-SELECT industry_id, CAST(date_trunc('week', day)::DATE AS VARCHAR) AS week, count(*) AS shared, max(peers) AS widest, array_to_string(list_sort(list(event_id)), ',') AS ids FROM p GROUP BY 1, 2""", "ev", "links", "subj")
+SELECT industry_id, CAST(date_trunc('week', day)::DATE AS VARCHAR) AS week, count(*) AS shared, max(peers) AS widest, array_to_string(list_sort(list(event_id))[1:40], ',') AS ids FROM p GROUP BY 1, 2""", "ev", "links", "subj")
 def q_cross_peer_weeks_by_industry(spark: SparkSession, sf: str) -> DataFrame:
     """The cross-peer weeks of every industry."""
     events = v.ev(spark, sf).join(v.links(spark, sf), "event_id")
-    return stats.cross_peer(events, v.subj(spark, sf), "industry_id").select("industry_id", day("week").alias("week"), "shared", "widest", ids("ids").alias("ids"))
+    return stats.cross_peer(events, v.subj(spark, sf), "industry_id", 40).select("industry_id", day("week").alias("week"), "shared", "widest", ids("ids").alias("ids"))
 
 
 FIRST_LAST = "SELECT subject_id, arg_min(close, day) AS first_close, arg_max(close, day) AS last_close, min(day) AS d0, max(day) AS d1 FROM bars GROUP BY 1"
@@ -249,29 +249,13 @@ def q_events_by_bar(spark: SparkSession, sf: str) -> DataFrame:
     return series.by_bar(series.snap(_events_of(spark, sf), v.bars(spark, sf))).select("subject_id", day("bar_day").alias("bar_day"), ids("events").alias("events"))
 
 
-@query("""
-WITH n AS (SELECT subject_id, day, row_number() OVER (PARTITION BY subject_id ORDER BY day) - 1 AS bar FROM bars), s AS (SELECT DISTINCT subject_id, bar_day AS day FROM (""" + ASOF + """)),
-m AS (SELECT n.*, s.day IS NOT NULL AND n.day < CAST('1999-01-01' AS DATE) AND bar % 9 = 0 AS has FROM n LEFT JOIN s USING (subject_id, day)),
-p AS (SELECT subject_id, day, bar, max(CASE WHEN has THEN bar END) OVER (PARTITION BY subject_id ORDER BY bar) AS b, min(CASE WHEN has THEN bar END) OVER (PARTITION BY subject_id ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM m),
-d AS (SELECT subject_id, day, CASE WHEN a IS NULL OR bar - b < a - bar THEN b ELSE a END AS t, bar FROM p WHERE a IS NOT NULL OR b IS NOT NULL)
-SELECT d.subject_id, CAST(d.day AS VARCHAR) AS day, CAST(n.day AS VARCHAR) AS event_day, abs(t - d.bar) AS dist FROM d JOIN n ON n.subject_id = d.subject_id AND n.bar = t WHERE abs(t - d.bar) <= 5""", "links", "ev", "bars")
-def q_nearest_bar(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    bars = v.bars(spark, sf)
-    numbered = bars.withColumn("n", F.row_number().over(Window.partitionBy("subject_id").orderBy("day")) - 1).filter("n % 9 = 0 and day < '1999-01-01'").select("subject_id", F.col("day").alias("bar_day"))
-    snapped = series.snap(_events_of(spark, sf), bars).join(numbered, ["subject_id", "bar_day"], "left_semi")
-    return series.nearest_event_bar(bars, snapped).select("subject_id", day("day").alias("day"), day("event_day").alias("event_day"), F.col("dist").cast("long").alias("dist"))
-
-
 @query("""
 WITH n AS (SELECT subject_id, day, row_number() OVER (PARTITION BY subject_id ORDER BY day) - 1 AS bar FROM bars), s AS (SELECT DISTINCT subject_id, bar_day AS day FROM (""" + ASOF + """)),
 m AS (SELECT n.*, s.day IS NOT NULL AS has FROM n LEFT JOIN s USING (subject_id, day)),
 p AS (SELECT subject_id, day, bar, max(CASE WHEN has THEN bar END) OVER (PARTITION BY subject_id ORDER BY bar) AS b, min(CASE WHEN has THEN bar END) OVER (PARTITION BY subject_id ORDER BY bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM m),
 d AS (SELECT subject_id, day, CASE WHEN a IS NULL OR bar - b < a - bar THEN b ELSE a END AS t, bar FROM p WHERE a IS NOT NULL OR b IS NOT NULL)
 SELECT d.subject_id, CAST(d.day AS VARCHAR) AS day, CAST(n.day AS VARCHAR) AS event_day, abs(t - d.bar) AS dist FROM d JOIN n ON n.subject_id = d.subject_id AND n.bar = t WHERE abs(t - d.bar) <= 5""", "links", "ev", "bars")
-def q_nearest_bar_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """``q_nearest_bar`` on all snapped events."""
+def q_nearest_bar(spark: SparkSession, sf: str) -> DataFrame:
     bars = v.bars(spark, sf)
     return series.nearest_event_bar(bars, series.snap(_events_of(spark, sf), bars)).select("subject_id", day("day").alias("day"), day("event_day").alias("event_day"), F.col("dist").cast("long").alias("dist"))
 
@@ -288,18 +272,12 @@ def _priority_sql(column: str, of: dict[str, int]) -> str:
 
 
 @query(f"""
-WITH m AS ({MOVES} AND abs((close - prev) / prev * 100) >= 60), e AS (SELECT event_id, subject_id, kind, day FROM links JOIN ev USING (event_id)),
-c AS (SELECT m.subject_id, m.day, e.event_id, e.day AS event_day, {_priority_sql('e.kind', CATALYST)} - 2 * (m.day - e.day) AS score FROM m JOIN e ON e.subject_id = m.subject_id AND e.day BETWEEN m.day - 5 AND m.day),
+WITH m AS ({MOVES} AND abs((close - prev) / prev * 100) >= {model.MIN_MOVE_PCT}), e AS (SELECT event_id, subject_id, kind, day FROM links JOIN ev USING (event_id)),
+w AS (SELECT subject_id, day, unnest(range({model.CATALYST_LOOKBACK + 1})) AS back FROM m),
+c AS (SELECT w.subject_id, w.day, e.event_id, e.day AS event_day, {_priority_sql('e.kind', CATALYST)} - 2 * back AS score FROM w JOIN e ON e.subject_id = w.subject_id AND e.day = w.day - CAST(back AS INT)),
 b AS (SELECT *, row_number() OVER (PARTITION BY subject_id, day ORDER BY score DESC, event_day, event_id) AS n FROM c)
 SELECT m.subject_id, CAST(m.day AS VARCHAR) AS day, event_id, CAST(coalesce(event_day, m.day) AS VARCHAR) AS jump_day FROM m LEFT JOIN b ON b.subject_id = m.subject_id AND b.day = m.day AND n = 1""", "bars", "links", "ev")
 def q_catalysts(spark: SparkSession, sf: str) -> DataFrame:
-    moves = series.daily_moves(v.bars(spark, sf)).filter(F.abs("pct") >= 60)
-    return series.catalysts(moves, _events_of(spark, sf), _priority("kind", model.CATALYST_PRIORITY)).select("subject_id", day("day").alias("day"), "event_id", day("jump_day").alias("jump_day"))
-
-
-@query()
-def q_catalysts_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """``q_catalysts`` of all moves of ``model.MIN_MOVE_PCT`` or more."""
     moves = series.daily_moves(v.bars(spark, sf)).filter(F.abs("pct") >= model.MIN_MOVE_PCT)
     return series.catalysts(moves, _events_of(spark, sf), _priority("kind", model.CATALYST_PRIORITY)).select("subject_id", day("day").alias("day"), "event_id", day("jump_day").alias("jump_day"))
 
@@ -402,17 +380,22 @@ def q_focus_rank(spark: SparkSession, sf: str) -> DataFrame:
     return dedupe.ranked(dedupe.focus(events, "small rings of copper")).select("event_id", "title", F.round("score", 6).alias("score"))
 
 
-@query(f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9{text.SPACE}-]', ' ', 'g'), '[{text.SPACE}]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'profits rise ' WHEN 1 THEN 'not a miss for ' WHEN 2 THEN 'never record losses ' ELSE '' END, left(text, 60)) AS title FROM documents)),
+#: The tone of the texts of t (doc_id, title), by their words and the three words before each.
+TONE = f"""
+w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(title), '[^a-z0-9{text.SPACE}-]', ' ', 'g'), '[{text.SPACE}]+'), lambda x: x <> '') AS w FROM t),
 m AS (SELECT doc_id, w, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_contains({model.POSITIVE}, w[i]) THEN 1 WHEN list_contains({model.NEGATIVE}, w[i]) THEN -1 ELSE 0 END * CASE WHEN list_has_any(w[greatest(i - 3, 1):i - 1], {model.NEGATORS}) THEN -1 ELSE 1 END) AS m FROM w)
-SELECT doc_id, CASE WHEN list_contains(m, 1) AND NOT list_contains(m, -1) THEN 'positive' WHEN list_contains(m, -1) AND NOT list_contains(m, 1) THEN 'negative' ELSE 'neutral' END AS tone FROM m""")
+SELECT doc_id, CASE WHEN list_contains(m, 1) AND NOT list_contains(m, -1) THEN 'positive' WHEN list_contains(m, -1) AND NOT list_contains(m, 1) THEN 'negative' ELSE 'neutral' END AS tone FROM m"""
+
+
+@query(f"WITH t AS (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'profits rise ' WHEN 1 THEN 'not a miss for ' WHEN 2 THEN 'never record losses ' ELSE '' END, text) AS title FROM documents), {TONE}")
 def q_tone(spark: SparkSession, sf: str) -> DataFrame:
+    """The tone of whole texts behind headlines of each kind."""
     d = F.col("doc_id")
     lead = F.when(d % 4 == 0, "profits rise ").when(d % 4 == 1, "not a miss for ").when(d % 4 == 2, "never record losses ").otherwise("")
-    return table(spark, sf, "documents").select("doc_id", text.tone(F.concat(lead, F.substring("text", 1, 60))).alias("tone"))
+    return table(spark, sf, "documents").select("doc_id", text.tone(F.concat(lead, "text")).alias("tone"))
 
 
-@query()
+@query(f"WITH t AS (SELECT doc_id, text AS title FROM documents), {TONE}")
 def q_tone_whole(spark: SparkSession, sf: str) -> DataFrame:
     """The tone of whole texts."""
     return table(spark, sf, "documents").select("doc_id", text.tone(F.col("text")).alias("tone"))

@@ -86,12 +86,12 @@ def _archive(paper: str) -> None:
             item = F.struct(_json(main=title).alias("headline"), url.alias("web_url"), at.alias("pub_date"), F.lit("Said").alias("snippet"), _json(original=by).alias("byline"), crops.alias("multimedia"))
         else:
             item = F.struct(title.alias("webTitle"), url.alias("webUrl"), at.alias("webPublicationDate"), _json(thumbnail=F.when(k % 3 == 0, "https://i.test/t.jpg").otherwise("t.jpg"), trailText=F.lit("<b>Said</b>"), byline=by).alias("fields"))
-        landed = table(spark, sf, "orders").groupBy((k % 7).alias("query_id"), (k % 2).cast("int").alias("page")).agg(F.collect_list(item).alias("a"))
+        landed = table(spark, sf, "orders").groupBy(F.expr("o_orderkey div 100").alias("query_id"), (k % 2).cast("int").alias("page")).agg(F.collect_list(item).alias("a"))
         body = F.to_json(F.struct(F.struct(F.col("a").alias("docs" if paper == "nyt" else "results")).alias("response")))
         return articles.archive_news(landed.select("query_id", "page", body.alias("body")), paper).select("query_id", "page", "title", "url", day("day").alias("day"), "description", "image_url")
 
     run.__name__ = f"q_archive_{paper}"
-    query(f"SELECT o_orderkey % 7 AS query_id, CAST(o_orderkey % 2 AS INT) AS page, concat('T', o_orderkey) AS title, concat('https://x.test/', o_orderkey) AS url, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN concat('By ', o_orderstatus, ' — Said') ELSE 'Said' END AS description, {image} AS image_url FROM orders WHERE o_orderkey % 9 > 0")(run)
+    query(f"SELECT o_orderkey // 100 AS query_id, CAST(o_orderkey % 2 AS INT) AS page, concat('T', o_orderkey) AS title, concat('https://x.test/', o_orderkey) AS url, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 2 = 0 THEN concat('By ', o_orderstatus, ' — Said') ELSE 'Said' END AS description, {image} AS image_url FROM orders WHERE o_orderkey % 9 > 0")(run)
 
 
 for _paper in ("nyt", "guardian"):

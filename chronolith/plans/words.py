@@ -76,12 +76,12 @@ def q_dates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", day(numbers.week_end(week)).alias("week_end"), r4(numbers.year_value(d)).alias("x"), numbers.bucket_key(d, "month").alias("bucket"), numbers.period_label(d, "month").alias("label"), day(numbers.day_of_epoch(seconds)).alias("day"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN printf('$%.4f', o_orderkey / 1048576.0) ELSE printf('$%.2f', o_orderkey + 0.25) END AS exact, CAST(o_orderkey AS DOUBLE) * CASE o_orderkey % 3 WHEN 0 THEN 1e9 WHEN 1 THEN 1e6 ELSE 1e3 END AS implied FROM orders WHERE o_orderkey BETWEEN 1 AND 9000")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN printf('$%.2f', o_orderkey + 0.25) WHEN (o_orderkey + 0.3) / 1048576.0 < 0.01 THEN printf('$%.4f', (o_orderkey + 0.3) / 1048576.0) ELSE printf('$%.2f', (o_orderkey + 0.3) / 1048576.0) END AS exact, CAST(o_orderkey AS DOUBLE) * CASE o_orderkey % 3 WHEN 0 THEN 1e9 WHEN 1 THEN 1e6 ELSE 1e3 END AS implied FROM orders")
 def q_money_texts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    usd = F.when(k % 2 == 0, k / 1048576.0).otherwise(k + 0.25)
+    usd = F.when(k % 2 == 0, (k + 0.3) / 1048576.0).otherwise(k + 0.25)
     title = F.concat(F.lit("Lost $"), F.format_number(k, 0), F.when(k % 3 == 0, "bn").when(k % 3 == 1, " m").otherwise("k"), F.lit(" at once"))
-    return table(spark, sf, "orders").filter(k.between(1, 9000)).select("o_orderkey", numbers.money_exact(usd).alias("exact"), numbers.implied_usd(title).alias("implied"))
+    return table(spark, sf, "orders").select("o_orderkey", numbers.money_exact(usd).alias("exact"), numbers.implied_usd(title).alias("implied"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN '' ELSE 'ethereum' END AS chain, CASE o_orderkey % 3 WHEN 0 THEN concat('0x', lpad(CAST(o_orderkey AS VARCHAR), 40, '0')) END AS id, o_orderkey % 3 = 0 AS address, concat('0x000000…', right(lpad(CAST(o_orderkey AS VARCHAR), 40, '0'), 4)) AS short FROM orders")

@@ -21,9 +21,8 @@ def test_query_equals_its_sql(spark, con, name):
     assert oracle.differences(spark, con, QUERIES[name], ORACLES[name], DATA) == []
 
 
-def test_queries_without_sql_are_held_to_fixtures():
-    """Those that DuckDB is too slow for; tests/test_whole_queries.py has their brute force."""
-    assert set(QUERIES) - set(ORACLES) == {"q_catalysts_whole", "q_tone_whole"}
+def test_all_queries_have_their_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"q_citations"}))  # nested templates are parsed in Arrow batches

@@ -32,9 +32,9 @@ def test_events_of_any_bar_and_moves_of_the_models_limit(spark, monkeypatch):
         dist, t = min((abs(k - e), -e) for e in at)  # of two as near, the later
         if dist <= model.HOVER_REACH:
             want.add((1, str(days[k]), str(days[-t]), dist))
-    assert {tuple(r) for r in queries.q_nearest_bar_whole(spark, "").collect()} == want
+    assert {tuple(r) for r in queries.q_nearest_bar(spark, "").collect()} == want
     moved = {(k, abs(closes[k] / closes[k - 1] - 1) * 100 >= model.MIN_MOVE_PCT) for k in range(1, 30)}
-    got = {r.day: (r.event_id, r.jump_day) for r in queries.q_catalysts_whole(spark, "").collect()}
+    got = {r.day: (r.event_id, r.jump_day) for r in queries.q_catalysts(spark, "").collect()}
     assert set(got) == {str(days[k]) for k, far in moved if far} == {str(days[10]), str(days[20])}
     assert got == {str(days[10]): (8, str(days[8])), str(days[20]): (None, str(days[20]))}
 
