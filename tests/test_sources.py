@@ -52,7 +52,7 @@ def test_stories_tone_focus_mentions(spark):
 def test_numbers(spark):
     assert one(spark, numbers.money_short(F.col("x")), [(1.234e9,), (45.6e6,)], "x double") == ["$1.23bn", "$46m"]
     assert one(spark, numbers.implied_usd(F.col("x")), [("X exploited — $1.50bn",), ("$34m",), ("none",)], "x string") == [1.5e9, 34e6, None]
-    assert one(spark, numbers.hex_units(F.col("x"), 6), [("0x" + hex(1_500_000 * 10**6)[2:].zfill(64),), ("0x" + "f" * 64,)], "x string") == [1_500_000.0, (2**256 - 1) // 10**6]
+    assert one(spark, numbers.hex_units(F.col("x"), 6), [("0x" + hex(1_500_000 * 10**6)[2:].zfill(64),), ("0x" + "f" * 64,)], "x string") == [1_500_000.0, float((2**256 - 1) // 10**6) + ((2**256 - 1) % 10**6) / 1e6]
     assert one(spark, numbers.final(F.col("c"), F.col("t"), F.lit(10_000)), [("ethereum", 6400), ("ethereum", 6401), ("bitcoin", 100), ("x", 1), ("ethereum", 0), ("ethereum", 20_000)], "c string, t long") == [True, False, False, False, False, False]
     assert [v and tuple(v) for v in one(spark, numbers.vote_outcome(F.col("c"), F.col("s")), [(["Yes", "No"], [3.0, 1.0]), (["For", "Against"], [1.0, 1.0]), (["A"], [0.0]), (["Against", "For"], [5.0, 1.0])], "c array<string>, s array<double>")] == [("Yes", "passed"), None, None, ("Against", "rejected")]
 
