@@ -8,9 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# How many dumps are kept, and the names they have had.
-KEEP = 14
-DUMP = r"^(?:chronolens|news-charts)-(.*)\.dump$"
+KEEP = 14  # fixed value: how many dumps are kept
 
 
 def row_hash(columns: list[str]) -> Column:
@@ -40,9 +38,9 @@ def rehearsed(kept: dict[str, tuple[DataFrame, str]], restored: dict[str, DataFr
     return reduce(DataFrame.union, each)
 
 
-def retained(dumps: DataFrame, keep: int = KEEP) -> DataFrame:
-    """``dumps`` (name) with stamp and kept: the newest by the stamp in the name, whatever name came before it, stay; files that are no dumps are not touched."""
-    stamp = F.nullif(F.regexp_extract("name", DUMP, 1), F.lit(""))
+def retained(dumps: DataFrame, prefixes: list[str], keep: int = KEEP) -> DataFrame:
+    """``dumps`` (name) with stamp and kept: of all ``prefix-stamp.dump`` the newest by stamp, whichever prefix, stay; files that are no dumps are not touched."""
+    stamp = F.nullif(F.regexp_extract("name", rf"^(?:{'|'.join(prefixes)})-(.*)\.dump$", 1), F.lit(""))
     stamped = dumps.withColumn("stamp", stamp)
     newest = stamped.filter("stamp is not null").orderBy(F.col("stamp").desc(), F.col("name").desc()).limit(keep).select("name", F.lit(True).alias("new"))
     return stamped.join(newest, "name", "left").select("name", "stamp", (F.col("stamp").isNull() | F.coalesce("new", F.lit(False))).alias("kept"))

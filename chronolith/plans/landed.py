@@ -37,14 +37,25 @@ def q_page_events(spark: SparkSession, sf: str) -> DataFrame:
 CITES = "SELECT o_custkey AS article_id, concat('Order number ', o_orderkey) AS title, concat('https://www.x.test/', o_orderkey) AS url, strftime(o_orderdate, '%Y-%m-%d') AS date, 'day' AS precision, CASE WHEN o_orderkey % 4 = 0 THEN 'x.test' ELSE concat('Paper ', o_orderstatus) END AS publication FROM orders WHERE o_orderkey % 5 > 0"
 
 
-@query(CITES)
-def q_citations(spark: SparkSession, sf: str) -> DataFrame:
-    """The one query with a parser outside the JVM: nested templates."""
+def _wikitext(spark: SparkSession, sf: str) -> DataFrame:
     named = F.when(F.col(K) % 4 == 0, "").otherwise(F.concat(F.lit("[[Paper (x)|Paper {{small|y}}"), "o_orderstatus", F.lit("]]")))
     shape = F.when(F.col(K) % 2 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     cite = F.concat(F.lit("Text {{cite news |title=Order <i>number</i> "), K, F.lit(" |url=https://www.x.test/"), K, F.lit(" |date="), F.when(F.col(K) % 5 > 0, shape).otherwise("soon"), F.lit(" |work="), named, F.lit("}} and {{other|x=1}}."))
-    wiki = _orders(spark, sf).groupBy(F.col("o_custkey").alias("article_id")).agg(F.array_join(F.collect_list(cite), "\n").alias("wikitext"))
-    return articles.parse_citations(wiki).drop("pos")
+    return _orders(spark, sf).groupBy(F.col("o_custkey").alias("article_id")).agg(F.array_join(F.collect_list(cite), "\n").alias("wikitext"))
+
+
+@query(CITES)
+def q_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """With the one parser outside the JVM: nested templates."""
+    return articles.parse_citations(_wikitext(spark, sf)).drop("pos")
+
+
+@query(CITES)
+def q_citations_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the table function, joined laterally in SQL."""
+    articles.register(spark)
+    rows = spark.sql("SELECT a.article_id, c.* FROM {articles} a, LATERAL citations(a.wikitext) c", articles=_wikitext(spark, sf))
+    return articles.sound_citations(rows).drop("pos")
 
 
 @query("""

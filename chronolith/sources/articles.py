@@ -6,9 +6,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from ..functions import text
 from ..operators.dedupe import first_per, spread, unique_urls
@@ -69,14 +69,31 @@ def _cites(wikitext: pd.Series) -> pd.Series:
 def parse_citations(articles: DataFrame) -> DataFrame:
     """articles (article_id, wikitext) to (article_id, pos, title, url, date, precision, publication): citations with a web address, a title of 8 characters and a date."""
     cites = pandas_udf(_cites, CITATION)  # nested templates are no regular language: the one parser outside the JVM, in Arrow batches
-    rows = articles.select("article_id", F.posexplode(cites("wikitext")).alias("pos", "c"))
-    when = text.cite_date(F.col("c.raw_date"))
-    named = text.clean_cite(F.col("c.publication"))
-    host = F.regexp_replace(F.try_parse_url("c.url", F.lit("HOST")), r"^www\.", "")
-    out = rows.select("article_id", "pos", text.clean_cite(F.col("c.title")).alias("title"), F.trim("c.url").alias("url"), when.alias("w"), F.when(named != "", named).otherwise(F.coalesce(host, F.lit("cited source"))).alias("publication"))
+    return sound_citations(articles.select("article_id", F.posexplode(cites("wikitext")).alias("pos", "c")).select("article_id", "pos", "c.*"))
+
+
+def sound_citations(rows: DataFrame) -> DataFrame:
+    """Citations as they are written (article_id, pos, title, url, raw_date, publication) as ``parse_citations`` gives them."""
+    when = text.cite_date(F.col("raw_date"))
+    named = text.clean_cite(F.col("publication"))
+    host = F.regexp_replace(F.try_parse_url("url", F.lit("HOST")), r"^www\.", "")
+    out = rows.select("article_id", "pos", text.clean_cite(F.col("title")).alias("title"), F.trim("url").alias("url"), when.alias("w"), F.when(named != "", named).otherwise(F.coalesce(host, F.lit("cited source"))).alias("publication"))
     return out.filter(F.col("url").rlike("(?i)^https?://") & (F.length("title") >= 8) & F.col("w").isNotNull()).select("article_id", "pos", "title", "url", "w.date", "w.precision", "publication")
 
 
+class Citations:
+    """A table function for SQL: ``SELECT a.article_id, c.* FROM articles a, LATERAL citations(a.wikitext) c``."""
+
+    def eval(self, wikitext: str) -> Iterator[tuple[int, str, str, str, str]]:
+        for n, found in enumerate(citations_of(wikitext or "")):
+            yield n, *found
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``citations(wikitext)`` known to the session's SQL; rows travel in Arrow batches."""
+    spark.udtf.register("citations", udtf(Citations, returnType="pos int, title string, url string, raw_date string, publication string", useArrow=True))
+
+
 def citation_events(citations: DataFrame, most: int = 160) -> DataFrame:
     """One event for each URL of an article, in the order of dates, an even sample of ``most`` from each article."""
     return spread(unique_urls(citations, ["article_id"]), ["article_id"], ["date", "pos"], most)

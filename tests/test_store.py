@@ -110,9 +110,9 @@ def test_a_changed_row_is_found_by_its_bucket(spark):
 
 
 def test_dumps_are_kept_by_stamp(spark):
-    names = [f"chronolens-2024-01-{d:02d}.dump" for d in range(1, 11)] + [f"news-charts-2023-12-{d:02d}.dump" for d in range(1, 11)] + ["readme.txt"]
-    got = {r.name: r.kept for r in digests.retained(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
-    assert {n for n, kept in got.items() if not kept} == {f"news-charts-2023-12-{d:02d}.dump" for d in range(1, 7)}
+    names = [f"zeta-2024-01-{d:02d}.dump" for d in range(1, 11)] + [f"alpha-2023-12-{d:02d}.dump" for d in range(1, 11)] + ["readme.txt"]
+    got = {r.name: r.kept for r in digests.retained(spark.createDataFrame([(n,) for n in names], "name string"), ["alpha", "zeta"]).collect()}
+    assert {n for n, kept in got.items() if not kept} == {f"alpha-2023-12-{d:02d}.dump" for d in range(1, 7)}
 
 
 def at(minute):
