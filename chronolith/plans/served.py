@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import digests, visits
+from ..operators import digests, seeds, visits
 from . import views as v
 from .queries import day, query, table
 
@@ -144,3 +144,28 @@ def q_dumps_kept(spark: SparkSession, sf: str) -> DataFrame:
     stamp = day(F.date_add(F.lit("1970-01-01").cast("date"), c.cast("int")))
     name = F.when(c % 5 == 0, F.concat(F.lit("notes-"), c, F.lit(".txt"))).otherwise(F.concat(F.when(c % 2 == 0, "zeta-").otherwise("alpha-"), stamp, F.lit(".dump")))
     return digests.retained(table(spark, sf, "customer").select(name.alias("name")), ["alpha", "zeta"])
+
+
+_MUL = lambda a, b: f"({a}::HUGEINT * {b}::HUGEINT % 4294967296)::BIGINT"
+DRAWS = f"""
+s AS (SELECT o_orderkey, (o_custkey + o_orderkey::HUGEINT * 1831565813) % 4294967296 AS a0 FROM orders), a AS (SELECT o_orderkey, a0::BIGINT AS a FROM s),
+t AS (SELECT o_orderkey, {_MUL("xor(a, a >> 15)", "(a | 1)")} AS t FROM a), u AS (SELECT o_orderkey, xor((t + {_MUL("xor(t, t >> 7)", "(t | 61)")}) % 4294967296, t) AS t FROM t)"""
+
+
+@query(f"WITH {DRAWS} SELECT o_orderkey, xor(t, t >> 14) AS draw FROM u")
+def q_seed_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each customer's seed the draw of each order's number, as 32 bits."""
+    return table(spark, sf, "orders").select("o_orderkey", (seeds.draw(F.col("o_custkey"), F.col("o_orderkey")) * 4294967296).cast("long").alias("draw"))
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT subject_id, day, volume, row_number() OVER (PARTITION BY subject_id ORDER BY day) AS k FROM bars),
+w(subject_id, day, k, x) AS (SELECT subject_id, day, k, greatest(1.0, (2 + subject_id % 50)::DOUBLE * (1 + (volume % 21 - 10.3) / 100)) FROM d WHERE k = 1
+UNION ALL SELECT d.subject_id, d.day, d.k, greatest(1.0, w.x * (1 + (d.volume % 21 - 10.3) / 100)) FROM w JOIN d ON d.subject_id = w.subject_id AND d.k = w.k + 1)
+SELECT subject_id, CAST(day AS VARCHAR) AS day, floor(x * 100 + 0.5) / 100 < 1.005 AS at_floor FROM w""", "bars")
+def q_seed_walks(spark: SparkSession, sf: str) -> DataFrame:
+    """Walks of planted moves over every subject's days: where they lie on the floor, which a recursion finds step by step."""
+    s, bars = F.col("subject_id"), v.bars(spark, sf)
+    days = bars.select("subject_id", "day", s.alias("seed"), (2 + s % 50).cast("double").alias("start"), F.lit(100).alias("base_volume"))
+    planted = bars.select("subject_id", "day", ((F.col("volume") % 21 - 10.3) / 100).alias("shock"))
+    return seeds.walks(days, planted).select("subject_id", day("day").alias("day"), (F.col("close") < 1.005).alias("at_floor"))

@@ -118,11 +118,12 @@ class Store:
         rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.files.root}/{folder}")
         return folder, [n[7:] for n, _ in self.files.names(folder) if n.startswith("bucket=")]
 
-    def commit(self, changes: dict[str, tuple[DataFrame, Merge]], note: str = "", tries: int = 5) -> int:
+    def commit(self, changes: dict[str, tuple[DataFrame, Merge]], note: str = "", tries: int = 5, onto: int | None = None) -> int:
         """Merges what comes in into several tables and publishes them at once; gives the version.
 
         What comes in is written first, so it is computed once, however often the merge is
-        tried; then only the buckets that it touches are read and written.
+        tried; then only the buckets that it touches are read and written. What was made
+        from one version and holds for that one only is committed ``onto`` it, or not at all.
         """
         staged = {}
         for name, (incoming, merge) in changes.items():
@@ -130,7 +131,7 @@ class Store:
             staged[name] = folder, touched, incoming.schema, merge
         try:
             for _ in range(tries):
-                base = self.version()
+                base = self.version() if onto is None else onto
                 tables = self.manifest(base)
                 for name, (folder, touched, schema, merge) in staged.items():
                     if not touched:
@@ -143,7 +144,9 @@ class Store:
                     tables[name] = {b: f for b, f in held.items() if b not in touched} | dict.fromkeys(filled, new)
                 if self.files.publish(f"manifests/{base + 1}.json", json.dumps({"note": note, "tables": tables})):
                     return base + 1
-            raise Conflict(f"other writers came first {tries} times")
+                if onto is not None:
+                    break
+            raise Conflict("other writers came first")
         finally:
             for folder, *_ in staged.values():
                 self.files.delete(folder)

@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, merges, reports
+from ..operators import dedupe, merges, reports, visits
 from ..operators.pages import stalest
-from ..sources.store import Store, Table, append, failing
+from ..sources.store import Conflict, Store, Table, append, failing
 
 NEWS_CAP = 75
 BACKOFF_MINUTES = 30
@@ -109,3 +109,32 @@ def run(store: Store, sources: list[Source], name: str, now: Column, most: int =
             outcomes[source.name] = failing(e)
             store.commit({"fetches": (_logged(asked, None, source.name, name, now, outcomes[source.name]), log_once)}, f"{name} {source.name} failed")
     return outcomes
+
+
+def first_pass(store: Store, asked: DataFrame, answers: DataFrame, events: DataFrame, prices: DataFrame, name: str, tries: int = 5) -> DataFrame:
+    """First visits (see ``visits.first_visits``) on a store that also holds ``ledger`` and ``prices``: gives them with their outcomes, after all they bring is committed at once.
+
+    events: key and the columns that sources give; prices: key, subject_id, day, close,
+    volume. Only what an ingested visit names is stored, with a row of the log for each;
+    its claim, its failures, its events, prices and log are one version of the store.
+    """
+    for _ in range(tries):
+        began = store.version()
+        seen = visits.first_visits(asked, store.read("ledger", began), answers)
+        good = seen.filter("outcome = 'ingested'").select("key", "at")
+        rows = _rows(events.join(good, "key", "left_semi"), "first_pass")
+        bars = prices.join(good, "key", "left_semi").withColumn("pos", F.lit(0))
+        counted = events.groupBy("key", "subject_id").agg(F.count("*").cast("long").alias("events"))
+        logged = good.join(counted, "key").select(F.concat_ws(":", F.lit(name), "key").alias("fetch_id"), F.lit("first_pass").alias("source"), "subject_id", F.col("at").alias("fetched_at"), F.lit("ok").alias("outcome"), "events", F.lit(None).cast("string").alias("detail"))
+        claims = seen.filter("claimed").select(F.col("key").alias("slug"), "at", "key", "missed", "outcome", "claimed")
+        try:
+            store.commit({"ledger": (claims, visits.ledger_after), "events": (rows, keep_events), "prices": (bars, merges.upsert_prices), "fetches": (logged, log_once)}, name, onto=began)
+            return seen
+        except Conflict:  # another writer may hold a claim by now
+            continue
+    raise Conflict("other writers came first")
+
+
+LEDGER = Table("slug string, failures int, attempted_at timestamp, dead_until timestamp", "slug")
+PRICES = Table("subject_id long, day date, close double, volume long", "subject_id")
+FIRST_PASS = TABLES | {"ledger": LEDGER, "prices": PRICES}

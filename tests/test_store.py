@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolith.operators import digests
-from chronolith.sources.store import Store, Table, append, replace
+from chronolith.sources.store import Conflict, Store, Table, append, replace
 from chronolith.streaming import runs
 
 AB = {"a": Table("k long, v string", "k"), "b": Table("k long, n long", "k")}
@@ -75,6 +75,14 @@ def test_of_two_writers_at_one_version_the_second_merges_again(spark, store):
     assert rows(store.read("a")) == [(1, "other"), (1, "own")] and rows(store.read("a", 1)) == [(1, "other")]
 
 
+def test_what_holds_for_one_version_is_not_committed_onto_another(spark, store):
+    one = spark.createDataFrame([(1, "x")], "k long, v string")
+    store.commit({"a": (one, append)})
+    with pytest.raises(Conflict):
+        store.commit({"a": (one, append)}, onto=0)
+    assert store.commit({"a": (one, append)}, onto=1) == 2
+
+
 def test_old_versions_of_buckets_are_deleted_but_not_those_of_kept_manifests(spark, store):
     for n in range(4):
         store.commit({"a": (spark.createDataFrame([(1, str(n))], "k long, v string"), replace)})
@@ -152,3 +160,37 @@ def test_stories_collapse_before_the_cap(spark):
 def test_a_run_done_again_logs_once(spark):
     one = spark.createDataFrame([("r:s:1", "s", 1, None, "ok", 1, None)], runs.FETCHES.schema)
     assert runs.log_once(one, one).count() == 1
+
+
+def test_a_first_visit_is_stored_whole_or_not_at_all(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/visits", runs.FIRST_PASS, buckets=2)
+    noon = datetime.datetime(2024, 5, 1, 12)
+    ask = lambda *rows: spark.createDataFrame([(n, slug, kind, noon + datetime.timedelta(hours=h), free) for n, (slug, kind, h, free) in enumerate(rows)], "pos long, slug string, kind string, at timestamp, free boolean")
+    answers = spark.createDataFrame([("steel", False, "Steel", 1, 0), ("co:abc", False, None, 1, 2), ("best buy earnings q3", False, "TaxAct", 21, 0), ("slow", True, None, 0, 0)], "slug string, timed_out boolean, title string, events long, bars long")
+    day = datetime.date(2024, 4, 1)
+    events = spark.createDataFrame([("steel", 1, 0, "history", day, "year", "Steel is made", None, None, None), ("co:abc", 2, 0, "filing", day, "day", "10-K", None, None, None), ("best buy earnings q3", 3, 0, "history", day, "day", "Tax", None, None, None)], "key string, subject_id long, pos long, kind string, day date, precision string, title string, description string, image_url string, url string")
+    prices = spark.createDataFrame([("co:abc", 2, day, 1.5, 10), ("steel", 9, day, 1.0, None)], "key string, subject_id long, day date, close double, volume long")
+    first = ask((" Steel ", "topic", 0, True), ("steel", "topic", 0, True), ("ABC", "company", 0, True), ("best buy earnings q3", "topic", 0, True), ("slow", "topic", 0, True), ("steel", "topic", 0, False), (" ", "topic", 0, True), ("unheard of", "company", 0, True))
+
+    kept = runs.keep_events
+    try:
+        runs.keep_events = lambda current, came: (_ for _ in ()).throw(RuntimeError("lost"))  # the writer dies after the ledger was written
+        with pytest.raises(RuntimeError, match="lost"):
+            runs.first_pass(store, first, answers, events, prices, "v0")
+    finally:
+        runs.keep_events = kept
+    assert store.version() == 0
+
+    got = [r.outcome for r in runs.first_pass(store, first, answers, events, prices, "v1").orderBy("pos").collect()]
+    assert store.version() == 1
+    want = ["ingested", "already_attempted", "ingested", "unresolvable", "unresolvable", "unavailable", "unresolvable", "unresolvable"]
+    assert got == want
+    assert {r.title for r in store.read("events").collect()} == {"Steel is made", "10-K"} and [r.close for r in store.read("prices").filter("subject_id = 2").collect()] == [1.5]
+    assert {r.fetch_id for r in store.read("fetches").collect()} == {"v1:steel", "v1:co:abc"}
+    assert {r.slug: r.failures for r in store.read("ledger").collect()} == {"steel": 0, "co:abc": 0, "best buy earnings q3": 1, "slow": 0, "co:unheard of": 1}
+
+    again = ask(("steel", "topic", 1, True), ("best buy earnings q3", "topic", 7, True), ("slow", "topic", 7, True))
+    answers = answers.filter("slug <> 'slow'").union(spark.createDataFrame([("slow", False, "Slow", 1, 0)], answers.schema))
+    assert [r.outcome for r in runs.visits.first_visits(again, store.read("ledger"), answers).orderBy("pos").collect()] == ["already_attempted", "unresolvable", "ingested"]
+    runs.first_pass(store, again, answers, events, prices, "v2")
+    assert {r.slug: r.failures for r in store.read("ledger").collect()} == {"steel": 0, "co:abc": 0, "best buy earnings q3": 2, "slow": 0, "co:unheard of": 1}
