@@ -126,8 +126,8 @@ def form_summary(filings: DataFrame, scope: str) -> DataFrame:
 
 
 def capacity(minutes: Column, limit: Column) -> Column:
-    """How many subjects a daily limit carries at one request each so many minutes; null without a limit."""
-    return F.floor(limit / numbers.per_day(minutes)).cast("long")
+    """How many subjects a daily limit carries at one request each so many minutes; null without a limit, and where that is no request a day."""
+    return F.floor(F.try_divide(limit, numbers.per_day(minutes))).cast("long")
 
 
 def estimate(texts: DataFrame, scope: str, in_price: float, out_price: float, batch: int = 25, overhead: int = 200, answer: int = 12) -> DataFrame:
