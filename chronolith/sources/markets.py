@@ -35,12 +35,12 @@ def filings(blocks: DataFrame) -> DataFrame:
     earnings = form.isin([k for k, v in FUND_FORMS.items() if v[1]] + ["10-K", "10-Q"]) | results
     kept = rows.filter(form.isin(FORMS) & (F.coalesce("filingDate", F.lit("")) != "") & (F.coalesce("accessionNumber", F.lit("")) != ""))
     label = F.when(results, "Earnings announcement (8-K)").otherwise(F.coalesce(F.try_element_at(labels, form), F.concat(form, F.lit(" filing"))))
-    return kept.select(F.concat(F.lit("sec-"), accession).alias("id"), F.to_date("filingDate").alias("day"), F.when(earnings, "earnings").otherwise("filing").alias("kind"), F.concat("name", F.lit(": "), label).alias("title"), F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.col("cik").cast("long"), F.lit("/"), accession, F.lit("/"), F.coalesce("primaryDocument", F.lit(""))).alias("url"), F.when((form == "8-K") & (F.col("items") != ""), F.concat(F.lit("Items: "), "items")).alias("description"), F.concat(F.lit("sec:"), accession).alias("dedup_basis"))
+    return kept.select(F.concat(F.lit("sec-"), accession).alias("id"), F.to_date("filingDate").alias("day"), F.when(earnings, "earnings").otherwise("filing").alias("kind"), F.concat("name", F.lit(": "), label).alias("title"), F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), F.col("cik").cast("long"), F.lit("/"), accession, F.lit("/"), F.coalesce("primaryDocument", F.lit(""))).alias("url"), F.when((form == "8-K") & (F.col("items") != ""), F.concat(F.lit("Items: "), "items")).alias("description"), F.concat(F.lit("sec:"), accession).alias("dedup_basis"), F.col("cik").cast("long").alias("cik"))
 
 
 def all_filings(recent: DataFrame, older: DataFrame) -> DataFrame:
-    """The recent block and older shards together; shards that failed are simply not there."""
-    return filings(recent.unionByName(older, allowMissingColumns=True)).dropDuplicates(["id"])
+    """The recent block and older shards together, each registrant's filing once; shards that failed are simply not there."""
+    return filings(recent.unionByName(older, allowMissingColumns=True)).dropDuplicates(["cik", "id"])
 
 
 def industry(registrants: DataFrame) -> DataFrame:

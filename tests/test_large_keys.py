@@ -1,5 +1,7 @@
 """Queries on keys as large as those of larger tables."""
 
+import datetime
+
 import duckdb
 from oracle import plain
 
@@ -23,3 +25,10 @@ def test_a_rate_of_no_request_a_day_has_no_capacity(spark, tmp_path):
     users = [(u,) for u in (0, 1, 28_738, 28_739, 28_741, 90_001)]  # from 28,740 on, a day has fewer than 0.05 requests
     got, _ = rows_of(spark, tmp_path, pages.q_capacity, events=(users, "user_id long"))  # the SQL cannot cast what it divides by 0
     assert got == sorted([(0.0, None), (1.0, 4.0), (28_738.0, 288_380.0), (28_739.0, 288_390.0), (28_741.0, None), (90_001.0, None)], key=repr)
+
+
+def test_filings_of_two_registrants_with_one_number_are_two(spark, tmp_path):
+    date = datetime.datetime(2024, 1, 2)
+    orders = [(1, 23, date), (12, 3, date), (4, 5, date), (9, 9, date)]  # 1-23 and 12-3 are one number without the dash; 4 and 9 are in one block or both
+    got, want = rows_of(spark, tmp_path, landed.q_filings, orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
+    assert got == want() and len(got) == 4
