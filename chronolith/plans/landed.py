@@ -300,8 +300,8 @@ def q_verify_references(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, lpad(lower(to_hex(user_id * 1000000)), 8, '0') AS hex, floor(user_id * 10000 + 0.5) / 10000 AS amount FROM events")
 def q_hex_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.lpad(F.lower(F.hex((F.col("user_id") * 1_000_000).cast("long"))), 8, "0")
-    return table(spark, sf, "events").select("event_id", raw.alias("hex"), r4(numbers.hex_units(F.concat(F.lit("0x"), raw), 6)).alias("amount"))
+    raw = F.lower(F.hex((F.col("user_id") * 1_000_000).cast("long")))  # read as it is: to pad is to cut what is longer
+    return table(spark, sf, "events").select("event_id", F.lpad(raw, 8, "0").alias("hex"), r4(numbers.hex_units(F.concat(F.lit("0x"), raw), 6)).alias("amount"))
 
 
 def _word_sql() -> str:

@@ -32,3 +32,9 @@ def test_filings_of_two_registrants_with_one_number_are_two(spark, tmp_path):
     orders = [(1, 23, date), (12, 3, date), (4, 5, date), (9, 9, date)]  # 1-23 and 12-3 are one number without the dash; 4 and 9 are in one block or both
     got, want = rows_of(spark, tmp_path, landed.q_filings, orders=(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
     assert got == want() and len(got) == 4
+
+
+def test_amounts_of_more_than_eight_digits_are_read_whole(spark, tmp_path):
+    events = [(1, 0), (2, 5), (3, 4294), (4, 4295), (5, 90_001), (6, 9_000_001)]
+    got, want = rows_of(spark, tmp_path, landed.q_hex_amounts, events=(events, "event_id long, user_id long"))
+    assert got == want() and [r[2] for r in got] == [0.0, 5.0, 4294.0, 4295.0, 90_001.0, 9_000_001.0]
