@@ -4,8 +4,14 @@ import datetime
 
 import duckdb
 from oracle import plain
+from pyspark.sql import functions as F
 
-from chronolith.plans import landed, pages, queries
+from chronolith.functions import numbers, text
+from chronolith.llm import license_scan
+from chronolith.operators import pages as pages_
+from chronolith.operators import resolve, series
+from chronolith.plans import landed, pages, queries, views
+from chronolith.sources import articles
 
 
 def rows_of(spark, folder, query, **tables):
@@ -38,3 +44,17 @@ def test_amounts_of_more_than_eight_digits_are_read_whole(spark, tmp_path):
     events = [(1, 0), (2, 5), (3, 4294), (4, 4295), (5, 90_001), (6, 9_000_001)]
     got, want = rows_of(spark, tmp_path, landed.q_hex_amounts, events=(events, "event_id long, user_id long"))
     assert got == want() and [r[2] for r in got] == [0.0, 5.0, 4294.0, 4295.0, 90_001.0, 9_000_001.0]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_the_event_model_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_A_TASK", 500)
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    for df in (views.links(spark, SMALL), views.links(spark, SMALL, "event_id", "subject_id"), views.attest(spark, SMALL), views.bars(spark, SMALL)):
+        assert df.rdd.getNumPartitions() == -(-lines // 500)
