@@ -34,30 +34,32 @@ def candidates(queries: DataFrame, subjects: DataFrame, aliases: DataFrame, floo
     whose lists are long, are left alone.
     Subjects: (subject_id, slug, ticker, display_name); aliases: (subject_id, alias).
     """
-    q = queries.select("query_id", F.trim("query").alias("query")).filter("query <> ''")
+    asked = queries.select("query_id", F.trim("query").alias("query")).filter("query <> ''")
+    q = asked.select("query").distinct()  # a text is answered once, however often it is asked
     names = subjects.select("subject_id", F.col("display_name").alias("name"), F.lit(True).alias("own")).union(aliases.select("subject_id", "alias", F.lit(False)))
     fuzzy = q.filter(text.worth_fuzzy(F.col("query")))
-    grams = fuzzy.select("query_id", "query", F.array_distinct(text.trigram_list(F.col("query"))).alias("g"))
+    grams = fuzzy.select("query", F.array_distinct(text.trigram_list(F.col("query"))).alias("g"))
     of_name = F.array_distinct(text.trigram_list(F.col("name")))
     held = names.select("subject_id", "name", F.explode(of_name).alias("gram"))
-    wanted = grams.select("query_id", "query", "g", F.explode("g").alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
-    rarest = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    wanted = grams.select("query", "g", F.explode("g").alias("gram")).join(held.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
+    rarest = Window.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "gram")
     kept = wanted.withColumn("r", F.row_number().over(rarest)).filter(F.col("r") <= F.size("g") - F.ceil(floor * F.size("g")) + 1)
-    met = kept.join(held, "gram").select("query_id", "query", "g", "subject_id", "name").distinct()
+    met = kept.join(held, "gram").select("query", "g", "subject_id", "name").distinct()
     close = met.filter(F.size(F.array_intersect("g", of_name)) >= floor * F.size("g"))
-    near = close.select("query_id", "subject_id", text.word_similarity(F.col("query"), F.col("name")).alias("score"), F.lit(5).alias("via"))
+    near = close.select("query", "subject_id", text.word_similarity(F.col("query"), F.col("name")).alias("score"), F.lit(5).alias("via"))
     low = q.withColumn("low", F.lower("query"))
-    exact = low.join(subjects.select("subject_id", F.lower("ticker").alias("low")), "low").select("query_id", "subject_id", F.lit(1.0), F.lit(1))
-    exact = exact.union(low.join(subjects.select("subject_id", F.lower("display_name").alias("low")), "low").select("query_id", "subject_id", F.lit(0.97), F.lit(2)))
-    exact = exact.union(low.join(aliases.select("subject_id", F.lower("alias").alias("low")), "low").select("query_id", "subject_id", F.lit(0.93), F.lit(3)))
+    exact = low.join(subjects.select("subject_id", F.lower("ticker").alias("low")), "low").select("query", "subject_id", F.lit(1.0), F.lit(1))
+    exact = exact.union(low.join(subjects.select("subject_id", F.lower("display_name").alias("low")), "low").select("query", "subject_id", F.lit(0.97), F.lit(2)))
+    exact = exact.union(low.join(aliases.select("subject_id", F.lower("alias").alias("low")), "low").select("query", "subject_id", F.lit(0.93), F.lit(3)))
     words = F.split(F.lower("display_name"), " ")
     heads = subjects.select("subject_id", F.explode(F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))).otherwise(F.array().cast("array<string>"))).alias("low"))
-    exact = exact.union(low.join(heads, "low").select("query_id", "subject_id", F.lit(0.90), F.lit(4)))
-    scored = near.union(exact).groupBy("query_id", "subject_id").agg(F.max("score").alias("score"), F.min("via").alias("v")).filter(F.col("score") >= floor)
+    exact = exact.union(low.join(heads, "low").select("query", "subject_id", F.lit(0.90), F.lit(4)))
+    scored = near.union(exact).groupBy("query", "subject_id").agg(F.max("score").alias("score"), F.min("via").alias("v")).filter(F.col("score") >= floor)
     via = F.get(F.array(*map(F.lit, ["ticker", "name", "alias", "prefix", "fuzzy"])), F.col("v") - 1)
-    out = scored.join(subjects.select("subject_id", "slug", "display_name"), "subject_id").select("query_id", "subject_id", "slug", "display_name", F.round("score", 6).alias("score"), via.alias("via"))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.length("display_name"), "slug")
-    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    out = scored.join(subjects.select("subject_id", "slug", "display_name"), "subject_id").select("query", "subject_id", "slug", "display_name", F.round("score", 6).alias("score"), via.alias("via"))
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.length("display_name"), "slug")
+    ranked = out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most)
+    return asked.join(ranked, "query").drop("query")
 
 
 def by_slug(queries: DataFrame, subjects: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -58,3 +58,16 @@ def test_tasks_of_the_event_model_hold_a_bounded_number_of_rows(spark, monkeypat
     lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     for df in (views.links(spark, SMALL), views.links(spark, SMALL, "event_id", "subject_id"), views.attest(spark, SMALL), views.bars(spark, SMALL)):
         assert df.rdd.getNumPartitions() == -(-lines // 500)
+
+
+def test_a_text_is_answered_once_for_all_who_ask(spark):
+    subjects = spark.createDataFrame([(1, "company", "ford-motor", "F", "Ford Motor"), (2, "topic", "forum", None, "Forum")], "subject_id long, kind string, slug string, ticker string, display_name string")
+    none = spark.createDataFrame([], "subject_id long, alias string")
+    asked = spark.createDataFrame([(1, "ford"), (2, "ford "), (3, "fordd motor"), (4, "fordd motor"), (5, ""), (6, None)], "query_id long, query string")
+    found = resolve.candidates(asked, subjects, none)
+    assert "windowspecdefinition(query_id" not in plan_of(found)
+    of = lambda q: [tuple(r)[1:] for r in found.orderBy("rank").collect() if r.query_id == q]
+    assert of(1) == of(2) != [] and of(3) == of(4) != [] and of(5) == of(6) == []
+    got = pages_.search(asked, subjects, none, spark.createDataFrame([], "ticker string, title string"))
+    assert {(r.query_id, r.rung) for r in got.collect()} == {(1, "known_company"), (2, "known_company"), (3, "known_company"), (4, "known_company"), (5, "empty"), (6, "unresolved")}
+    assert str(text.word_similarity(F.col("a"), F.col("b"))).count("split(") == 2  # each side once
