@@ -202,7 +202,7 @@ def search(queries: DataFrame, subjects: DataFrame, aliases: DataFrame, registra
     subjects: subject_id, kind, slug, ticker, display_name; registrants: ticker, title.
     """
     asked = queries.select("query_id", F.trim(F.regexp_replace("query", r"\s+", " ")).alias("query"))
-    full = asked.filter("query <> ''").select("query_id", F.lit(0).alias("head"), "query")
+    full = asked.filter("query <> ''").select(F.col("query").alias("query_id"), F.lit(0).alias("head"), "query").distinct()  # a text is answered once
     heads = full.select("query_id", F.posexplode(text.head_prefixes(F.col("query"))).alias("k", "x")).select("query_id", (F.col("k") + 1).alias("head"), F.col("x.head").alias("query"))
     tried = full.union(heads).withColumn("try_id", F.struct("query_id", "head"))
     as_ids = tried.select(F.col("try_id").alias("query_id"), "query")
@@ -218,4 +218,4 @@ def search(queries: DataFrame, subjects: DataFrame, aliases: DataFrame, registra
     found = own.union(names).union(slugs).union(abroad).select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.head").alias("head"), "rung", "kind", "target")
     best = first_per(found, ["query_id"], ["head", "rung", "target"])
     said = F.when(F.col("query") == "", "empty").when(F.col("head") > 0, "salvaged_prefix").when(F.col("rung") == 1, "known_company").when(F.col("rung") == 2, "known_subject").when(F.col("rung") == 3, "edgar").otherwise("unresolved")
-    return asked.join(best, "query_id", "left").select("query_id", said.alias("rung"), F.coalesce("kind", F.lit("none")).alias("kind"), "target")
+    return asked.join(best.withColumnRenamed("query_id", "query"), "query", "left").select("query_id", said.alias("rung"), F.coalesce("kind", F.lit("none")).alias("kind"), "target")
