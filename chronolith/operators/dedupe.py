@@ -93,12 +93,12 @@ def drop_prehistory(events: DataFrame, key: str = "subject_id", gap: int = model
 
 
 def focus(events: DataFrame, phrase: str) -> DataFrame:
-    """events with score and active: those that concern the phrase, or all if none does. One row of totals is broadcast."""
+    """events with score and active: those that concern the phrase, or all if none does. One row is broadcast: whether any does, for which the scan ends at the first."""
     terms = text.focus_terms(F.lit(phrase))
     rest = F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("source", F.lit("")))
     scored = events.withColumn("score", text.focus_score(F.col("title"), rest, terms))
-    total = scored.agg(F.sum(F.when(F.col("score") > 0, 1).otherwise(0)).alias("matched"))
-    return scored.join(F.broadcast(total)).withColumn("active", F.coalesce(F.col("matched") > 0, F.lit(False))).filter("score > 0 or not active")
+    any_ = scored.filter("score > 0").limit(1).agg((F.count("*") > 0).alias("active"))
+    return scored.join(F.broadcast(any_)).filter("score > 0 or not active")
 
 
 def ranked(focused: DataFrame) -> DataFrame:

@@ -81,3 +81,8 @@ def test_a_text_is_answered_once_for_all_who_ask(spark):
     got = pages_.search(asked, subjects, none, spark.createDataFrame([], "ticker string, title string"))
     assert {(r.query_id, r.rung) for r in got.collect()} == {(1, "known_company"), (2, "known_company"), (3, "known_company"), (4, "known_company"), (5, "empty"), (6, "unresolved")}
     assert str(text.word_similarity(F.col("a"), F.col("b"))).count("split(") == 2  # each side once
+
+
+def test_focus_reads_each_event_once(spark):
+    score = str(text.focus_score(F.col("a"), F.col("b"), F.col("c")))
+    assert score.count("split(") == 2
