@@ -91,8 +91,17 @@ def hex_parts(data: Column, decimals: Column | int) -> Column:
 
 def hex_units(data: Column, decimals: Column | int) -> Column:
     """A hexadecimal amount of up to 32 bytes in units of 10 ** decimals: whole units and the rest are taken apart before they are rounded. Null for what is no amount."""
-    scale = F.pow(F.lit(10.0), F.lit(decimals) if isinstance(decimals, int) else decimals)
-    return let(hex_parts(data, decimals), lambda p: p["whole"].cast("double") + F.coalesce(F.nullif(p["rest"], F.lit("")).cast("double"), F.lit(0.0)) / scale)
+    places = F.lit(decimals) if isinstance(decimals, int) else decimals
+    scale = F.pow(F.lit(10.0), places)
+    wide = let(hex_parts(data, decimals), lambda p: p["whole"].cast("double") + F.coalesce(F.nullif(p["rest"], F.lit("")).cast("double"), F.lit(0.0)) / scale)
+    tens = F.get(F.array(*(F.lit(10**k).cast("long") for k in range(19))), places)
+    short = F.regexp_extract(data, r"(?i)^0x0*([0-9a-f]{1,15})\z", 1)  # under 2^60: the same two parts in whole numbers of 64 bits
+
+    def narrow(n: Column) -> Column:
+        return _div(n, tens).cast("double") + (n % tens).cast("double") / scale
+
+    number = let(short, lambda s: F.when((s != "") & places.between(0, 18), F.conv(s, 16, 10).cast("long")))
+    return let(number, lambda n: F.when(n.isNotNull(), narrow(n)).otherwise(wide))
 
 
 def chain_of_ref(ref: Column) -> Column:

@@ -86,3 +86,14 @@ def test_a_text_is_answered_once_for_all_who_ask(spark):
 def test_focus_reads_each_event_once(spark):
     score = str(text.focus_score(F.col("a"), F.col("b"), F.col("c")))
     assert score.count("split(") == 2
+
+
+def test_short_amounts_are_read_as_long_ones(spark):
+    numbers_ = [0, 1, 9, 999_999, 1_000_000, 123_456_789_012, 16**15 - 1, 16**15, 10**40]
+    rows = [(hex(n), d) for n in numbers_ for d in (0, 6, 18, 20)] + [("0x", 6), ("0xg1", 6), (None, 6), ("0x000F", 6), ("0X0", 6)]
+    df = spark.createDataFrame(rows, "h string, d int")
+    parts = numbers.let(numbers.hex_parts(F.col("h"), F.col("d")), lambda p: p["whole"].cast("double") + F.coalesce(F.nullif(p["rest"], F.lit("")).cast("double"), F.lit(0.0)) / F.pow(F.lit(10.0), F.col("d")))
+    units = numbers.hex_units(F.col("h"), F.col("d"))
+    assert "conv(" in str(units).split("ELSE")[0]
+    for r in df.select("h", "d", units.alias("a"), parts.alias("b")).collect():
+        assert r.a == r.b, r
