@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
 from ..functions import text
+from ..functions.numbers import let
 from ..operators.dedupe import first_per, spread, unique_urls
 
 CITATION = "array<struct<title:string,url:string,raw_date:string,publication:string>>"
@@ -75,10 +76,12 @@ def parse_citations(articles: DataFrame) -> DataFrame:
 def sound_citations(rows: DataFrame) -> DataFrame:
     """Citations as they are written (article_id, pos, title, url, raw_date, publication) as ``parse_citations`` gives them."""
     when = text.cite_date(F.col("raw_date"))
-    named = text.clean_cite(F.col("publication"))
     host = F.regexp_replace(F.try_parse_url("url", F.lit("HOST")), r"^www\.", "")
-    out = rows.select("article_id", "pos", text.clean_cite(F.col("title")).alias("title"), F.trim("url").alias("url"), when.alias("w"), F.when(named != "", named).otherwise(F.coalesce(host, F.lit("cited source"))).alias("publication"))
-    return out.filter(F.col("url").rlike("(?i)^https?://") & (F.length("title") >= 8) & F.col("w").isNotNull()).select("article_id", "pos", "title", "url", "w.date", "w.precision", "publication")
+    named = let(text.clean_cite(F.col("publication")), lambda said: F.when(said != "", said).otherwise(F.coalesce(host, F.lit("cited source"))))
+    read = F.struct(text.clean_cite(F.col("title")).alias("title"), F.trim("url").alias("url"), when.alias("w"), named.alias("publication"))
+    sound = lambda c: c["url"].rlike("(?i)^https?://") & (F.length(c["title"]) >= 8) & c["w"].isNotNull()
+    # as an array of one that is filtered, so that each field is read once, and not again for the filter
+    return rows.select("article_id", "pos", F.explode(F.filter(F.array(read), sound)).alias("c")).select("article_id", "pos", "c.title", "c.url", "c.w.date", "c.w.precision", "c.publication")
 
 
 class Citations:

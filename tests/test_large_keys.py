@@ -97,3 +97,9 @@ def test_short_amounts_are_read_as_long_ones(spark):
     assert "conv(" in str(units).split("ELSE")[0]
     for r in df.select("h", "d", units.alias("a"), parts.alias("b")).collect():
         assert r.a == r.b, r
+
+
+def test_citations_are_read_once_each(spark):
+    raw = spark.createDataFrame([(1, 0, "A long title", "https://x.test/1", "5 Jan 2015", "")], "article_id long, pos int, title string, url string, raw_date string, publication string")
+    assert plan_of(articles.sound_citations(raw)).count("format_string(%04d") <= 10 // 2  # a format for each shape of a date
+    assert [tuple(r) for r in articles.sound_citations(raw).collect()] == [(1, 0, "A long title", "https://x.test/1", "2015-01-05", "day", "x.test")]
