@@ -101,7 +101,7 @@ def q_finality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id, subject_id, relevance FROM links WHERE subject_id % 2 = 0 UNION ALL SELECT event_id, subject_id, coalesce(relevance, 0) + 1 FROM links WHERE subject_id % 2 = 1", "links")
 def q_link_inserts(spark: SparkSession, sf: str) -> DataFrame:
-    links = v.links(spark, sf)
+    links = v.links(spark, sf, "event_id", "subject_id")
     incoming = links.withColumns({"relevance": F.coalesce("relevance", F.lit(0.0)) + 1, "pos": F.lit(0)})
     return merges.insert_only(links.filter("subject_id % 2 = 0"), incoming, ["event_id", "subject_id"])
 
