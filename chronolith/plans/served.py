@@ -165,7 +165,7 @@ UNION ALL SELECT d.subject_id, d.day, d.k, greatest(1.0, w.x * (1 + (d.volume %
 SELECT subject_id, CAST(day AS VARCHAR) AS day, floor(x * 100 + 0.5) / 100 < 1.005 AS at_floor FROM w""", "bars")
 def q_seed_walks(spark: SparkSession, sf: str) -> DataFrame:
     """Walks of planted moves over every subject's days: where they lie on the floor, which a recursion finds step by step."""
-    s, bars = F.col("subject_id"), v.bars(spark, sf)
+    s, bars = F.col("subject_id"), v.bars(spark, sf, "subject_id", "day")
     days = bars.select("subject_id", "day", s.alias("seed"), (2 + s % 50).cast("double").alias("start"), F.lit(100).alias("base_volume"))
     planted = bars.select("subject_id", "day", ((F.col("volume") % 21 - 10.3) / 100).alias("shock"))
     return seeds.walks(days, planted).select("subject_id", day("day").alias("day"), (F.col("close") < 1.005).alias("at_floor"))
