@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import NOTICES, TEXTS
+from .storage import written
 
 LEAST = 0.6
 TEMPLATES = NOTICES + TEXTS
@@ -121,7 +122,7 @@ def scan_licenses(files: DataFrame, least: float = LEAST) -> DataFrame:
     parts = owned.select("doc_id", "path", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.split("text", by).alias("units")) for k, by in enumerate(("\n", _GAP))))).alias("x"))
     parts = parts.select("doc_id", "path", "x.kind", F.posexplode("x.units").alias("unit", "text")).filter(F.col("text").rlike(cue))
     units = parts.union(owned.select("doc_id", "path", F.lit(2), F.lit(0), "text"))
-    best = likest(units, ["doc_id", "path", "kind", "unit"])
+    best = written(likest(units, ["doc_id", "path", "kind", "unit"]))  # read for files and for directories: weighed once
     headers = best.groupBy("doc_id").agg(F.min("best").alias("best"))
     given = best.filter(F.col("path").isNotNull() & (F.col("kind") == 2)).groupBy(_directory(F.col("path")).alias("up")).agg(F.min("best").alias("dir_best"))
 
