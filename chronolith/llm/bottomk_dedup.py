@@ -2,14 +2,20 @@
 
 A document's set holds the hashes of its distinct shingles. Documents of one set are one
 class, represented by the smallest doc_id. Of each class the ``SKETCH`` smallest hashes
-are kept. Inverted lists of the kept values bring classes together: values are ordered
-by how many classes keep them, rarest first, and a class enters the lists of only so
-many of its rarest values that two classes whose sketches overlap enough must meet in
-``MEET`` lists. Pairs that do, and whose sizes allow the similarity, are estimated on
-the bottom-k sketch of their union, and those left are confirmed on their full sets.
+are kept, of each its upper 32 bits. Inverted lists bring classes together: a list is of
+the classes whose sketches have the same ``RUN`` values one after another. A single value,
+such as that of two frequent words, is kept by a share of all classes: lists of values
+would grow with the classes, and pairs with their square. Few runs are shared but by
+copies. In the order of the hashes, what sets two classes apart falls at random among
+what they share, so linked ones have ``MEET + SPARE`` runs in common, but for a chance of
+under 1e-8. In sketches that hold whole sets it is no chance, as the differences are too
+few to break more runs; small sets also have the runs over their ends. Each class leaves
+the ``SPARE`` commonest of its lists, those of a line that many texts have; linked ones
+still meet in ``MEET``. Pairs that do, and whose sizes allow the similarity, are estimated
+on the bottom-k sketch of their union, and those left are confirmed on their full sets.
 
 No group is expanded into all its pairs. First each list compares its members with one
-of them, that whose values are the most common (by logarithms, so that no single one decides), so that copies of one text mostly meet
+of them, that whose runs are the most common (by logarithms, so that no single one decides), so that copies of one text mostly meet
 at the least changed of them; classes found alike are one component from then on. What
 is left are pairs of a list that are not of one component:
 
@@ -23,7 +29,7 @@ is left are pairs of a list that are not of one component:
   linked with any share only the common end of their sets, and make no pairs.
 
 The sketches' overlap of linked documents is at least half the sketch, but for a chance
-of under 1e-7 for each pair at 64 values and similarity 0.8; sets of up to 0.8 times the
+of under 1e-8 for each pair at 112 values and similarity 0.8; sets of up to 0.8 times the
 sketch are compared exactly throughout.
 
 Defined results: documents without words, or with null text, have an empty set and are
@@ -45,11 +51,13 @@ from .components import components
 from .storage import Scratch, written
 from .wordscan import LOWER, Rolling, chunks, mix, scan, utf8, window_starts
 
-SKETCH = 64
-#: Lists in which linked classes must meet.
-MEET = 4
+SKETCH = 112
+#: Values of a sketch that make a list, at most; lists in which linked classes must meet; lists that each class leaves.
+RUN, MEET, SPARE = 4, 2, 2
 #: Lists of more classes are left to the full sets.
 LIST = 16
+#: So many doc_ids at most are sent to the texts, else the texts are shuffled to them.
+FEW = 1 << 20
 
 
 def shingle_sets(part: np.ndarray, at: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -77,10 +85,10 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (full, mix(full + np.uint64(7)))]
                 digest = [pa.array((s[heads[1:]] - s[heads[:-1]]).view(np.int64)) for s in sums]
                 kept = np.minimum(sizes, SKETCH)
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array(np.concatenate([s[:SKETCH] for s in sets])))
+                values = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]), pa.int32()), pa.array((np.concatenate([s[:SKETCH] for s in sets]) >> 32).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(sizes, pa.int64()), *digest, values], ["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
 
-    return _columns(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>")
+    return _columns(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch array<int>")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -88,7 +96,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, shingles) of the documents whose doc_id is in ``ids`` (rep). The texts are shuffled once, at every size alike."""
+    """(rep, shingles) of the documents whose doc_id is in ``ids`` (rep). Of more than ``FEW`` the texts are shuffled once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +106,8 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["rep", "shingles"])
 
-    wanted = _columns(docs).join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi")
+    ids = ids.distinct()
+    wanted = _columns(docs).join(ids.hint("broadcast" if ids.count() <= FEW else "merge"), F.col("doc_id") == F.col("rep"), "left_semi")
     return wanted.mapInArrow(run, "rep long, shingles array<long>")
 
 
@@ -121,17 +130,61 @@ def _alike(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b").distinct()
 
 
-def _lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(v, rep, n, meet, common): each class in the lists of its rarest values; lists of one are left out. ``meet``: in how many it meets any class that it is linked with; ``common``: how common its values are."""
-    size = F.size("sketch")
-    entries = classes.select("rep", F.explode("sketch").alias("v"))
+def _chance(percent: int, run: int, least: int) -> float:
+    """That of ``SKETCH`` values, each shared with ``percent``, fewer than ``least`` runs of ``run`` are."""
+    p, at = percent / 100, {(0, 0): 1.0}  # by the shared values just seen and the runs so far
+    for _ in range(SKETCH):
+        new: dict[tuple[int, int], float] = {}
+        for (k, m), x in at.items():
+            for to, q in (((0, m), 1 - p), ((min(k + 1, run), m + (k + 1 >= run)), p)):
+                if to[1] < least:
+                    new[to] = new.get(to, 0.0) + x * q
+        at = new
+    return sum(at.values())
+
+
+def _common_runs(percent: int) -> tuple[int, int, int]:
+    """The length of runs; how many any two linked classes share; the size from which sets do without the runs over their ends."""
+    for run in range(RUN, 0, -1):
+        lost = run * (100 - percent)  # runs, of each 100 values of both sets, that hold one of only one set
+        least = max((m for m in range(1, MEET + SPARE + 1) if _chance(percent, run, m) < 1e-8), default=1)
+        if run == 1 or lost <= 80 and least >= MEET:
+            break
+    enough = -(-100 * (least + run - 1) // (100 - lost)) if lost < 100 else 0
+    ends = [u + run - 1 - run * ((100 - percent) * u // 100) for u in range(1, enough) if (100 - percent) * u >= 100]
+    return run, max(1, min([least, *ends])), enough
+
+
+def _runs(classes: DataFrame, run: int, enough: int) -> DataFrame:
+    """(v, rep): hashes of each ``run`` values of a sketch that follow one another, and in smaller sets than ``enough`` of those over its ends."""
+    pad = run - 1
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch["sketch"].value_lengths().to_numpy().astype(np.int64)
+            doc, n = np.arange(len(sizes)), int(sizes.sum())
+            values = np.zeros(n + 2 * pad * len(sizes), np.uint64)  # zeros mark the ends
+            values[np.arange(n) + pad * (2 * np.repeat(doc, sizes) + 1)] = batch["sketch"].flatten().to_numpy().view(np.uint32)
+            begin, count = np.cumsum(sizes) - sizes + 2 * pad * doc, sizes + pad
+            inner = sizes >= enough
+            begin[inner] += pad
+            count[inner] -= 2 * pad
+            a = np.arange(int(count.sum())) + np.repeat(begin - np.cumsum(count) + count, count)
+            h = mix(values[a])
+            for k in range(1, run):
+                h = mix(h + values[a + k])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(batch["rep"].to_numpy(), count))], ["v", "rep"])
+
+    return classes.select("rep", "sketch").mapInArrow(hashes, "v long, rep long")
+
+
+def _lists(classes: DataFrame, run: int, enough: int, spare: int) -> DataFrame:
+    """(v, rep, n, common): each class in the lists of its runs, but for the ``spare`` commonest; lists of one are left out. ``common``: how common its runs are."""
+    entries = _runs(classes, run, enough)
     shared = entries.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum(F.floor(16 * F.log2("df"))).alias("common"))  # SKETCH values at most
-    # The sketches of linked classes share so many values: all of a small set that must be common, half of a sketch else.
-    overlap = F.when(size <= int(SKETCH * percent / 100), F.ceil(size * percent / 100)).otherwise(F.ceil(size / 2)).cast("int")
-    sized = classes.select("rep", F.col("n_shingles").alias("n"), size.alias("s"), overlap.alias("t")).withColumn("meet", F.least(F.lit(MEET), "t"))
-    taken = ranked.join(sized, "rep").withColumn("take", F.col("s") - F.col("t") + F.col("meet") - (F.col("s") - F.size("by_df")))
-    return taken.filter("take > 0").select("rep", "n", "meet", "common", F.explode(F.slice("by_df", F.lit(1), F.col("take"))).alias("x")).select("x.v", "rep", "n", "meet", "common")
+    listed = entries.join(shared, "v").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("by_df"), F.sum(F.floor(16 * F.log2("df"))).alias("common"))  # SKETCH runs at most
+    taken = listed.filter(F.size("by_df") > spare).join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
+    return taken.select("rep", "n", "common", F.explode(F.slice("by_df", F.lit(1), F.size("by_df") - spare)).alias("x")).select("x.v", "rep", "n", "common")
 
 
 def _centers(entries: DataFrame, kept: Scratch) -> DataFrame:
@@ -173,28 +226,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, list_siz
         sketches = kept(_sketches(docs, words))
         one = sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
         classes = kept(one.agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-        lists = kept(_lists(classes, percent))
+        run, shared, enough = _common_runs(percent)
+        meet = min(MEET, shared)
+        lists = kept(_lists(classes, run, enough, shared - meet))
 
-        def met(rows: DataFrame, least: str) -> DataFrame:
+        def met(rows: DataFrame) -> DataFrame:
             able = rows.filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-            pairs = able.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(F.count("*").alias("k"), F.first(F.least("meet", "meet2")).alias("meet"))
-            return pairs.filter(f"k >= {least}").select("a", "b")
+            pairs = able.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(F.count("*").alias("k"))
+            return pairs.filter(f"k >= {meet}").select("a", "b")
 
-        other = [F.col(c).alias(f"{c}2") for c in ("rep", "n", "meet")]
-        hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by(F.struct("rep", "n", "meet"), F.struct("common", F.xxhash64("rep"))).alias("hub")).filter("m > 1")
+        other = [F.col(c).alias(f"{c}2") for c in ("rep", "n")]
+        hubs = lists.groupBy("v").agg(F.count("*").alias("m"), F.max_by(F.struct("rep", "n"), F.struct("common", F.xxhash64("rep"))).alias("hub")).filter("m > 1")
         hubs = kept(hubs.select("v", "m", "hub.*").select("v", "m", *other))
-        first = kept(met(lists.join(hubs.drop("m"), "v").filter("rep <> rep2"), "least(2, meet)"))
+        first = kept(met(lists.join(hubs.drop("m"), "v").filter("rep <> rep2")))
         near = kept(_estimated(first, classes))
         links = kept(_alike(near, kept(_sets(docs, _ends(near), words)), percent))
 
         labels = kept(components(links, kept))
-        named = kept(lists.join(labels, lists.rep == labels.node, "left").select("v", "rep", "n", "meet", F.coalesce("label", "rep").alias("label")))
+        named = kept(lists.join(labels, lists.rep == labels.node, "left").select("v", "rep", "n", F.coalesce("label", "rep").alias("label")))
         mixed = kept(named.groupBy("v").agg(F.count("*").alias("m"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("v", "m"))
         short = kept(named.join(mixed.filter(F.col("m") <= list_size), "v"))
         long = named.join(mixed.filter(F.col("m") > list_size), "v").join(hubs.select("v", F.col("rep2").alias("hub")), "v")
         long = kept(long.groupBy("rep", "label").agg(F.max_by("hub", F.struct("m", "hub")).alias("hub")))  # of the longest list
         long = kept(long.join(long.select(F.col("rep").alias("hub"), F.col("hub").alias("above")).distinct(), "hub", "left").groupBy("rep", "label").agg(F.min(F.coalesce("above", "hub")).alias("hub")))
-        rest = met(short.join(short.select("v", *other, F.col("label").alias("label2")), "v").filter("label <> label2 and rep < rep2"), "meet")
+        rest = met(short.join(short.select("v", *other, F.col("label").alias("label2")), "v").filter("label <> label2 and rep < rep2"))
         near = kept(_estimated(rest.join(first, ["a", "b"], "left_anti"), classes))
         sets = kept(_sets(docs, _ends(near).union(long.select("rep")), words))
         entries = kept(long.join(sets, "rep").select("rep", "label", "hub", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("v")))

@@ -93,6 +93,49 @@ def test_repeated_rows_and_null_ids(spark):
     assert bd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, bd.FEW])
+def test_frequent_words(spark, monkeypatch, few):
+    """Texts of the same few words, whose pairs of words each many of them have, make no lists but for copies."""
+    rng = random.Random(8)
+    docs = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(200))) for k in range(400)]
+    docs += [(400, docs[7][1] + " x"), (401, docs[9][1] + " y z")]
+    tables, keep = [], Scratch.__call__
+
+    def kept(self, df, **options):
+        tables.append(keep(self, df, **options))
+        tables[-1] = (tables[-1], tables[-1].count())
+        return tables[-1][0]
+
+    monkeypatch.setattr(Scratch, "__call__", kept)
+    monkeypatch.setattr(bd, "FEW", few)
+    got = {r.doc_id: r.component_id for r in bd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
+    assert got == {i: {400: 7, 401: 9}.get(i, i) for i, _ in docs}
+    assert max(n for _, n in tables) < 2 * len(docs)  # lists of single values have 36 rows a class
+
+
+@pytest.mark.parametrize("percent", [60, 70, 80, 90])
+def test_common_runs(spark, percent):
+    """Whole sets that are alike enough have so many runs in common, wherever their differences lie."""
+    rng = random.Random(percent)
+    run, shared, enough = bd._common_runs(percent)
+    rows, pairs = [], []
+    for u in [*range(2, 60), 80, bd.SKETCH]:
+        for way in range(4):
+            most = (100 - percent) * u // 100
+            apart = {(j + 1) * u // (most + 1) for j in range(most)} if way == 0 else set(rng.sample(range(u), most))
+            only = {j: way == 1 or rng.random() < 0.5 for j in apart}
+            values = sorted(rng.sample(range(-(2**31), 2**31), u))
+            a, b = ([v for j, v in enumerate(values) if only.get(j, side) == side] for side in (True, False))
+            if a != b:
+                pairs.append((len(rows), len(rows) + 1))
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    runs = {}
+    for r in bd._runs(spark.createDataFrame(rows, "rep long, sketch array<int>"), run, enough).collect():
+        runs.setdefault(r.rep, []).append(r.v)
+    assert all(len(set(v)) == len(v) for v in runs.values())
+    assert all(len({*runs[a]} & {*runs[b]}) >= shared for a, b in pairs)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, k) for k in range(501, 540)]
